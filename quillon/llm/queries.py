@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .shared import prepare, table
+from .shared import table
+from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
 
 
@@ -15,8 +15,13 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", width=100)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", shingle=4, radius=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_simhash": op2_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
