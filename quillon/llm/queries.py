@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
-from .shared import table
+from .shared import table, work_dir
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
+from .warc import read_archive, write_archive
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +31,18 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_dir(spark, "warc")
+    write_archive(table(spark, sf_dir, "pages"), folder, min_bytes=0)
+    size = F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_bytes")).alias("payload_bytes")
+    return read_archive(spark, folder).select("page_id", size, "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
     "op3_decontaminate": op3_decontaminate,
+    "op4_warc": op4_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {}
