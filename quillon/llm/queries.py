@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality
 from .decontaminate import find_contamination
+from .sharding import assign_shards
 from .shared import table, work_dir
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
@@ -38,11 +40,24 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(spark, folder).select("page_id", size, "payload_digest", "record_type", "refers_to")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"), shards=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
     "op3_decontaminate": op3_decontaminate,
     "op4_warc": op4_warc,
+    "op5_quality": op5_quality,
+    "op6_sharding": op6_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
