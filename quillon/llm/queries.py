@@ -15,6 +15,7 @@ from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 from .topk import top_k
+from .url_filter import filter_urls
 from .warc import read_archive, write_archive
 
 
@@ -64,6 +65,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good"))
+    return filter_urls(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op8_topk": op8_topk,
     "op9_token_counts": op9_token_counts,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -87,4 +94,55 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM scored QUALIFY rank <= 20
     """,
+    "op10_url_filter": r"""
+        WITH rest AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+        ), rows_ AS (
+            SELECT page_id, translate(regexp_extract(r, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+        ), p AS (
+            SELECT *, list_transform(string_split(path, '/'), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' || regexp_extract(s, '(\.[A-Za-z]{1,5})$', 1) ELSE s END) AS segs,
+                   TRY_CAST(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT) AS key FROM rows_
+        ), marks AS (
+            SELECT doc_id AS key, CAST(round(avg(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END)) AS BIGINT) AS good FROM labels GROUP BY ALL
+        ), counts AS (
+            SELECT host, segs, count(*) AS pages, count(good) AS n, coalesce(sum(good), 0) AS g FROM p LEFT JOIN marks USING (key) GROUP BY ALL
+        ), steps AS (
+            SELECT host, segs, pages, pos, segs[pos + 1] AS child, array_to_string(segs[1:pos], '/') AS node FROM counts, unnest(range(len(segs))) AS t(pos)
+        ), wide AS (
+            SELECT host, pos, node FROM (SELECT host, pos, node, child, sum(pages) AS pages FROM steps GROUP BY ALL) GROUP BY ALL HAVING count(*) > 20 AND 2 * count(*) > sum(pages)
+        ), named AS (
+            SELECT s.host, s.segs, list(CASE WHEN w.host IS NOT NULL THEN '*' ELSE child END ORDER BY s.pos) AS names
+            FROM steps s LEFT JOIN wide w ON s.host = w.host AND s.pos = w.pos AND s.node = w.node GROUP BY ALL
+        ), known AS (
+            SELECT n_.host, n_.segs, array_to_string(names, '/') AS template, array_to_string(names[1:len(names) - 1], '/') AS parent, n, g
+            FROM named n_ JOIN counts c ON n_.host = c.host AND n_.segs = c.segs
+        ), leaves AS (
+            SELECT host, parent, template, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(g) AS DOUBLE) AS g FROM known GROUP BY ALL
+        ), parents AS (
+            SELECT host, parent, sum(n) AS an, sum(g) AS ag FROM leaves GROUP BY ALL
+        ), branches AS (
+            SELECT l.host, l.parent, l.template, n, g,
+                   CASE WHEN n > 0 AND an - n > 0 AND abs(g / n - (ag - g) / (an - n)) > 1.96 * sqrt((ag / an) * (1 - ag / an) * (1 / n + 1 / (an - n))) THEN template END AS branch
+            FROM leaves l JOIN parents q ON l.host = q.host AND l.parent = q.parent
+        ), merged AS (
+            SELECT host, parent, branch, sum(n) AS bn, sum(g) AS bg FROM branches GROUP BY ALL
+        ), hosts AS (
+            SELECT host, sum(n) AS hn, sum(g) AS hg FROM leaves GROUP BY ALL
+        ), overall AS (SELECT (coalesce(sum(g), 0) + 1) / (coalesce(sum(n), 0) + 2) AS o FROM leaves
+        ), judged AS (
+            SELECT m.host, m.parent, m.branch, (bg + 5.0 * ((hg + 5.0 * o) / (hn + 5.0))) / (bn + 5.0) AS purity FROM merged m JOIN hosts h ON m.host = h.host, overall
+        ), verdicts AS (
+            SELECT k.host, k.segs, CASE WHEN purity < 0.6 THEN 'block' ELSE 'allow' END AS verdict
+            FROM known k JOIN branches b ON k.host = b.host AND k.template = b.template
+            JOIN judged j ON b.host = j.host AND b.parent = j.parent AND b.branch IS NOT DISTINCT FROM j.branch
+        ), rules(verdict, host, path) AS (
+            VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+        ), ruled AS (
+            SELECT page_id, p.host, p.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+            FROM p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY ALL
+        )
+        SELECT p.page_id, p.host, p.path, ruled.rule, coalesce(ruled.verdict, v.verdict) AS verdict
+        FROM p JOIN verdicts v ON p.host = v.host AND p.segs = v.segs LEFT JOIN ruled ON p.page_id = ruled.page_id
+    """,
 }
