@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import quality
 from .decontaminate import find_contamination
+from .mixing import TARGETS, mix, quality_domains
 from .sharding import assign_shards
 from .shared import table, work_dir
 from .simhash import near_duplicates
@@ -54,6 +55,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = mix(table(spark, sf_dir, "documents"), quality_domains(table(spark, sf_dir, "labels")), TARGETS)
+    return rated.select("doc_id", "n_tokens", F.array_join("cell", ",").alias("posterior"), "rate")
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=20, scale=64.0, every=20)
 
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
+    "op7_mixing": op7_mixing,
     "op8_topk": op8_topk,
     "op9_token_counts": op9_token_counts,
     "op10_url_filter": op10_url_filter,
