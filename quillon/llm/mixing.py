@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -240,6 +241,20 @@ def _rate_rows(gradients, top):
     return scan
 
 
+def _fitted(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float, top: float):
+    """Rows (row's id, tokens, cell), the classifier's broadcast, and the gradients of the rates."""
+    spark = docs.sparkSession
+    names = list(weights)
+    known = spark.sparkContext.broadcast(fit_domains(docs, labelled, names))
+    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    rated = shared.write_and_read(rows.mapInArrow(_posterior_rows(known), f"doc_id {id_type}, n_tokens long, cell array<long>"), "posteriors")
+    cells = shared.write_and_read(rated.groupBy("cell").agg(F.sum("n_tokens").alias("tokens")), "cells")
+    total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    share = np.array([weights[n] for n in names], float)
+    return rated, known, fit_rates(cells, share / share.sum() * budget * total, top)
+
+
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float = 1.0, top: float = float("inf")) -> DataFrame:
     """Nonnegative rates (at most ``top``) so that expected domain tokens match ``weights``.
 
@@ -253,17 +268,31 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget:
     repeated rows are rated one by one; null ids stay null; an empty table gives no
     rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    names = list(weights)
-    model = fit_domains(docs, labelled, names)
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    rated = shared.write_and_read(rows.mapInArrow(_posterior_rows(spark.sparkContext.broadcast(model)), f"doc_id {id_type}, n_tokens long, cell array<long>"), "posteriors")
-    cells = shared.write_and_read(rated.groupBy("cell").agg(F.sum("n_tokens").alias("tokens")), "cells")
-    total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    share = np.array([weights[n] for n in names], float)
-    gradients = fit_rates(cells, share / share.sum() * budget * total, top)
-    return rated.mapInArrow(_rate_rows(gradients, top), f"doc_id {id_type}, n_tokens long, cell array<long>, rate double")
+    rated, _, gradients = _fitted(docs, labelled, weights, budget, top)
+    return rated.mapInArrow(_rate_rows(gradients, top), f"doc_id {rated.schema['doc_id'].dataType.simpleString()}, n_tokens long, cell array<long>, rate double")
+
+
+def _chosen(known, gradients, at: int, id_at: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p = rounded(known.value.posteriors(_sums(known.value, batch.column(at))[0])) / GRID
+            rate = replay(p, gradients, 1.0)[0]
+            draw = np.array([xxhash.xxh64_intdigest(str(i)) / 2**64 for i in batch.column(id_at).to_pylist()])
+            yield batch.filter(pa.array(draw < rate))
+
+    return scan
+
+
+def choose(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """The input's rows, all columns, taken with a probability of their rate, which is 1 at most.
+
+    The draw is a hash of doc_id, so a row's fate doesn't change between runs.  A
+    domain whose target is beyond its tokens keeps all documents that are surely its.
+    """
+    _, known, gradients = _fitted(docs, labelled, weights, 1.0, 1.0)
+    return docs.mapInArrow(_chosen(known, gradients, docs.columns.index("text"), docs.columns.index("doc_id")), docs.schema)
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

@@ -186,3 +186,17 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     rows = df.select(*rest, F.col(f"`{text_col}`").cast("string").alias(name))
     kind = rows.drop(name).withColumn("score", F.lit(0.0)).schema
     return rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), kind)
+
+
+def _accepted(known, at: int, least: float):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(known.value.scores(_sizes(known.value, batch.column(at))) >= least))
+
+    return scan
+
+
+def keep_good(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The input's rows, all columns, whose score is ``least`` or more."""
+    shared.prepare(df.sparkSession)
+    return df.mapInArrow(_accepted(df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col), least), df.schema)

@@ -22,11 +22,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
 from .components import components
+from .words import mix
 
 _U = np.uint64
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -38,40 +39,45 @@ ROWS = 32_768
 STRIDE = 8
 
 
-def fingerprint(text: bytes, size: int, seed: int) -> int:
-    """SimHash of the word shingles of lower-cased UTF-8 bytes; 0 without words."""
+def fingerprint(text: bytes, size: int, seed: int, wide: int = 1) -> np.ndarray:
+    """SimHash of the word shingles of lower-cased UTF-8 bytes, in ``wide`` 64-bit words; 0 without words."""
     words = text.translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(wide, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     k = min(size, len(words))
     begins = np.concatenate([[0], ends[: len(words) - k]]).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(begins, (ends[k - 1 :] - 1).tolist(), strict=True)), np.uint64, len(begins))
-    return majority(hashes)
+    return majority(hashes, wide)
 
 
-def majority(hashes: np.ndarray) -> int:
-    """Bits that are set in over half of the hashes."""
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65_536):
-        part = hashes[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+def majority(hashes: np.ndarray, wide: int = 1) -> np.ndarray:
+    """Bits that are set in over half of the hashes; words after the first take rehashed ones."""
+    counts = np.zeros(64 * wide, np.int64)
+    for at in range(0, len(hashes), 16_384):
+        part = hashes[at : at + 16_384]
+        each = np.stack([part, *(mix(part * _U(2 * i + 1) + _U(i)) for i in range(1, wide))], axis=1)
+        counts += np.unpackbits(each.astype(">u8").view(np.uint8).reshape(-1, 8 * wide), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes)).view(">u8").astype(np.uint64)
+
+
+def _bytes(x: pa.Scalar) -> bytes:
+    return x.as_buffer().to_pybytes() if x.is_valid else b""
 
 
 def _fingerprints(size: int, seed: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", size, seed) for x in batch.column(1)), np.uint64, batch.num_rows)
+            found = np.array([fingerprint(_bytes(x), size, seed)[0] for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     return scan
 
 
 def lanes(prints: np.ndarray) -> np.ndarray:
-    """Bit planes of fingerprints: [lane block, bit], lane i of a block is bit i of its words."""
+    """Bit planes of one-word fingerprints: [lane block, bit], lane i of a block is bit i of its words."""
     padded = np.zeros((len(prints) + 63) // 64 * 64, np.uint64)
     padded[: len(prints)] = prints
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -80,44 +86,45 @@ def lanes(prints: np.ndarray) -> np.ndarray:
 
 
 def near_lanes(queries: np.ndarray, planes: np.ndarray, blocks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For rows (query, lane block): the rows with a near lane, and a word with those lanes set.
+    """For rows (query words, lane block): the rows with a near lane, and a word with those lanes set.
 
-    Distances are counted by carry-save addition in ``digits`` words; a lane whose
+    Distances are counted by carry-save addition in a few words; a lane whose
     counter reaches radius + 1 is marked as beyond, for good.
     """
-    digits = max(1, (radius + 1).bit_length())
+    digits = (radius + 1).bit_length()
     live = np.arange(len(queries))
     counters = [np.zeros(len(queries), np.uint64) for _ in range(digits)]
     beyond = np.zeros(len(queries), np.uint64)
     full = ~_U(0)
-    for bit in range(64):
-        carry = planes[blocks[live], bit] ^ (_U(0) - ((queries[live] >> _U(bit)) & _U(1)))
+    for bit in range(64 * queries.shape[1]):
+        carry = planes[blocks[live], bit] ^ (_U(0) - ((queries[live, bit >> 6] >> _U(bit & 63)) & _U(1)))
         for d in range(digits):
             counters[d], carry = counters[d] ^ carry, counters[d] & carry
         beyond |= carry
-        over = np.full(len(live), full)
-        for d in range(digits):  # the counter equals radius + 1
-            over &= counters[d] if (radius + 1) >> d & 1 else ~counters[d]
-        beyond |= over
-        if bit % STRIDE == STRIDE - 1:
-            stay = beyond != full
-            if not stay.all():
-                live, beyond, counters = live[stay], beyond[stay], [c[stay] for c in counters]
-                if not len(live):
-                    break
+        if bit >= radius:
+            over = np.full(len(live), full)
+            for d in range(digits):  # the counter equals radius + 1
+                over &= counters[d] if (radius + 1) >> d & 1 else ~counters[d]
+            beyond |= over
+            if bit % STRIDE == STRIDE - 1:
+                stay = beyond != full
+                if not stay.all():
+                    live, beyond, counters = live[stay], beyond[stay], [c[stay] for c in counters]
+                    if not len(live):
+                        break
     return live, ~beyond
 
 
 def forest(prints: np.ndarray, members: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forests of many buckets at once.
+    """Spanning forests of many buckets at once, as pairs of rows (row, root of its class).
 
-    members: bucket number of each print, in order; left and right: whether a
-    print is a query, and whether it is one that queries are compared with.
+    prints: [row, word]; members: bucket number of each row, in order; left and
+    right: whether a row is a query, and whether queries are compared with it.
     """
     label = np.arange(len(prints))
     r = np.flatnonzero(right)
     begin = np.concatenate([[0], np.flatnonzero(np.diff(members[r])) + 1, [len(r)]])
-    lane_of, packed, spans = [], [], {}
+    lane_of, spans = [], {}
     for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
         if hi > lo:
             spans[int(members[r[lo]])] = (len(lane_of), -(-(hi - lo) // 64))
@@ -126,21 +133,20 @@ def forest(prints: np.ndarray, members: np.ndarray, left: np.ndarray, right: np.
                 own[: min(64, hi - at)] = r[at : min(at + 64, hi)]
                 lane_of.append(own)
     if not lane_of:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     lane_of = np.stack(lane_of)
-    for at in range(0, len(lane_of), 4096):
-        packed.append(lanes(np.where(lane_of[at : at + 4096] >= 0, prints[lane_of[at : at + 4096]], _U(0)).reshape(-1)))
-    planes = np.concatenate(packed)
-
     queries = np.flatnonzero(left)
-    first = np.array([spans.get(int(b), (0, 0))[0] for b in members[queries]])
-    count = np.array([spans.get(int(b), (0, 0))[1] for b in members[queries]])
+    first = np.array([spans.get(int(b), (0, 0))[0] for b in members[queries]], np.int64)
+    count = np.array([spans.get(int(b), (0, 0))[1] for b in members[queries]], np.int64)
     done = np.concatenate([[0], np.cumsum(count)])
     for lo in range(0, int(done[-1]), ROWS):
         row = np.arange(lo, min(lo + ROWS, int(done[-1])))
         q = np.searchsorted(done, row, "right") - 1
         block = first[q] + row - done[q]
-        live, near = near_lanes(prints[queries[q]], planes, block, radius)
+        used, block_row = np.unique(block, return_inverse=True)
+        flat = lane_of[used].reshape(-1)
+        planes = np.concatenate([lanes(np.where(flat >= 0, prints[flat, w], _U(0))) for w in range(prints.shape[1])], axis=1)
+        live, near = near_lanes(prints[queries[q]], planes, block_row, radius)
         if len(live):
             hit = np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
             a, lane = np.nonzero(hit)
@@ -148,7 +154,7 @@ def forest(prints: np.ndarray, members: np.ndarray, left: np.ndarray, right: np.
             i, j = queries[q[live[a]]][b >= 0], b[b >= 0]
             _unite(label, i, j)
     away = np.flatnonzero(label != np.arange(len(prints)))
-    return prints[away], prints[label[away]]
+    return away, label[away]
 
 
 def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -168,23 +174,24 @@ def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = nxt
 
 
-def _buckets(radius: int):
+def _buckets(radius: int, wide: int):
+    """Links in sorted (key, pair, side, vertex, fingerprint words...) rows."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest = np.empty((4 + wide, 0), np.int64)
         for batch, last in _with_last(batches):
-            t = np.stack([batch.column(i).to_numpy() for i in range(4)]) if batch is not None else np.empty((4, 0), np.int64)
-            t = t if rest is None else np.concatenate([rest, t], axis=1)
+            t = rest if batch is None else np.concatenate([rest, np.stack([batch.column(i).to_numpy() for i in range(4 + wide)])], axis=1)
             if not t.shape[1]:
                 continue
             group = np.concatenate([[0], np.cumsum((np.diff(t[0]) != 0) | (np.diff(t[1]) != 0))])
             cut = t.shape[1] if last else int(np.searchsorted(group, group[-1]))
             rest, t, group = t[:, cut:], t[:, :cut], group[:cut]
-            sizes = np.bincount(group, minlength=1)
-            alone = sizes[group] < 2
+            alone = np.bincount(group, minlength=1)[group] < 2
             t, group = t[:, ~alone], group[~alone]
             if t.shape[1]:
-                u, v = forest(t[3].view(np.uint64).copy(), group, (t[2] & 1).astype(bool), (t[2] & 2).astype(bool), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+                side = t[2]
+                i, j = forest(np.ascontiguousarray(t[4:].T).view(np.uint64), group, (side & 1).astype(bool), (side & 2).astype(bool), radius)
+                yield pa.RecordBatch.from_arrays([pa.array(t[3][i]), pa.array(t[3][j])], names=["u", "v"])
 
     return scan
 
@@ -209,14 +216,38 @@ def bucket_keys(fp: Column, blocks: int, match: int) -> Column:
     return F.array(*keys)
 
 
-def near_links(prints: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints (column fp) whose classes are those of all pairs within the radius."""
-    match = blocks - radius
-    if match < 1:
-        raise ValueError("more blocks than differing bits are needed")
-    keyed = prints.select(F.explode(bucket_keys(F.col("fp"), blocks, match)).alias("key"), "fp")
+def band_keys(prints: np.ndarray, bands: int, bits: int, seed: int = 7) -> np.ndarray:
+    """[row, band]: the band and the fingerprint's bits at places drawn by a seed, all bits used about equally often."""
+    rng = np.random.default_rng(seed)
+    size = 64 * prints.shape[1]
+    places = np.concatenate([rng.permutation(size) for _ in range(-(-bands * bits // size))])[: bands * bits].reshape(bands, bits)
+    unpacked = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(-1, size // 8), axis=1)
+    values = 1 << np.arange(bits, dtype=np.int64)
+    return np.stack([unpacked[:, places[i]] @ values + (i << bits) for i in range(bands)], axis=1)
+
+
+def _banded(bands: int, bits: int, wide: int):
+    """(vertex, words...) to (key, vertex, words...), a row per band."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = np.stack([c.to_numpy() for c in batch.columns])
+            for at in range(0, t.shape[1], 2048):
+                part = t[:, at : at + 2048]
+                keys = band_keys(np.ascontiguousarray(part[1:].T).view(np.uint64), bands, bits)
+                rows = np.repeat(part, bands, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *map(pa.array, rows)], names=["key", "vertex", *(f"w{i}" for i in range(wide))])
+
+    return scan
+
+
+def bucket_links(keyed: DataFrame, radius: int, words: list[str]) -> DataFrame:
+    """Edges (u, v) of rows (key, vertex, words...): a spanning forest of each bucket's links.
+
+    Buckets beyond TILE members are dealt out as pairs of tiles.
+    """
     large = keyed.groupBy("key").count().where(F.col("count") > TILE).select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
-    tile = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    tile = F.pmod(F.xxhash64("vertex"), F.col("tiles")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("tiles") - 1),
         lambda other: F.struct(
@@ -225,9 +256,18 @@ def near_links(prints: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame
         ),
     )
     whole = F.array(F.struct(F.lit(0).cast("long").alias("pair"), F.lit(3).cast("long").alias("side")))
-    dealt = keyed.join(large, "key", "left").select("key", "fp", F.explode(F.when(F.col("tiles").isNull(), whole).otherwise(pairs)).alias("x"))
-    rows = dealt.select("key", "x.pair", "x.side", "fp").repartition("key", "pair").sortWithinPartitions("key", "pair")
-    return rows.mapInArrow(_buckets(radius), "u long, v long")
+    dealt = keyed.join(large, "key", "left").select("key", "vertex", *words, F.explode(F.when(F.col("tiles").isNull(), whole).otherwise(pairs)).alias("x"))
+    rows = dealt.select("key", "x.pair", "x.side", "vertex", *words).repartition("key", "pair").sortWithinPartitions("key", "pair")
+    return rows.mapInArrow(_buckets(radius, len(words)), "u long, v long")
+
+
+def near_links(prints: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints (column fp) whose classes are those of all pairs within the radius."""
+    match = blocks - radius
+    if match < 1:
+        raise ValueError("more blocks than differing bits are needed")
+    keyed = prints.select(F.explode(bucket_keys(F.col("fp"), blocks, match)).alias("key"), F.col("fp").alias("vertex"), F.col("fp").alias("w0"))
+    return bucket_links(keyed, radius, ["w0"])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -256,3 +296,54 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = known.groupBy("label").agg(F.min("least").alias("component_id"))
     owner = known.join(roots, "label").select("fp", "component_id")
     return docs.join(owner, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _wide_prints(size: int, seed: int, wide: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(_bytes(x), size, seed, wide) for x in batch.column(1)], np.uint64).reshape(-1, wide).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(wide))], names=["doc_id", *(f"w{i}" for i in range(wide))])
+
+    return scan
+
+
+def similarity_radius(similarity: float, bits: int, margin: float = 1.0) -> int:
+    """Differing bits to expect at a Jaccard similarity of equally large sets, and ``margin`` standard deviations more."""
+    cosine = 2 * similarity / (1 + similarity)
+    p = np.arccos(cosine) / np.pi
+    return int(bits * p + margin * np.sqrt(bits * p * (1 - p)))
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, wide: int = 4, bands: int = 48, bits: int = 16, seed: int = 42) -> DataFrame:
+    """Groups of rows whose word shingles are estimated to have at least this Jaccard similarity.
+
+    Four-word fingerprints (256 bits) are compared where they agree on one of
+    ``bands`` sets of ``bits`` bits, and linked within ``similarity_radius``.  At a
+    similarity of 0.8 a pair meets in a band with a probability of about 0.97, and
+    more above it.  Returns doc_id (long) and component_id, the smallest id reached.
+    Null, empty and repeated rows are treated as by ``near_duplicates``; rows
+    without id come back with id -2**63.
+    """
+    spark = df.sparkSession
+    shared.prepare(spark)
+    words = [f"w{i}" for i in range(wide)]
+    rows = df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    docs = shared.write_and_read(rows.mapInArrow(_wide_prints(shingle, seed, wide), "doc_id long, " + ", ".join(f"{w} long" for w in words)), "wide-prints")
+    distinct = docs.groupBy(*words).agg(F.min("doc_id").alias("vertex"))
+    keyed = distinct.select("vertex", *words).mapInArrow(_banded(bands, bits, wide), "key long, vertex long, " + ", ".join(f"{w} long" for w in words))
+    labels = shared.write_and_read(components(bucket_links(keyed, similarity_radius(similarity, 64 * wide), words)), "labels")
+    owner = distinct.join(labels, "vertex", "left").select(*words, F.coalesce("label", "vertex").alias("component_id"))
+    return docs.join(owner, words).select("doc_id", "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **grouping) -> DataFrame:
+    """The input's rows without near-duplicates: one row of each group of ``similar_groups`` stays.
+
+    It is the one with the smallest id (rows without id count as smallest, and of
+    rows that repeat that id the smallest text stays); all columns are returned.
+    """
+    own = shared.quiet_column(df, "own")
+    staying = similar_groups(df, id_col, text_col, **grouping).where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    rows = df.withColumn(own, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63)))).join(staying, own, "left_semi")
+    first = shared.quiet_column(df, "first")
+    return rows.withColumn(first, F.row_number().over(Window.partitionBy(own).orderBy(F.col(f"`{text_col}`").asc_nulls_first()))).where(F.col(first) == 1).drop(own, first)
