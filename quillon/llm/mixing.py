@@ -214,7 +214,7 @@ def fit_rates(cells: DataFrame, targets: np.ndarray, top: float = float("inf"),
     """Gradients whose replay gives the rates; cells: (cell, tokens) with one row per distinct posterior."""
     total = max(1.0, float(targets.sum()))
     gradients: list[tuple[float, np.ndarray]] = []
-    momentum, before = 1.0, np.inf
+    momentum, before, still = 1.0, None, 0
     overall = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     size = max(1.0, float(overall)) / total  # bounds the curvature, as posteriors sum to 1
     for _ in range(steps):
@@ -222,9 +222,11 @@ def fit_rates(cells: DataFrame, targets: np.ndarray, top: float = float("inf"),
         for r in cells.mapInArrow(_totals(gradients, top), "domain long, now double, ahead double").groupBy("domain").agg(F.sum("now").alias("now"), F.sum("ahead").alias("ahead")).collect():
             now[r["domain"]], ahead[r["domain"]] = r["now"], r["ahead"]
         distance = float(np.abs(now - targets).max()) / total
-        if distance < tolerance or (np.isfinite(before) and abs(before - distance) < tolerance / 100):
+        # with momentum, totals may stand still for a step where they turn
+        still = still + 1 if before is not None and np.abs(now - before).max() / total < tolerance / 20 else 0
+        if distance < tolerance or still == 3:
             break
-        before = distance
+        before = now
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         gradients.append(((momentum - 1) / following, (ahead - targets) / total / size))
         momentum = following

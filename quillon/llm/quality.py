@@ -43,21 +43,25 @@ class Model:
     weights: np.ndarray | None = None
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
     constant: float = 0.5
 
     def scores(self, sizes: np.ndarray) -> np.ndarray:
         """Probabilities of the good class from (bad size, good size, text size) rows."""
         if self.weights is None:
             return np.full(len(sizes), self.constant)
-        z = (features(sizes) - self.mean) / self.scale
+        z = (features(sizes, self.low, self.high) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + z @ self.weights[1:], -30, 30)))
 
 
-def features(sizes: np.ndarray) -> np.ndarray:
+def features(sizes: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+    """Normalised difference, rate, and their product; held within what the calibration has seen."""
     size = sizes[:, 2] + EXTRA
-    difference = (sizes[:, 0] - sizes[:, 1]) / size
-    rate = np.minimum(sizes[:, 0], sizes[:, 1]) / size
-    return np.stack([difference, rate, difference * rate], axis=1)
+    both = np.stack([(sizes[:, 0] - sizes[:, 1]) / size, np.minimum(sizes[:, 0], sizes[:, 1]) / size], axis=1)
+    if low is not None:
+        both = np.clip(both, low, high)
+    return np.concatenate([both, both[:, :1] * both[:, 1:]], axis=1)
 
 
 def build_dictionary(samples: list[bytes]) -> tuple[bytes, bool]:
@@ -166,6 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", dict_docs: i
     if len(set(y.tolist())) < 2:
         return Model(None, constant=constant)
     x = features(np.array([r[1:] for r in found]))
+    model.low, model.high = x[:, :2].min(axis=0), x[:, :2].max(axis=0)
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     w = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum()) / max(1, sum(totals.values())) * len(y)
     model.weights = _logistic((x - model.mean) / model.scale, y, w)

@@ -136,7 +136,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT host, parent, branch, sum(n) AS bn, sum(g) AS bg FROM branches GROUP BY ALL
         ), hosts AS (
             SELECT host, sum(n) AS hn, sum(g) AS hg FROM leaves GROUP BY ALL
-        ), overall AS (SELECT (coalesce(sum(g), 0) + 1) / (coalesce(sum(n), 0) + 2) AS o FROM leaves
+        ), overall AS (SELECT (coalesce(sum(g), 0) + 1) / (coalesce(sum(n), 0) + 1) AS o FROM leaves
         ), judged AS (
             SELECT m.host, m.parent, m.branch, (bg + 5.0 * ((hg + 5.0 * o) / (hn + 5.0))) / (bn + 5.0) AS purity FROM merged m JOIN hosts h ON m.host = h.host, overall
         ), verdicts AS (

@@ -73,7 +73,7 @@ def template_verdicts(counts: DataFrame, max_children: int = 20, weight: float =
     leaves = known.groupBy("host", "parent", "template").agg(F.sum("labelled").alias("n"), F.sum("good").alias("g"))
     parents = leaves.groupBy("host", "parent").agg(F.sum("n").alias("all_n"), F.sum("g").alias("all_g"))
     hosts = leaves.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("g").alias("host_g"))
-    overall = leaves.agg(((F.coalesce(F.sum("g"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("overall")).scalar()
+    overall = leaves.agg(((F.coalesce(F.sum("g"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("overall")).scalar()
     n, g, rest_n, rest_g = F.col("n"), F.col("g"), F.col("all_n") - F.col("n"), F.col("all_g") - F.col("g")
     pooled = F.col("all_g") / F.col("all_n")
     apart = F.abs(g / n - rest_g / rest_n) > z * F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / rest_n))
@@ -96,7 +96,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", u
 
     Defined cases: a null url, or one without ``://``, has empty host and path and
     is judged by the template of those; unlabelled templates get their host's
-    smoothed share; null labels and keys are left out; repeated rows are judged
+    smoothed share, and if nothing is labelled everything is allowed; null labels and keys are left out; repeated rows are judged
     alike; an empty table gives no rows; other columns of the inputs are ignored.
     """
     link = F.col(f"`{url}`").cast("string")
