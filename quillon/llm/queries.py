@@ -90,6 +90,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), windows AS (
+            SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS s
+            FROM (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0), unnest(range(1, len(w) - n + 2)) AS t(i)
+        ), places AS (
+            SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM d, (SELECT DISTINCT n FROM windows), unnest(range(1, len(w) - n + 2)) AS t(i)
+        ), found AS (SELECT doc_id, i, n, item_id FROM places JOIN windows USING (n, s)
+        ), hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM found, unnest(range(i, i + n)) AS t(p) GROUP BY doc_id
+        ), items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+    """,
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+        x AS (SELECT page_id, strlen(p.h) AS n, sha1(p.h) AS d, first FROM p JOIN f ON p.h = f.h)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(d, 1 + 5 * CAST(i // 4 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM x
+    """,
+    "op6_sharding": """
+        WITH RECURSIVE crc_table AS (
+            SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), list_transform(range(8), lambda k: CAST(0 AS BIGINT))), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+        ), d AS (
+            SELECT doc_id, coalesce(text, '') AS text FROM documents
+        ), bytes AS (
+            SELECT doc_id, strlen(text) AS n, list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))) AS b FROM d
+        ), sums AS (
+            SELECT doc_id, n + 1 AS size, xor(list_reduce(b, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, crc_table
+        ), jumps(doc_id, shards, key, here, nxt) AS (
+            SELECT doc_id, shards, CAST(doc_id AS HUGEINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM documents, (VALUES (16), (17)) v(shards)
+            UNION ALL
+            SELECT doc_id, shards, k, nxt, CAST(floor((nxt + 1) * (2147483648.0::DOUBLE / CAST(k // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
+            FROM (SELECT doc_id, shards, nxt, (key * 2862933555777941757 + 1) % 18446744073709551616 AS k FROM jumps WHERE nxt < shards)
+        ), put AS (
+            SELECT doc_id, CAST(max(here) FILTER (shards = 16) AS INTEGER) AS shard, CAST(max(here) FILTER (shards = 17) AS INTEGER) AS grown_shard FROM jumps GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard
+        FROM sums JOIN put USING (doc_id)
+    """,
     "op8_topk": """
         WITH whole AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
