@@ -45,10 +45,10 @@ from . import shared
 PERIOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 #: Bytes of text hashed at a time; bounds the memory of a task, long documents are cut (with overlap).
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 CHUNK_DOCS = 60_000
 #: Names sorted at a time in a reduce task.
-BUCKET_NAMES = 1_500_000
+BUCKET_NAMES = 750_000
 
 _U = np.uint64
 _SEEDS = (11, 23)
@@ -72,7 +72,7 @@ class Names:
     """64-bit names of substrings of one byte array, from prefix sums of a polynomial."""
 
     def __init__(self, data: np.ndarray, seed: int = _SEEDS[0]):
-        size = 1 << max(21, int(len(data)).bit_length())
+        size = 1 << max(20, int(len(data)).bit_length())
         letters, powers, self.inverse = _tables(seed, size)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(letters[data] * powers[: len(data)], out=self.sums[1:])
