@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .components import components
+from .decontaminate import make_filter
 from .words import mix
 
 _U = np.uint64
@@ -39,22 +40,29 @@ ROWS = 32_768
 STRIDE = 8
 
 
-def fingerprint(text: bytes, size: int, seed: int, wide: int = 1) -> np.ndarray:
-    """SimHash of the word shingles of lower-cased UTF-8 bytes, in ``wide`` 64-bit words; 0 without words."""
+def shingle_hashes(text: bytes, size: int, seed: int) -> np.ndarray:
+    """XXH64 of the word shingles of lower-cased UTF-8 bytes, repeats included; fewer words make one shingle."""
     words = text.translate(LOWER).split()
     if not words:
-        return np.zeros(wide, np.uint64)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     k = min(size, len(words))
     begins = np.concatenate([[0], ends[: len(words) - k]]).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(begins, (ends[k - 1 :] - 1).tolist(), strict=True)), np.uint64, len(begins))
-    return majority(hashes, wide)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(begins, (ends[k - 1 :] - 1).tolist(), strict=True)), np.uint64, len(begins))
+
+
+def fingerprint(text: bytes, size: int, seed: int, wide: int = 1, distinct: bool = False) -> np.ndarray:
+    """SimHash in ``wide`` 64-bit words, 0 without words; repeated shingles count once if ``distinct``."""
+    hashes = shingle_hashes(text, size, seed)
+    return majority(np.unique(hashes) if distinct else hashes, wide)
 
 
 def majority(hashes: np.ndarray, wide: int = 1) -> np.ndarray:
     """Bits that are set in over half of the hashes; words after the first take rehashed ones."""
+    if not len(hashes):
+        return np.zeros(wide, np.uint64)
     counts = np.zeros(64 * wide, np.int64)
     for at in range(0, len(hashes), 16_384):
         part = hashes[at : at + 16_384]
@@ -301,49 +309,125 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def _wide_prints(size: int, seed: int, wide: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(_bytes(x), size, seed, wide) for x in batch.column(1)], np.uint64).reshape(-1, wide).view(np.int64)
+            found = np.array([fingerprint(_bytes(x), size, seed, wide, True) for x in batch.column(1)], np.uint64).reshape(-1, wide).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(wide))], names=["doc_id", *(f"w{i}" for i in range(wide))])
 
     return scan
 
 
-def similarity_radius(similarity: float, bits: int, margin: float = 1.0) -> int:
+def similarity_radius(similarity: float, bits: int, margin: float = 2.5) -> int:
     """Differing bits to expect at a Jaccard similarity of equally large sets, and ``margin`` standard deviations more."""
     cosine = 2 * similarity / (1 + similarity)
     p = np.arccos(cosine) / np.pi
     return int(bits * p + margin * np.sqrt(bits * p * (1 - p)))
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, wide: int = 4, bands: int = 48, bits: int = 16, seed: int = 42) -> DataFrame:
-    """Groups of rows whose word shingles are estimated to have at least this Jaccard similarity.
+def candidate_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, wide: int = 4, bands: int = 48, bits: int = 16, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(vertices, labels) of rows (doc_id long, text).
 
-    Four-word fingerprints (256 bits) are compared where they agree on one of
-    ``bands`` sets of ``bits`` bits, and linked within ``similarity_radius``.  At a
-    similarity of 0.8 a pair meets in a band with a probability of about 0.97, and
-    more above it.  Returns doc_id (long) and component_id, the smallest id reached.
-    Null, empty and repeated rows are treated as by ``near_duplicates``; rows
-    without id come back with id -2**63.
+    A vertex is the smallest id of the rows that share a fingerprint of ``wide``
+    words.  Fingerprints are compared where they agree on one of ``bands`` sets of
+    ``bits`` bits (at a similarity of 0.8 with a probability of about 0.97, more
+    above it), and linked within ``similarity_radius``.  labels: (vertex, label)
+    of vertices with links.
     """
-    spark = df.sparkSession
-    shared.prepare(spark)
     words = [f"w{i}" for i in range(wide)]
-    rows = df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    docs = shared.write_and_read(rows.mapInArrow(_wide_prints(shingle, seed, wide), "doc_id long, " + ", ".join(f"{w} long" for w in words)), "wide-prints")
-    distinct = docs.groupBy(*words).agg(F.min("doc_id").alias("vertex"))
+    docs = df.mapInArrow(_wide_prints(shingle, seed, wide), "doc_id long, " + ", ".join(f"{w} long" for w in words))
+    distinct = shared.write_and_read(docs.groupBy(*words).agg(F.min("doc_id").alias("vertex")), "wide-prints")
     keyed = distinct.select("vertex", *words).mapInArrow(_banded(bands, bits, wide), "key long, vertex long, " + ", ".join(f"{w} long" for w in words))
     labels = shared.write_and_read(components(bucket_links(keyed, similarity_radius(similarity, 64 * wide), words)), "labels")
-    owner = distinct.join(labels, "vertex", "left").select(*words, F.coalesce("label", "vertex").alias("component_id"))
-    return docs.join(owner, words).select("doc_id", "component_id")
+    return distinct.select("vertex"), labels
+
+
+def _shingle_sets(known, size: int, seed: int):
+    """(vertex, set) of the rows whose id the filter has; sets are sorted 64-bit hashes."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.flatnonzero(known.value.has(batch.column(2).to_numpy().view(np.uint64)))
+            few = batch.take(pa.array(rows))
+            sets = [np.unique(shingle_hashes(_bytes(x), size, seed)).tobytes() for x in few.column(1)]
+            yield pa.RecordBatch.from_arrays([few.column(0), pa.array(sets, pa.binary())], names=["vertex", "set"])
+
+    return scan
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **grouping) -> DataFrame:
-    """The input's rows without near-duplicates: one row of each group of ``similar_groups`` stays.
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of sorted distinct hashes; two empty sets are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
-    It is the one with the smallest id (rows without id count as smallest, and of
-    rows that repeat that id the smallest text stays); all columns are returned.
+
+def _unlike_first(similarity: float):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            like = [jaccard(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= similarity for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select([0, 1, 2]).filter(pa.array([not x for x in like], pa.bool_()))
+
+    return scan
+
+
+def leaders(sets: list[np.ndarray], similarity: float) -> list[int]:
+    """Greedily, in order: the sets that aren't as similar as that to a leader before them.
+
+    Only leaders that share one of a set's rarest elements are compared: of two
+    sets that similar, the first n - ceil(similarity * n) + 1 in the order of
+    rarity must meet.
     """
-    own = shared.quiet_column(df, "own")
-    staying = similar_groups(df, id_col, text_col, **grouping).where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
-    rows = df.withColumn(own, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63)))).join(staying, own, "left_semi")
-    first = shared.quiet_column(df, "first")
-    return rows.withColumn(first, F.row_number().over(Window.partitionBy(own).orderBy(F.col(f"`{text_col}`").asc_nulls_first()))).where(F.col(first) == 1).drop(own, first)
+    every, counts = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
+    index: dict[int, list[int]] = {}
+    found: list[int] = []
+    for i, s in enumerate(sets):
+        rarest = s[np.lexsort((s, counts[np.searchsorted(every, s)]))][: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1].tolist()
+        near = {j for x in rarest for j in index.get(x, ()) if similarity * len(s) <= len(sets[j]) + 1e-9 and similarity * len(sets[j]) <= len(s) + 1e-9}
+        if any(jaccard(s, sets[j]) >= similarity for j in near):
+            continue
+        found.append(i)
+        for x in rarest:
+            index.setdefault(x, []).append(i)
+    return found
+
+
+def _led(similarity: float):
+    def lead(t: pa.Table) -> pa.Table:
+        t = t.sort_by("vertex")
+        vertices = t.column("vertex").to_pylist()
+        first = [i for i, v in enumerate(vertices) if not i or v != vertices[i - 1]]
+        sets = t.column("set").to_pylist()
+        kept = leaders([np.frombuffer(sets[i], np.uint64) for i in first], similarity)
+        return pa.table({"vertex": pa.array([vertices[first[i]] for i in kept], pa.int64())})
+
+    return lead
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """The input's rows without near-duplicates; all columns are returned.
+
+    SimHash proposes groups; in each, in the order of ids, a row goes if the set of
+    its word shingles has at least this Jaccard similarity, checked exactly, to a
+    row that stays.  So every row that goes is like one that stays, and rows that
+    are only alike through others stay.
+
+    A group's rows are first checked against its smallest id, as a join that
+    adaptive execution splits, and only rows unlike it meet in one task.  Shingle
+    sets are made for members of groups only, found by a filter of fixed size.
+
+    Rows without id count as one smallest id; ids are otherwise taken as unique, and
+    of rows that repeat one, the smallest text stays at most.  Null, empty and
+    wordless texts are alike.
+    """
+    shared.prepare(df.sparkSession)
+    own, first = shared.quiet_column(df, "own"), shared.quiet_column(df, "first")
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63)))
+    rows = df.select(key.alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    vertices, labels = candidate_groups(rows, shingle, similarity, seed=seed)
+    known = df.sparkSession.sparkContext.broadcast(make_filter(labels.select(F.xxhash64("vertex").alias("name"))))
+    sets = rows.withColumn("name", F.xxhash64("doc_id")).mapInArrow(_shingle_sets(known, shingle, seed), "vertex long, set binary")
+    members = shared.write_and_read(labels.join(sets, "vertex").select("label", "vertex", "set"), "sets")
+    pivots = members.where("vertex = label").groupBy("label").agg(F.min("set").alias("pivot"))
+    unlike = members.where("vertex <> label").join(pivots, "label").select("label", "vertex", "set", "pivot").mapInArrow(_unlike_first(similarity), "label long, vertex long, set binary")
+    led = unlike.groupBy("label").applyInArrow(_led(similarity), "vertex long")
+    going = labels.where("vertex <> label").select("vertex").join(led, "vertex", "left_anti")
+    staying = vertices.join(going, "vertex", "left_anti").select(F.col("vertex").alias(own)).distinct()
+    kept = df.withColumn(own, key).join(staying, own, "left_semi")
+    return kept.withColumn(first, F.row_number().over(Window.partitionBy(own).orderBy(F.col(f"`{text_col}`").asc_nulls_first()))).where(F.col(first) == 1).drop(own, first)
