@@ -321,7 +321,7 @@ def prefix_free(spark, sf_dir):
 def _beams(spark, sf_dir) -> DataFrame:
     vecs = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     scores = beam.quantizer_scores(vecs, _book(spark, sf_dir), SPEC)
-    return beam.search(vecs, trie.edges(_ids(spark, sf_dir)), scores, SPEC.levels)
+    return beam.search(vecs, trie.edges(_ids(spark, sf_dir)), scores, SPEC.levels, codes=SPEC.codes)
 
 
 def _beam_levels() -> str:

@@ -1,4 +1,4 @@
-"""Command line: ``python -m quillon.cli {split,chat,metrics} ...``."""
+"""Command line: ``python -m quillon.cli {ids,split,chat,evaluate,metrics} ...``."""
 
 from __future__ import annotations
 
@@ -10,6 +10,14 @@ from pyspark.sql import SparkSession
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quillon")
     sub = p.add_subparsers(dest="command", required=True)
+    ids = sub.add_parser("ids", help="items with semantic ids, from vectors of the same positions")
+    ids.add_argument("--items", required=True, help="JSON lines")
+    ids.add_argument("--vectors", required=True, help="Parquet of (ord, embedding)")
+    ids.add_argument("--codes", required=True, help="where codes are kept, and reused if there")
+    ids.add_argument("--out", required=True)
+    ids.add_argument("--dim", type=int, default=64)
+    ids.add_argument("--subspaces", type=int, default=4)
+    ids.add_argument("--codes-per-subspace", type=int, default=256)
     split = sub.add_parser("split", help="documents and questions to train, test and icl_test")
     split.add_argument("--items", required=True)
     split.add_argument("--queries", required=True)
@@ -17,6 +25,11 @@ def parser() -> argparse.ArgumentParser:
     chat = sub.add_parser("chat", help="rows of a split to chat records")
     chat.add_argument("--input", required=True)
     chat.add_argument("--out", required=True)
+    evaluate = sub.add_parser("evaluate", help="judge generated texts of test items")
+    evaluate.add_argument("--tests", required=True, help="JSON lines, flat or chat records")
+    evaluate.add_argument("--generated", required=True, help="Parquet of (query, rank, text)")
+    evaluate.add_argument("--max-samples", type=int)
+    evaluate.add_argument("--out", required=True)
     metrics = sub.add_parser("metrics", help="metrics of a result document")
     metrics.add_argument("--results", required=True)
     metrics.add_argument("--k", type=int, nargs="+", default=[1, 10])
@@ -26,7 +39,22 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    if args.command == "split":
+    if args.command == "ids":
+        from .operators.quantizer import kmeans_codebook
+        from .plans.semantic_ids import generate
+        from .schema import IdSpec
+
+        spec, vectors = IdSpec(args.dim, args.subspaces, args.codes_per_subspace), spark.read.parquet(args.vectors)
+        generate(spark, args.items, args.codes, args.out, lambda _: vectors, kmeans_codebook(vectors, spec, "ord"), spec)
+    elif args.command == "evaluate":
+        from .plans.evaluation import evaluate, test_questions
+        from .schema import TEST_ITEM
+        from .sources.files import read_jsonl, write_results
+
+        document, values = evaluate(test_questions(read_jsonl(spark, args.tests, TEST_ITEM), args.max_samples), spark.read.parquet(args.generated))
+        write_results(document, args.out)
+        values.show()
+    elif args.command == "split":
         from .plans.datasets import assemble
 
         assemble(spark, args.items, args.queries, args.out)

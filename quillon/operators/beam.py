@@ -17,6 +17,8 @@ from ..functions import vectors as V
 from ..schema import IdSpec
 
 NUM_BEAMS = 10
+#: A level's edges are broadcast only if the code count proves that there are no more than this.
+MOST_EDGES = 65_536
 
 
 def quantizer_scores(queries: DataFrame, codebook: DataFrame, spec: IdSpec, query_id: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -27,9 +29,16 @@ def quantizer_scores(queries: DataFrame, codebook: DataFrame, spec: IdSpec, quer
     return parts.select(F.col(query_id).alias("query"), F.col("m").alias("lvl"), F.col("code").alias("token"), (-V.squared_distance(F.col("x"), F.col("centroid"))).alias("s"))
 
 
-def step(beams: DataFrame, trie: DataFrame, scores: DataFrame, lvl: int, num_beams: int) -> DataFrame:
-    """One level: extend by allowed tokens, add scores, keep the best of each query."""
+def step(beams: DataFrame, trie: DataFrame, scores: DataFrame, lvl: int, num_beams: int, codes: int | None = None) -> DataFrame:
+    """One level: extend by allowed tokens, add scores, keep the best of each query.
+
+    With ``codes`` (codes of a level at most), the edges of the first levels have a
+    proven bound and are broadcast: there, all queries share a few prefixes, and a
+    shuffle would bring them together.
+    """
     here = trie.where(F.col("lvl") == lvl).select(F.col("prefix").alias("ids"), "token")
+    if codes is not None and codes ** (lvl + 1) <= MOST_EDGES:
+        here = F.broadcast(here)
     grown = beams.join(here, "ids", "left")
     if "prefix" in scores.columns:
         by = scores.select("query", F.col("prefix").alias("ids"), "token", "s")
@@ -42,15 +51,16 @@ def step(beams: DataFrame, trie: DataFrame, scores: DataFrame, lvl: int, num_bea
     return out.withColumn("rank", place).where(F.col("rank") <= num_beams)
 
 
-def search(queries: DataFrame, trie: DataFrame, scores: DataFrame, levels: int, num_beams: int = NUM_BEAMS, query_id: str = "vec_id", cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def search(queries: DataFrame, trie: DataFrame, scores: DataFrame, levels: int, num_beams: int = NUM_BEAMS, query_id: str = "vec_id", cut: Callable[[DataFrame], DataFrame] | None = None, codes: int | None = None) -> DataFrame:
     """(query, rank, ids, score): the best valid ids of each query, ties to the smaller id.
 
     ``levels`` is the length of the longest id, so the plan has that many joins;
-    ``cut`` may cut the lineage after a level, as ``checkpoint`` does.
+    ``cut`` may cut the lineage after a level, as ``checkpoint`` does.  ``codes``
+    bounds the codes of all levels but the last, whose ordinals have no bound.
     """
     beams = queries.select(F.col(query_id).alias("query"), F.array().cast("array<int>").alias("ids"), F.lit(0.0).alias("score"))
     for lvl in range(levels):
-        beams = step(beams.select("query", "ids", "score"), trie, scores, lvl, num_beams)
+        beams = step(beams.select("query", "ids", "score"), trie, scores, lvl, num_beams, codes if lvl < levels - 1 else None)
         if cut is not None:
             beams = cut(beams)
     return beams.select("query", "rank", "ids", "score")

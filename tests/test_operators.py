@@ -321,3 +321,22 @@ def test_streams(spark, coded, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("rates").first() == (60, 0.5, 1.0)
+
+
+def test_command_line(spark, coded, tmp_path):
+    from quillon import cli
+
+    df, _, _ = coded
+    at = lambda name: str(tmp_path / name)
+    df.withColumnRenamed("vec_id", "ord").write.parquet(at("vectors"))
+    files.write_jsonl(spark.createDataFrame([(str(i), f"document: {i}", None, None, None) for i in range(60)], ITEM).coalesce(1), at("items"))
+    files.write_jsonl(spark.createDataFrame([(str(i), f"what {i}") for i in range(60)], "text_id string, text string").coalesce(1), at("queries"))
+    assert cli.main(["ids", "--items", at("items"), "--vectors", at("vectors"), "--codes", at("codes"), "--out", at("with_ids"), "--dim", "4", "--subspaces", "2", "--codes-per-subspace", "3"]) == 0
+    assert cli.main(["split", "--items", at("with_ids"), "--queries", at("queries"), "--out", at("splits")]) == 0
+    tests = files.read_jsonl(spark, at("splits/split=test"), TEST_ITEM)
+    assert tests.count() == 12
+    tests.select(F.col("ord").alias("query"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("rank"), F.col("doc_id").alias("text")).write.parquet(at("generated"))
+    assert cli.main(["evaluate", "--tests", at("splits/split=test"), "--generated", at("generated"), "--out", at("results")]) == 0
+    assert cli.main(["metrics", "--results", at("results"), "--k", "1"]) == 0
+    assert spark.read.json(at("results")).first()["hit_at_1"] == 1.0
+    assert cli.main(["chat", "--input", at("splits/split=test"), "--out", at("chat")]) == 0
