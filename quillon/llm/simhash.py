@@ -424,7 +424,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     known = df.sparkSession.sparkContext.broadcast(make_filter(labels.select(F.xxhash64("vertex").alias("name"))))
     sets = rows.withColumn("name", F.xxhash64("doc_id")).mapInArrow(_shingle_sets(known, shingle, seed), "vertex long, set binary")
     members = shared.write_and_read(labels.join(sets, "vertex").select("label", "vertex", "set"), "sets")
-    pivots = members.where("vertex = label").groupBy("label").agg(F.min("set").alias("pivot"))
+    pivots = shared.write_and_read(members.where("vertex = label").groupBy("label").agg(F.min("set").alias("pivot")), "pivots")
     unlike = members.where("vertex <> label").join(pivots, "label").select("label", "vertex", "set", "pivot").mapInArrow(_unlike_first(similarity), "label long, vertex long, set binary")
     led = unlike.groupBy("label").applyInArrow(_led(similarity), "vertex long")
     going = labels.where("vertex <> label").select("vertex").join(led, "vertex", "left_anti")

@@ -214,20 +214,28 @@ def _spans(buckets: np.ndarray) -> Iterator[tuple[int, int]]:
     return ((lo, hi) for lo, hi in zip([0, *edges], [*edges, len(buckets)], strict=True) if hi > lo)
 
 
-def _side_bits(side: pa.Table | None) -> dict[int, dict[int, np.ndarray]]:
-    out: dict[int, dict[int, np.ndarray]] = {}
+Bits = dict[int, tuple[np.ndarray, int]]
+
+
+def _side_bits(side: pa.Table | None) -> dict[int, Bits]:
+    out: dict[int, Bits] = {}
     if side is not None:
-        for chunk, bucket, bits in zip(*(side.column(x).to_pylist() for x in ("chunk", "bucket", "bits")), strict=True):
-            out.setdefault(chunk, {})[bucket] = np.frombuffer(bits, np.uint8)
+        for chunk, bucket, bits, mark in zip(*(side.column(x).to_pylist() for x in ("chunk", "bucket", "bits", "mark")), strict=True):
+            out.setdefault(chunk, {})[bucket] = np.frombuffer(bits, np.uint8), mark
     return out
 
 
-def _returned(buckets: np.ndarray, bits: dict[int, np.ndarray]) -> np.ndarray:
+def _mark_of(names: np.ndarray) -> int:
+    """A checksum of names, by which a scan knows that bits are for the names that it has."""
+    return int(np.add.reduce(names, dtype=np.uint64) & _U(2**62 - 1))
+
+
+def _returned(buckets: np.ndarray, bits: Bits, names: np.ndarray | None = None) -> np.ndarray:
     """Bits of a chunk's names, which are sorted by bucket."""
     out = np.zeros(len(buckets), bool)
     for lo, hi in _spans(buckets):
-        back = bits.get(int(buckets[lo]))
-        if back is None or len(back) != (hi - lo + 7) // 8:
+        back, mark = bits.get(int(buckets[lo]), (None, 0))
+        if back is None or len(back) != (hi - lo + 7) // 8 or names is not None and mark != _mark_of(names[lo:hi]):
             raise RuntimeError("the input was dealt out anew between two scans; write it before this operator")
         out[lo:hi] = np.unpackbits(back, count=hi - lo).astype(bool)
     return out
@@ -259,8 +267,8 @@ def _rows(pid: int, chunk: int, buckets: np.ndarray, blobs) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "pid", "chunk", *(f"b{i}" for i in range(len(kinds) - 3))])
 
 
-def _back(t: pa.Table, bits: list[bytes], counts: list[int]) -> pa.Table:
-    return pa.table({"pid": t.column("pid"), "chunk": t.column("chunk"), "bucket": t.column("bucket"), "bits": pa.array(bits, pa.binary()), "n": pa.array(counts, pa.int64())})
+def _back(t: pa.Table, bits: list[bytes], counts: list[int], marks: list[int]) -> pa.Table:
+    return pa.table({"pid": t.column("pid"), "chunk": t.column("chunk"), "bucket": t.column("bucket"), "bits": pa.array(bits, pa.binary()), "n": pa.array(counts, pa.int64()), "mark": pa.array(marks, pa.int64())})
 
 
 def _shared_names(t: pa.Table) -> pa.Table:
@@ -277,7 +285,7 @@ def _shared_names(t: pa.Table) -> pa.Table:
         flag[at[x[at] == twice]] = True
         bits.append(np.packbits(flag).tobytes())
         counts.append(int(flag.sum()))
-    return _back(t, bits, counts)
+    return _back(t, bits, counts, [_mark_of(x) for x in parts])
 
 
 def _window_rows(skip_dir: str, rank_dir: str, width: int, n: int, m: int):
@@ -290,7 +298,7 @@ def _window_rows(skip_dir: str, rank_dir: str, width: int, n: int, m: int):
                 number = c.number + 1
                 where, names = cover_sample(c, width)
                 keys, inner, counts = np.unique(sample_keys(names, n), return_inverse=True, return_counts=True)
-                tied = tied_windows(c, where, (_returned(keys >> 40, ranks.get(c.number, {})) | (counts > 1))[inner], width)
+                tied = tied_windows(c, where, (_returned(keys >> 40, ranks.get(c.number, {}), (keys & (2**40 - 1)).view(np.uint64)) | (counts > 1))[inner], width)
                 starts = np.flatnonzero(tied)
                 first, second, head, _ = distinct_windows(c, starts, width)
                 piece = np.searchsorted(c.bounds, starts[head], "right") - 1
@@ -312,7 +320,7 @@ def _window_rows(skip_dir: str, rank_dir: str, width: int, n: int, m: int):
 def _sort_bucket(t: pa.Table) -> pa.Table:
     """Sort one suffix bucket; tell each chunk which of its windows start earlier elsewhere."""
     if t.column("bucket")[0].as_py() < 0:
-        return _back(t, t.column("b0").to_pylist(), [0] * t.num_rows)
+        return _back(t, t.column("b0").to_pylist(), [0] * t.num_rows, [0] * t.num_rows)
     firsts = [unplanes(x, 8, np.uint64) for x in t.column("b0").to_pylist()]
     seconds = [np.frombuffer(x, np.uint16) for x in t.column("b1").to_pylist()]
     inner = [np.frombuffer(x, np.uint16) for x in t.column("b2").to_pylist()]
@@ -330,7 +338,7 @@ def _sort_bucket(t: pa.Table) -> pa.Table:
     later = np.zeros(len(order), bool)
     later[order[1:]] = (fo[1:] == fo[:-1]) & (so[1:] == so[:-1])
     parts = np.split(later, np.cumsum([len(x) for x in firsts])[:-1])
-    return _back(t, [np.packbits(x).tobytes() for x in parts], [int(x.sum()) for x in parts])
+    return _back(t, [np.packbits(x).tobytes() for x in parts], [int(x.sum()) for x in parts], [_mark_of(x) for x in firsts])
 
 
 def _cut(skip_dir: str, later_dir: str, width: int, m: int, keep: bool):
@@ -346,7 +354,7 @@ def _cut(skip_dir: str, later_dir: str, width: int, m: int, keep: bool):
                 tied = _returned(np.full(len(c.data), -1 - ((pid << 32) | c.number)), bits)
                 starts = np.flatnonzero(tied)
                 first, _, head, later = distinct_windows(c, starts, width)
-                later[head] = _returned(_bucket(first, m), bits)
+                later[head] = _returned(_bucket(first, m), bits, first)
                 _mark(c, starts[later], width, texts, masks, row)
             yield _results(batch, texts, masks, skip, row, width, keep)
             row += batch.num_rows
@@ -426,13 +434,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     place = F.struct("id", "pid", "row")
     groups = keys.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first")).where("copies > 1").drop("copies")
+    groups = shared.write_and_read(groups, "suffix-groups")  # a plain table, so that a hot digest's join can be split
     skip_dir = shared.work_dir(spark, "suffix-copies")
     shared.write_side(keys.join(groups, "digest").where(place != F.col("first")).select("pid", "row"), skip_dir)
 
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n = 1 + int(total * len(COVER) / PERIOD / BUCKET_NAMES)
     sent = "bucket long, pid long, chunk long, b0 binary"
-    back = "pid long, chunk long, bucket long, bits binary, n long"
+    back = "pid long, chunk long, bucket long, bits binary, n long, mark long"
     rank_dir = shared.work_dir(spark, "suffix-ranks")
     names = rows.mapInArrow(_sample_rows(skip_dir, width, n), sent)
     shared.write_side(names.groupBy("bucket").applyInArrow(_shared_names, back), rank_dir)

@@ -91,8 +91,8 @@ def splitter(model: str) -> Splitter:
     return Splitter(model)
 
 
-def _bucket(token: str, n: int) -> int:
-    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % n
+def _checksum(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "surrogatepass"))
 
 
 class Sent(dict):
@@ -102,21 +102,21 @@ class Sent(dict):
         self.n, self.lists = n, [[] for _ in range(n)]
 
     def __missing__(self, token: str) -> int:
-        self.lists[_bucket(token, self.n)].append(token)
+        self.lists[_checksum(token) % self.n].append(token)
         self[token] = 0
         return 0
 
 
 class Known(dict):
-    """The same, with the numbers of pieces that came back."""
+    """The same, with the numbers of pieces that came back, each beside its pre-token's checksum."""
 
-    def __init__(self, n: int, back: dict[int, np.ndarray]):
-        self.n, self.back = n, {b: iter(x.tolist()) for b, x in back.items()}
+    def __init__(self, n: int, back: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.n, self.back = n, {b: iter(zip(x.tolist(), y.tolist(), strict=True)) for b, (x, y) in back.items()}
 
     def __missing__(self, token: str) -> int:
-        b = _bucket(token, self.n)
-        found = next(self.back[b], None) if b in self.back else None
-        if found is None:
+        checksum = _checksum(token)
+        found, sent = next(self.back.get(checksum % self.n, iter(())), (0, -1))
+        if sent != checksum & 0xFFFF:
             raise RuntimeError("the input was dealt out anew between two scans; write it before this operator")
         self[token] = found
         return found
@@ -153,7 +153,8 @@ def _encode(model: str):
         distinct = list(dict.fromkeys(x for tokens in lists for x in tokens))
         pieces = dict(zip(distinct, splitter(model).pieces(distinct).tolist(), strict=True))
         back = [np.array([pieces[x] for x in tokens], np.int32).tobytes() for tokens in lists]
-        return pa.table({"pid": t.column("pid"), "chunk": t.column("chunk"), "bucket": t.column("bucket"), "pieces": pa.array(back, pa.binary())})
+        marks = [np.array([_checksum(x) & 0xFFFF for x in tokens], np.uint16).tobytes() for tokens in lists]
+        return pa.table({"pid": t.column("pid"), "chunk": t.column("chunk"), "bucket": t.column("bucket"), "pieces": pa.array(back, pa.binary()), "marks": pa.array(marks, pa.binary())})
 
     return count
 
@@ -161,10 +162,10 @@ def _encode(model: str):
 def _sum(model: str, n: int, back_dir: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, side = splitter(model), shared.read_side(back_dir, TaskContext.get().partitionId())
-        back: dict[int, dict[int, np.ndarray]] = {}
+        back: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
         if side is not None:
-            for chunk, bucket, pieces in zip(*(side.column(c).to_pylist() for c in ("chunk", "bucket", "pieces")), strict=True):
-                back.setdefault(chunk, {})[bucket] = np.frombuffer(pieces, np.int32)
+            for chunk, bucket, pieces, marks in zip(*(side.column(c).to_pylist() for c in ("chunk", "bucket", "pieces", "marks")), strict=True):
+                back.setdefault(chunk, {})[bucket] = np.frombuffer(pieces, np.int32), np.frombuffer(marks, np.uint16)
         chunk = 0
         known = Known(n, back.pop(0, {}))
         for batch in batches:
@@ -201,6 +202,6 @@ def count_tokens(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
     n = 1 + (rows.agg(F.sum("n_bytes")).first()[0] or 0) // BUCKET_BYTES
     back_dir = shared.work_dir(spark, "pieces")
     sent = rows.mapInArrow(_send(model, n), "bucket long, pid long, chunk long, tokens array<string>")
-    shared.write_side(sent.groupBy("bucket").applyInArrow(_encode(model), "pid long, chunk long, bucket long, pieces binary"), back_dir)
+    shared.write_side(sent.groupBy("bucket").applyInArrow(_encode(model), "pid long, chunk long, bucket long, pieces binary, marks binary"), back_dir)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_sum(model, n, back_dir), f"doc_id {id_type}, n_bytes long, n_tokens long")

@@ -81,6 +81,25 @@ def test_repeats_of_nothing_and_of_rows_without_id(spark):
         suffix_dedup.remove_repeats(documents(spark, rows), width=50)
 
 
+def test_bits_for_other_names_are_refused():
+    names = np.sort(np.random.default_rng(0).integers(0, 2**63, 20, dtype=np.uint64))
+    bits = {0: (np.packbits(np.ones(20, bool)), suffix_dedup._mark_of(names))}
+    buckets = np.zeros(20, np.int64)
+    assert suffix_dedup._returned(buckets, bits, names).all()
+    for wrong in (names + np.uint64(1), names[:-1]):
+        with pytest.raises(RuntimeError):
+            suffix_dedup._returned(buckets[: len(wrong)] if len(wrong) < 20 else buckets, bits, wrong)
+
+
+def test_numbers_of_other_tokens_are_refused():
+    known = token_counts.Known(1, {0: (np.array([3], np.int32), np.array([token_counts._checksum("a") & 0xFFFF], np.uint16))})
+    assert known["a"] == 3
+    for token in ("a", "b"):
+        if token not in known:
+            with pytest.raises(RuntimeError):
+                known[token]
+
+
 def test_cover_takes_any_two_positions_to_samples():
     residues = {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER}
     assert residues == set(range(suffix_dedup.PERIOD))
