@@ -340,3 +340,23 @@ def test_command_line(spark, coded, tmp_path):
     assert cli.main(["metrics", "--results", at("results"), "--k", "1"]) == 0
     assert spark.read.json(at("results")).first()["hit_at_1"] == 1.0
     assert cli.main(["chat", "--input", at("splits/split=test"), "--out", at("chat")]) == 0
+
+
+def test_metric_bounds_hold_on_random_rankings(spark):
+    rng = np.random.default_rng(3)
+    rows = [([str(x) for x in rng.permutation(12)[:10]], str(rng.integers(0, 14))) for _ in range(200)]
+    got = {(r["metric"], r["k"]): r["value"] for r in metrics.metrics(spark.createDataFrame(rows, "beams array<string>, golden string"), (1, 5, 10)).collect()}
+    for k in (1, 5, 10):
+        assert got["mrr", k] <= got["ndcg", k] + 1e-12 <= got["hits", k] + 2e-12
+        place = [b.index(g) + 1 if g in b else 99 for b, g in rows]
+        assert got["hits", k] == pytest.approx(np.mean([p <= k for p in place]))
+        assert got["mrr", k] == pytest.approx(np.mean([1 / p if p <= k else 0 for p in place]))
+    assert got["hits", 1] <= got["hits", 5] <= got["hits", 10]
+
+
+def test_splits_are_disjoint_and_complete(spark):
+    for n in (0, 1, 9, 90, 101):
+        docs = spark.range(n).select(F.col("id").alias("ord"), F.col("id").cast("string").alias("text_id"), F.lit("document: x").alias("text"), F.col("id").cast("string").alias("doc_id"))
+        rows = splits.split(docs, docs.drop("doc_id")).collect()
+        assert len(rows) == len({(r["kind"], r["ord"]) for r in rows}) == 2 * n
+        assert {r["ord"] for r in rows if (r["split"], r["kind"]) == ("test", "query")} <= {r["ord"] for r in rows if (r["split"], r["kind"]) == ("train", "document")}
