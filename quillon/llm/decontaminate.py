@@ -14,7 +14,7 @@ often the documents have it.
    the segment, which is no longer than windows through the shingle can reach.
 4. Each pair is verified word by word over windows of the item's size.
 
-The bit filters have a fixed size whatever the benchmark's size is; false
+The bit filters have a bounded size whatever the benchmark's size is; false
 positives cost a comparison and change nothing.  Neither table is broadcast by
 this module, and a passage shared by a third of all documents is a skewed inner
 join on one shingle, which adaptive execution splits.
@@ -35,15 +35,11 @@ from .suffix_dedup import views
 from .words import ALNUM, Words, groups, shingle_names
 
 _U = np.uint64
-#: Bits of a filter, a fixed bound of what is broadcast (2 MB).
-FILTER_BITS = 1 << 24
+#: Bits of a filter: 16 per shingle or more, up to a fixed bound of what is broadcast (32 MB).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 _SLICE = 1 << 16
 
 
-def _filter_bits(names: np.ndarray) -> np.ndarray:
-    return np.concatenate([(names & _U(FILTER_BITS - 1)), (names >> _U(32)) & _U(FILTER_BITS - 1)]).astype(np.int64)
-
-
 class BitFilter:
     """A set of shingle names with false positives only."""
 
@@ -52,20 +48,28 @@ class BitFilter:
 
     def has(self, names: np.ndarray) -> np.ndarray:
         out = np.ones(len(names), bool)
-        for shift in (0, 32):
-            at = (names >> _U(shift)) & _U(FILTER_BITS - 1)
-            out &= (self.bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
+        for at in _places(names, 8 * len(self.bits)):
+            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         return out
 
 
+def _places(names: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each name; size is a power of two."""
+    return (names & _U(size - 1)).astype(np.int64), ((names >> _U(32)) & _U(size - 1)).astype(np.int64)
+
+
 def make_filter(names: DataFrame) -> BitFilter:
-    """Fold a column ``name`` of longs into a filter; at most FILTER_BITS / 8 bytes come to the driver."""
+    """Fold a column ``name`` of longs into a filter; at most MOST_BITS / 8 bytes come to the driver."""
+    size = LEAST_BITS
+    wanted = 16 * names.count()
+    while size < min(wanted, MOST_BITS):
+        size *= 2
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(FILTER_BITS // 8, np.uint8)
+        found = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            at = _filter_bits(batch.column(0).to_numpy().view(np.uint64))
-            np.bitwise_or.at(found, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            for at in _places(batch.column(0).to_numpy().view(np.uint64), size):
+                np.bitwise_or.at(found, at >> 3, (1 << (at & 7)).astype(np.uint8))
         used = [i for i in range(0, len(found), _SLICE) if found[i : i + _SLICE].any()]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([found[i : i + _SLICE].tobytes() for i in used], pa.binary())], names=["at", "bits"])
 
@@ -74,8 +78,8 @@ def make_filter(names: DataFrame) -> BitFilter:
         return pa.table({"at": t.column("at")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
 
     kind = "at long, bits binary"
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in names.select("name").mapInArrow(slices, kind).groupBy("at").applyInArrow(union, kind).collect():
+    out = np.zeros(size // 8, np.uint8)
+    for row in names.select("name").mapInArrow(slices, kind).groupBy("at").applyInArrow(union, kind).toLocalIterator():
         out[row["at"] : row["at"] + _SLICE] = np.frombuffer(row["bits"], np.uint8)
     return BitFilter(out)
 

@@ -99,10 +99,10 @@ class Sent(dict):
     """The distinct pre-tokens of a chunk, by bucket in the order of their first use."""
 
     def __init__(self, n: int):
-        self.n, self.lists = n, [[] for _ in range(n)]
+        self.n, self.lists = n, {}
 
     def __missing__(self, token: str) -> int:
-        self.lists[_checksum(token) % self.n].append(token)
+        self.lists.setdefault(_checksum(token) % self.n, []).append(token)
         self[token] = 0
         return 0
 
@@ -127,7 +127,7 @@ def _send(model: str, n: int):
         pid, chunk, s, sent = TaskContext.get().partitionId(), 0, splitter(model), Sent(n)
 
         def rows() -> pa.RecordBatch:
-            full = [b for b in range(n) if sent.lists[b]]
+            full = sorted(sent.lists)
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([pid] * len(full), pa.int64()), pa.array([chunk] * len(full), pa.int64()), pa.array([sent.lists[b] for b in full], pa.list_(pa.string()))], names=["bucket", "pid", "chunk", "tokens"])
 
         for batch in batches:

@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: (verdict, host, path): a rule fits its host and all subdomains.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -108,5 +110,5 @@ def filter_urls(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", u
     totals = rows.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("pages"), F.lit(0).cast("long").alias("labelled"), F.lit(0).cast("long").alias("good"))
     labelled = rows.select("host", "segments", number.alias("key")).join(marks, "key").groupBy("host", "segments").agg(F.lit(0).cast("long").alias("pages"), F.count(F.lit(1)).alias("labelled"), F.sum("good").alias("good"))
     counts = totals.unionByName(labelled).groupBy("host", "segments").agg(F.sum("pages").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
-    judged = template_verdicts(counts, **judging).withColumnRenamed("verdict", "judged")
+    judged = shared.write_and_read(template_verdicts(counts, **judging).withColumnRenamed("verdict", "judged"), "templates")  # a plain table, so that a hot template's join can be split
     return rows.join(judged, ["host", "segments"]).select("page_id", "host", "path", "template", "purity", name.alias("rule"), F.coalesce(verdict, "judged").alias("verdict"))

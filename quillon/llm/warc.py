@@ -326,7 +326,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, page_id: str
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.unhex(F.sha1("payload")), "size": F.octet_length("payload").cast("long")})
     first = rows.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-    copies = first.where(F.col("first") < F.col("last")).select("digest", "first")
+    copies = shared.write_and_read(first.where(F.col("first") < F.col("last")).select("digest", "first"), "copies")  # a plain table: else a hot join can't be split
     dealt = rows.join(copies, "digest", "left")
     refers_to = F.when((F.col("size") >= min_bytes) & (F.col("page_id") > F.col("first")), F.col("first"))
     out = dealt.select("page_id", "url", F.when(refers_to.isNull(), F.col("payload")).alias("payload"), refers_to.alias("refers_to"), "size", "digest")
