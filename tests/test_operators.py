@@ -360,3 +360,21 @@ def test_splits_are_disjoint_and_complete(spark):
         rows = splits.split(docs, docs.drop("doc_id")).collect()
         assert len(rows) == len({(r["kind"], r["ord"]) for r in rows}) == 2 * n
         assert {r["ord"] for r in rows if (r["split"], r["kind"]) == ("test", "query")} <= {r["ord"] for r in rows if (r["split"], r["kind"]) == ("train", "document")}
+
+
+def test_hash_splits_and_orders_repeat(spark):
+    df = spark.range(2000).withColumnRenamed("id", "k")
+    marked = splits.validation_split(df, "k", 1.0)
+    n = marked.where("validation").count()
+    assert 5 <= n <= 45 and marked.where("validation").collect() == splits.validation_split(df.repartition(7), "k", 1.0).where("validation").orderBy("k").collect()
+    assert splits.validation_split(df, "k", 0.0).where("validation").count() == 0
+    order = [r["k"] for r in splits.shuffled(df, "k", 1).collect()]
+    assert sorted(order) == list(range(2000)) and order != sorted(order)
+    assert order == [r["k"] for r in splits.shuffled(df.repartition(5), "k", 1).collect()]
+    assert order != [r["k"] for r in splits.shuffled(df, "k", 2).collect()]
+
+
+def test_report_logs_rows(spark, caplog):
+    with caplog.at_level("INFO", logger="quillon"):
+        files.report("ids", spark.range(3))
+    assert len(caplog.records) == 3
