@@ -19,16 +19,20 @@ def disambiguate(encoded: DataFrame, order: str, codes: str = "codes", block: in
     (codes, block of positions) and shifted by the counts of earlier blocks, so a
     group that holds a third of all rows is not one task's work.
     """
-    rows = encoded.withColumn("__block", F.floor(F.col(order) / block))
-    blocks = rows.groupBy(codes, "__block").agg(F.count(F.lit(1)).alias("__n"))
+    slim = encoded.select(order, codes).withColumn("__block", F.coalesce(F.floor(F.col(order) / block), F.lit(0)))  # never null, as codes
+    local = F.row_number().over(Window.partitionBy(codes, "__block").orderBy(order)) - 1
+    numbered = slim.withColumn("__local", local)
+    # from the same rows as above, so that one exchange (and one evaluation of the codes) serves both
+    blocks = numbered.groupBy(codes, "__block").agg((F.max("__local") + 1).alias("__n"))
     of_code = Window.partitionBy(codes)
     before = Window.partitionBy(codes).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     shifts = blocks.select(codes, "__block", F.sum("__n").over(of_code).alias("__size"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    local = F.row_number().over(Window.partitionBy(codes, "__block").orderBy(order)) - 1
-    numbered = rows.withColumn("__local", local).join(shifts, [codes, "__block"])
     ordinal = (F.col("__base") + F.col("__local")).cast("int")
     own = F.when(F.col("__size") > 1, F.concat(F.col(codes), F.array(ordinal))).otherwise(F.col(codes))
-    return numbered.withColumn("id_codes", own).select(*encoded.columns, "id_codes")
+    done = numbered.join(shifts, [codes, "__block"]).select(order, codes, own.alias("id_codes"))
+    if set(encoded.columns) == {order, codes}:
+        return done
+    return encoded.join(done.drop(codes), order)
 
 
 def collision_groups(encoded: DataFrame, order: str, codes: str = "codes") -> DataFrame:

@@ -68,7 +68,8 @@ def encode(df: DataFrame, codebook: DataFrame, spec: IdSpec, vector_col: str = "
             raise ValueError(f"vectors need {spec.dim} components, not {x.shape[1]}")
         return pd.Series(list(nearest(book.value, x.reshape(len(x), spec.subspaces, spec.width))))
 
-    return df.withColumn("codes", codes(F.col(vector_col)))
+    # never null, so that a later join doesn't add a filter that evaluates the kernel once more
+    return df.withColumn("codes", F.coalesce(codes(F.col(vector_col)), F.array().cast("array<int>")))
 
 
 def preprocess(x: np.ndarray, normalise: bool, rotation: np.ndarray | None) -> np.ndarray:

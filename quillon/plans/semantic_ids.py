@@ -11,8 +11,8 @@ from ..sources import files
 
 
 def assign(vectors: DataFrame, codebook: DataFrame, spec: IdSpec, order: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Add codes, id_codes and doc_id."""
-    return collisions.with_docid(collisions.disambiguate(quantizer.encode(vectors, codebook, spec, vector_col), order))
+    """(order, codes, id_codes, doc_id) of vectors; join what else is needed by ``order``."""
+    return collisions.with_docid(collisions.disambiguate(quantizer.encode(vectors, codebook, spec, vector_col).select(order, "codes"), order))
 
 
 def attach(items: DataFrame, ids: DataFrame) -> DataFrame:
