@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
 _MADE: list[str] = []
+#: Bytes of an Arrow batch, in place of Spark's default of 64 MB: a batch lies in memory several times.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,14 +32,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> str:
-    """Make workers able to import this package; return the shared folder.
+    """Make workers able to import this package, keep their memory low; return the shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (local tests) one is chosen here.
+    Arrow batches are limited to BATCH_BYTES where the session has Spark's default,
+    and workers give freed Arrow memory back.  The folder is the session's
+    ``spark.checkpoint.dir``; only where that is unset (local tests) one is chosen here.
     """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    env.setdefault("MALLOC_ARENA_MAX", "2")
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(64 << 20):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if ROOT not in sys.path:
         sys.path.append(ROOT)
     sc = spark.sparkContext
