@@ -1,0 +1,192 @@
+"""Groups of rows whose shingle sets have a Jaccard similarity of at least a bound, exactly.
+
+Rows of equal sets are one vertex.  Two sets that are similar enough share one of
+the first ``prefix_length`` elements of each in any common order of all elements
+(the prefix filter); the order here puts elements that are frequent in a sample
+last, so that few sets meet.  A pair that meets is a link only if its whole sets
+are similar enough.  Groups are the components of the links.
+
+So that a group of many similar rows isn't compared pair by pair, each vertex is
+first compared with a few partners drawn from its elements, twice, and the
+components so far are labelled.  After that all pairs that meet and have different
+labels are compared: within a label nothing is left to find, so no link between
+groups is lost.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import shared
+from .components import components
+from .decontaminate import make_filter
+from .simhash import jaccard, shingle_hashes
+
+_U = np.uint64
+#: Documents whose elements are counted for the order, about; counters of elements' hashes.
+SAMPLE_DOCS, COUNTERS = 20_000, 1 << 20
+_SLICE = 1 << 16
+#: Partners of a vertex in a turn before all pairs are compared, and turns.
+PARTNERS, TURNS = 6, 2
+
+
+def _sets(column: pa.Array, size: int, seed: int) -> Iterator[np.ndarray]:
+    for x in column:
+        yield np.unique(shingle_hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", size, seed))
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Elements of a set of n of which a similar set must have one among its own."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1
+
+
+def _digests(size: int, seed: int):
+    """(own, text) to (own, d0, d1): 128 bits of the set."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in _sets(batch.column(1), size, seed))
+            pair = np.frombuffer(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=["own", "d0", "d1"])
+
+    return scan
+
+
+def _slots(s: np.ndarray) -> np.ndarray:
+    return (s & _U(COUNTERS - 1)).astype(np.int64)
+
+
+def _counted(size: int, seed: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(COUNTERS, np.uint32)
+        for batch in batches:
+            for s in _sets(batch.column(1), size, seed):
+                np.add.at(found, _slots(s), 1)
+        used = [i for i in range(0, COUNTERS, _SLICE) if found[i : i + _SLICE].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([found[i : i + _SLICE].tobytes() for i in used], pa.binary())], names=["at", "counts"])
+
+    return scan
+
+
+def _added(t: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(x, np.uint32) for x in t.column("counts").to_pylist()], axis=0, dtype=np.uint32)
+    return pa.table({"at": t.column("at")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def frequencies(rows: DataFrame, size: int, seed: int) -> np.ndarray:
+    """How often elements' hashes occur in a sample of rows (own, text); only the order of elements depends on it."""
+    share = max(1, rows.count() // SAMPLE_DOCS)
+    sample = rows.where(F.pmod(F.xxhash64("own"), F.lit(share)) == 0).repartition(8)
+    out, kind = np.zeros(COUNTERS, np.uint32), "at long, counts binary"
+    for r in sample.mapInArrow(_counted(size, seed), kind).groupBy("at").applyInArrow(_added, kind).toLocalIterator():  # COUNTERS numbers
+        out[r["at"] : r["at"] + _SLICE] = np.frombuffer(r["counts"], np.uint32)
+    return np.minimum(out, 65_535).astype(np.uint16)
+
+
+def _prefixes(known, similarity: float, size: int, seed: int):
+    """(own, text) to (element, vertex, n, at): the prefix of each set of n elements, and the place in it."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen, lengths = [np.empty(0, np.uint64)], []
+            for s in _sets(batch.column(1), size, seed):
+                k = prefix_length(len(s), similarity) if len(s) else 0
+                chosen.append(s[np.argsort(known.value[_slots(s)], kind="stable")[:k]])
+                lengths.append((len(s), k))
+            n, k = np.array(lengths, np.int64).reshape(-1, 2).T
+            at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            arrays = [np.concatenate(chosen).view(np.int64), np.repeat(batch.column(0).to_numpy(), k), np.repeat(n, k).astype(np.int32), at.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["element", "vertex", "n", "at"])
+
+    return scan
+
+
+def _known_sets(known, size: int, seed: int):
+    """(own, text, name) to (vertex, set) of the rows whose name the filter has."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            few = batch.take(pa.array(np.flatnonzero(known.value.has(batch.column(2).to_numpy().view(np.uint64)))))
+            yield pa.RecordBatch.from_arrays([few.column(0), pa.array([s.tobytes() for s in _sets(few.column(1), size, seed)], pa.binary())], names=["vertex", "set"])
+
+    return scan
+
+
+def _alike(similarity: float):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            like = [jaccard(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) >= similarity for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(like, pa.bool_()))
+
+    return scan
+
+
+def _may_be(similarity: float, places: bool):
+    """Whether sizes (and places of a common element) of a and b leave room for the similarity."""
+    an, bn = F.col("a.n"), F.col("b.n")
+    sizes = (an >= similarity * bn - 1e-9) & (bn >= similarity * an - 1e-9)
+    if not places:
+        return sizes
+    # of the first element that two sets share, all others shared come after it in both
+    return sizes & (F.least(an - F.col("a.at"), bn - F.col("b.at")) >= similarity / (1 + similarity) * (an + bn) - 1e-9)
+
+
+def _ends():
+    return F.least("a.vertex", "b.vertex").alias("u"), F.greatest("a.vertex", "b.vertex").alias("v")
+
+
+def _drawn(met: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """A few pairs (u, v) for each vertex: with the vertices of other labels that a hash puts first in its elements."""
+    first = F.min_by(F.struct("vertex", "n", "label"), F.xxhash64("vertex", "element", F.lit(turn))).alias("first")
+    pivots = met.groupBy("element").agg(first).select("element", "first.*")
+    pairs = met.alias("a").join(pivots.alias("b"), "element").where((F.col("a.label") != F.col("b.label")) & _may_be(similarity, False))
+    other = F.struct(F.xxhash64("a.vertex", "b.vertex").alias("draw"), F.col("b.vertex").alias("other"))
+    few = pairs.groupBy("a.vertex").agg(F.slice(F.array_sort(F.collect_set(other)), 1, PARTNERS).alias("few")).select("vertex", F.explode("few.other").alias("other"))
+    return few.select(F.least("vertex", "other").alias("u"), F.greatest("vertex", "other").alias("v")).distinct()
+
+
+def _all_between(met: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (u, v) that meet in an element and have different labels; labels are paired before their members."""
+    labels = met.select("element", "label").distinct()
+    a, b = labels.toDF("element", "la"), labels.toDF("element", "lb")
+    met_labels = a.join(b, "element").where("la < lb")
+    left = met_labels.alias("p").join(met.alias("a"), (F.col("p.element") == F.col("a.element")) & (F.col("p.la") == F.col("a.label")))
+    both = left.join(met.alias("b"), (F.col("p.element") == F.col("b.element")) & (F.col("p.lb") == F.col("b.label")))
+    return both.where(_may_be(similarity, True)).select(*_ends()).distinct()
+
+
+def groups(rows: DataFrame, shingle: int, similarity: float, seed: int = 42) -> DataFrame:
+    """(own, label) of every row (own long, text): rows of a group have one label, the smallest own of a vertex.
+
+    own must be unique, and the same whenever rows is read.  Texts without words are alike.
+    """
+    prints = shared.write_and_read(rows.mapInArrow(_digests(shingle, seed), "own long, d0 long, d1 long"), "digests")
+    vertices = prints.groupBy("d0", "d1").agg(F.min("own").alias("vertex"))
+    owned = shared.write_and_read(prints.join(vertices, ["d0", "d1"]).select("own", "vertex"), "vertices")
+
+    sc = rows.sparkSession.sparkContext
+    weights = sc.broadcast(frequencies(rows, shingle, seed))
+    originals = rows.join(owned.where("own <> vertex").select("own"), "own", "left_anti").select("own", "text")
+    prefixes = shared.write_and_read(originals.mapInArrow(_prefixes(weights, similarity, shingle, seed), "element long, vertex long, n int, at int"), "prefixes")
+    several = prefixes.groupBy("element").agg(F.min("vertex").alias("low"), F.max("vertex").alias("high")).where("low < high").select("element")
+    meeting = shared.write_and_read(prefixes.join(several, "element"), "meeting")
+    known = sc.broadcast(make_filter(meeting.select("vertex").distinct().select(F.xxhash64("vertex").alias("name"))))
+    sets = shared.write_and_read(rows.select("own", "text", F.xxhash64("own").alias("name")).mapInArrow(_known_sets(known, shingle, seed), "vertex long, set binary"), "sets")
+
+    links = labels = None
+    for turn in range(TURNS + 1):
+        met = meeting.withColumn("label", F.col("vertex")) if labels is None else meeting.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
+        pairs = shared.write_and_read(_drawn(met, turn, similarity) if turn < TURNS else _all_between(met, similarity), "pairs")
+        a, b = sets.toDF("u", "left"), sets.toDF("v", "right")
+        found = pairs.join(a, "u").join(b, "v").select("u", "v", "left", "right").mapInArrow(_alike(similarity), "u long, v long")
+        new = shared.write_and_read(found, "links")
+        if labels is None or not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            labels = shared.write_and_read(components(links), "labels")
+    return owned.join(labels, owned["vertex"] == labels["vertex"], "left").select("own", F.coalesce(labels["label"], owned["vertex"]).alias("label"))

@@ -401,33 +401,26 @@ def _led(similarity: float):
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """The input's rows without near-duplicates; all columns are returned.
+    """One row of each group of near-duplicates, the one of the smallest id; all columns are returned.
 
-    SimHash proposes groups; in each, in the order of ids, a row goes if the set of
-    its word shingles has at least this Jaccard similarity, checked exactly, to a
-    row that stays.  So every row that goes is like one that stays, and rows that
-    are only alike through others stay.
+    Two rows are linked if the sets of their word shingles have at least this Jaccard
+    similarity, and a group is what links reach; both are exact (``set_join``).
 
-    A group's rows are first checked against its smallest id, as a join that
-    adaptive execution splits, and only rows unlike it meet in one task.  Shingle
-    sets are made for members of groups only, found by a filter of fixed size.
-
-    Rows without id count as one smallest id; ids are otherwise taken as unique, and
-    of rows that repeat one, the smallest text stays at most.  Null, empty and
-    wordless texts are alike.
+    Each row is judged by its own text under a number written with the input, so
+    ids may be null or repeated.  Null ids come before all others, and of equal ids
+    in a group the smallest hash of the text stays.  Null, empty and wordless texts
+    are alike.
     """
+    from .set_join import groups
+
     shared.prepare(df.sparkSession)
-    own, first = shared.quiet_column(df, "own"), shared.quiet_column(df, "first")
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63)))
-    rows = df.select(key.alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    vertices, labels = candidate_groups(rows, shingle, similarity, seed=seed)
-    known = df.sparkSession.sparkContext.broadcast(make_filter(labels.select(F.xxhash64("vertex").alias("name"))))
-    sets = rows.withColumn("name", F.xxhash64("doc_id")).mapInArrow(_shingle_sets(known, shingle, seed), "vertex long, set binary")
-    members = shared.write_and_read(labels.join(sets, "vertex").select("label", "vertex", "set"), "sets")
-    pivots = shared.write_and_read(members.where("vertex = label").groupBy("label").agg(F.min("set").alias("pivot")), "pivots")
-    unlike = members.where("vertex <> label").join(pivots, "label").select("label", "vertex", "set", "pivot").mapInArrow(_unlike_first(similarity), "label long, vertex long, set binary")
-    led = unlike.groupBy("label").applyInArrow(_led(similarity), "vertex long")
-    going = labels.where("vertex <> label").select("vertex").join(led, "vertex", "left_anti")
-    staying = vertices.join(going, "vertex", "left_anti").select(F.col("vertex").alias(own)).distinct()
-    kept = df.withColumn(own, key).join(staying, own, "left_semi")
-    return kept.withColumn(first, F.row_number().over(Window.partitionBy(own).orderBy(F.col(f"`{text_col}`").asc_nulls_first()))).where(F.col(first) == 1).drop(own, first)
+    own = shared.quiet_column(df, "own")
+    numbered = shared.write_and_read(df.withColumn(own, F.monotonically_increasing_id()), "numbered")
+    text = F.col(f"`{text_col}`").cast("string")
+    labels = shared.write_and_read(groups(numbered.select(F.col(own).alias("own"), text.alias("text")), shingle, similarity, seed), "groups")
+    several = labels.groupBy("label").count().where("count > 1").select("label")
+    ids = numbered.select(F.col(own).alias("own"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("tie"))
+    members = shared.write_and_read(labels.join(several, "label").join(ids, "own").select("label", "id", "tie", "own"), "members")
+    first = members.groupBy("label").agg(F.min(F.struct("id", "tie", "own")).alias("first")).select("first.own")
+    going = members.select(F.col("own").alias(own)).join(first.withColumnRenamed("own", own), own, "left_anti")
+    return numbered.join(going, own, "left_anti").select(*(f"`{c}`" for c in df.columns))

@@ -206,6 +206,30 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def shingle_set(text, size=5):
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def alike(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def edited(words, n, seed):
+    rng = random.Random(seed)
+    words = list(words)
+    for i in rng.sample(range(len(words)), n):
+        words[i] = f"new{seed}x{i}"
+    return " ".join(words)
+
+
+def test_a_group_whose_smallest_id_is_a_copy_keeps_that_one(spark):
+    base = passage(40, 200).split(" ")
+    rows = [(i, " ".join(base) if i == 100 else edited(base, 3, i)) for i in range(201)]
+    assert all(alike(shingle_set(t), shingle_set(" ".join(base))) for _, t in rows)
+    assert [r["doc_id"] for r in simhash.keep_one(documents(spark, rows)).collect()] == [0]
+
+
 # ---- decontamination -----------------------------------------------------------------------------
 
 
