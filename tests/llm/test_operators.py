@@ -230,6 +230,38 @@ def test_a_group_whose_smallest_id_is_a_copy_keeps_that_one(spark):
     assert [r["doc_id"] for r in simhash.keep_one(documents(spark, rows)).collect()] == [0]
 
 
+def brute_firsts(rows):
+    """Ids that stay of (id, text) rows with distinct ids: the smallest of each group."""
+    sets = [shingle_set(t) for _, t in rows]
+    index = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            index.setdefault(x, []).append(i)
+    near = [[False] * len(rows) for _ in rows]
+    for i, s in enumerate(sets):
+        near[i][i] = True
+        for j in {j for x in s for j in index[x]}:
+            near[i][j] = alike(s, sets[j])
+    return sorted(set(reach([i for i, _ in rows], near)))
+
+
+def test_near_duplicate_groups_are_those_of_all_pairs(spark):
+    rows = []
+    for seed in range(120):  # 4 against 5 shingles
+        words = passage(2000 + seed, 8)
+        rows += [(len(rows), words), (len(rows) + 1, words + " more")]
+    for seed in range(60):  # about 0.8, on either side
+        words = passage(3000 + seed, 150).split(" ")
+        rows += [(len(rows), edited(words, 3, seed)), (len(rows) + 1, edited(words, 1 + seed % 2, 500 + seed))]
+    base = passage(41, 120).split(" ")  # a chain of links, whose ends differ
+    for i in range(12):
+        rows.append((len(rows), " ".join(f"step{j}" if j < 10 * i else w for j, w in enumerate(base))))
+    random.Random(3).shuffle(rows)
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(documents(spark, rows)).collect())
+    assert kept == brute_firsts(rows)
+    assert 120 < len(kept) < len(rows) - 120
+
+
 # ---- decontamination -----------------------------------------------------------------------------
 
 
