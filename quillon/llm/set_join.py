@@ -9,8 +9,8 @@ are similar enough.  Groups are the components of the links.
 So that a group of many similar rows isn't compared pair by pair, each vertex is
 first compared with a few partners drawn from its elements, twice, and the
 components so far are labelled.  After that all pairs that meet and have different
-labels are compared: within a label nothing is left to find, so no link between
-groups is lost.
+labels are counted, and those whose prefixes share enough are compared: within a
+label nothing is left to find, so no link between groups is lost.
 """
 
 from __future__ import annotations
@@ -30,10 +30,10 @@ from .simhash import jaccard, shingle_hashes
 
 _U = np.uint64
 #: Documents whose elements are counted for the order, about; counters of elements' hashes.
-SAMPLE_DOCS, COUNTERS = 20_000, 1 << 20
+SAMPLE_DOCS, COUNTERS = 50_000, 1 << 21
 _SLICE = 1 << 16
-#: Partners of a vertex in a turn before all pairs are compared, and turns.
-PARTNERS, TURNS = 6, 2
+#: Partners of a vertex in a turn before all pairs are compared, turns, and classes of elements that draw alike.
+PARTNERS, TURNS, CLASSES = 6, 2, 4
 
 
 def _sets(column: pa.Array, size: int, seed: int) -> Iterator[np.ndarray]:
@@ -90,7 +90,7 @@ def frequencies(rows: DataFrame, size: int, seed: int) -> np.ndarray:
 
 
 def _prefixes(known, similarity: float, size: int, seed: int):
-    """(own, text) to (element, vertex, n, at): the prefix of each set of n elements, and the place in it."""
+    """(own, text) to (element, vertex, n): the prefix of each set of n elements."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,9 +100,8 @@ def _prefixes(known, similarity: float, size: int, seed: int):
                 chosen.append(s[np.argsort(known.value[_slots(s)], kind="stable")[:k]])
                 lengths.append((len(s), k))
             n, k = np.array(lengths, np.int64).reshape(-1, 2).T
-            at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            arrays = [np.concatenate(chosen).view(np.int64), np.repeat(batch.column(0).to_numpy(), k), np.repeat(n, k).astype(np.int32), at.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["element", "vertex", "n", "at"])
+            arrays = [np.concatenate(chosen).view(np.int64), np.repeat(batch.column(0).to_numpy(), k), np.repeat(n, k).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["element", "vertex", "n"])
 
     return scan
 
@@ -127,38 +126,49 @@ def _alike(similarity: float):
     return scan
 
 
-def _may_be(similarity: float, places: bool):
-    """Whether sizes (and places of a common element) of a and b leave room for the similarity."""
-    an, bn = F.col("a.n"), F.col("b.n")
-    sizes = (an >= similarity * bn - 1e-9) & (bn >= similarity * an - 1e-9)
-    if not places:
-        return sizes
-    # of the first element that two sets share, all others shared come after it in both
-    return sizes & (F.least(an - F.col("a.at"), bn - F.col("b.at")) >= similarity / (1 + similarity) * (an + bn) - 1e-9)
+def _sizes_fit(similarity: float):
+    a, b = F.col("a.n"), F.col("b.n")
+    return (a >= similarity * b - 1e-9) & (b >= similarity * a - 1e-9)
 
 
-def _ends():
-    return F.least("a.vertex", "b.vertex").alias("u"), F.greatest("a.vertex", "b.vertex").alias("v")
+def _wanting(similarity: float):
+    """Elements that prefixes of sets of n and m must share at least.
+
+    Beyond the prefix that ends first nothing is left but the rest of its set, so
+    similar sets share no more than that and what is in both prefixes.
+    """
+    rest = F.greatest(F.ceil(similarity * F.col("n") - 1e-9), F.ceil(similarity * F.col("m") - 1e-9)) - 1
+    return similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9 - rest
 
 
 def _drawn(met: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """A few pairs (u, v) for each vertex: with the vertices of other labels that a hash puts first in its elements."""
-    first = F.min_by(F.struct("vertex", "n", "label"), F.xxhash64("vertex", "element", F.lit(turn))).alias("first")
+    """A few pairs (u, v) for each vertex: those of other labels that a hash puts first in most of its elements."""
+    first = F.min_by(F.struct("vertex", "n", "label"), F.xxhash64("vertex", F.pmod("element", F.lit(CLASSES)), F.lit(turn))).alias("first")
     pivots = met.groupBy("element").agg(first).select("element", "first.*")
-    pairs = met.alias("a").join(pivots.alias("b"), "element").where((F.col("a.label") != F.col("b.label")) & _may_be(similarity, False))
-    other = F.struct(F.xxhash64("a.vertex", "b.vertex").alias("draw"), F.col("b.vertex").alias("other"))
-    few = pairs.groupBy("a.vertex").agg(F.slice(F.array_sort(F.collect_set(other)), 1, PARTNERS).alias("few")).select("vertex", F.explode("few.other").alias("other"))
+    pairs = met.alias("a").join(pivots.alias("b"), "element").where((F.col("a.label") != F.col("b.label")) & _sizes_fit(similarity))
+    counted = pairs.groupBy(F.col("a.vertex").alias("vertex"), F.col("b.vertex").alias("other"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).count()
+    counted = counted.where(2 * CLASSES * F.col("count") >= _wanting(similarity))  # of a class's elements, half of what is to be expected
+    few = counted.groupBy("vertex").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "other")), asc=False), 1, PARTNERS).alias("few")).select("vertex", F.explode("few.other").alias("other"))
     return few.select(F.least("vertex", "other").alias("u"), F.greatest("vertex", "other").alias("v")).distinct()
 
 
 def _all_between(met: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (u, v) that meet in an element and have different labels; labels are paired before their members."""
+    """All pairs (u, v) of different labels whose prefixes share enough; labels are paired before their members."""
     labels = met.select("element", "label").distinct()
     a, b = labels.toDF("element", "la"), labels.toDF("element", "lb")
     met_labels = a.join(b, "element").where("la < lb")
     left = met_labels.alias("p").join(met.alias("a"), (F.col("p.element") == F.col("a.element")) & (F.col("p.la") == F.col("a.label")))
-    both = left.join(met.alias("b"), (F.col("p.element") == F.col("b.element")) & (F.col("p.lb") == F.col("b.label")))
-    return both.where(_may_be(similarity, True)).select(*_ends()).distinct()
+    both = left.join(met.alias("b"), (F.col("p.element") == F.col("b.element")) & (F.col("p.lb") == F.col("b.label")) & _sizes_fit(similarity))
+    counted = both.groupBy(F.col("a.vertex").alias("vertex"), F.col("b.vertex").alias("other"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).count()
+    return counted.where(F.col("count") >= _wanting(similarity)).select(F.least("vertex", "other").alias("u"), F.greatest("vertex", "other").alias("v"))
+
+
+def _met_again(known):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(known.value.has(batch.column(0).to_numpy().view(np.uint64))))
+
+    return scan
 
 
 def groups(rows: DataFrame, shingle: int, similarity: float, seed: int = 42) -> DataFrame:
@@ -173,16 +183,19 @@ def groups(rows: DataFrame, shingle: int, similarity: float, seed: int = 42) ->
     sc = rows.sparkSession.sparkContext
     weights = sc.broadcast(frequencies(rows, shingle, seed))
     originals = rows.join(owned.where("own <> vertex").select("own"), "own", "left_anti").select("own", "text")
-    prefixes = shared.write_and_read(originals.mapInArrow(_prefixes(weights, similarity, shingle, seed), "element long, vertex long, n int, at int"), "prefixes")
-    several = prefixes.groupBy("element").agg(F.min("vertex").alias("low"), F.max("vertex").alias("high")).where("low < high").select("element")
-    meeting = shared.write_and_read(prefixes.join(several, "element"), "meeting")
-    known = sc.broadcast(make_filter(meeting.select("vertex").distinct().select(F.xxhash64("vertex").alias("name"))))
-    sets = shared.write_and_read(rows.select("own", "text", F.xxhash64("own").alias("name")).mapInArrow(_known_sets(known, shingle, seed), "vertex long, set binary"), "sets")
+    kind = "element long, vertex long, n int"
+    prefixes = shared.write_and_read(originals.mapInArrow(_prefixes(weights, similarity, shingle, seed), kind), "prefixes")
+    several = shared.write_and_read(prefixes.groupBy("element").count().where("count > 1").select(F.col("element").alias("name")), "several")
+    again = sc.broadcast(make_filter(several))  # elements that pass by mistake are alone and make no pair
+    meeting = shared.write_and_read(prefixes.mapInArrow(_met_again(again), kind), "meeting")
 
     links = labels = None
     for turn in range(TURNS + 1):
         met = meeting.withColumn("label", F.col("vertex")) if labels is None else meeting.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
         pairs = shared.write_and_read(_drawn(met, turn, similarity) if turn < TURNS else _all_between(met, similarity), "pairs")
+        known = sc.broadcast(make_filter(pairs.select(F.explode(F.array("u", "v")).alias("own")).distinct().select(F.xxhash64("own").alias("name"))))
+        named = rows.select("own", "text", F.xxhash64("own").alias("name"))
+        sets = shared.write_and_read(named.mapInArrow(_known_sets(known, shingle, seed), "vertex long, set binary"), "sets")
         a, b = sets.toDF("u", "left"), sets.toDF("v", "right")
         found = pairs.join(a, "u").join(b, "v").select("u", "v", "left", "right").mapInArrow(_alike(similarity), "u long, v long")
         new = shared.write_and_read(found, "links")

@@ -262,6 +262,16 @@ def test_near_duplicate_groups_are_those_of_all_pairs(spark):
     assert 120 < len(kept) < len(rows) - 120
 
 
+def test_rows_of_null_and_repeated_ids_go_only_for_their_own_text(spark):
+    a, b, c = passage(50, 60), passage(51, 60), passage(52, 60)
+    rows = [(None, a), (None, b), (None, a + " x"), (1, c), (2, passage(53, 60)), (2, passage(54, 60)), (3, c), (3, passage(55, 60)), (4, passage(55, 60))]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(documents(spark, rows)).collect()]
+    assert sorted(i for i, _ in kept if i is not None) == [1, 2, 2, 3]
+    nulls = {t for i, t in kept if i is None}
+    assert len(nulls) == 2 and b in nulls
+    assert {t for i, t in kept if i == 3} == {passage(55, 60)}
+
+
 # ---- decontamination -----------------------------------------------------------------------------
 
 
