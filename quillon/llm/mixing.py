@@ -1,21 +1,23 @@
 """Mixing by soft membership: document rates whose expected domain totals match targets.
 
 A classifier fitted on a labelled table gives each document a posterior over
-domains.  Rates minimise the squared distance between the expected tokens of each
-domain (rate x tokens x posterior, summed over documents) and its target, by
-projected gradient steps from rate 1, in the metric that weighs a document by its
-tokens.  A step changes a rate by an amount that depends on the posterior alone,
-so documents of equal posterior always have equal rates: with posteriors rounded
-to 1/GRID, steps run over the distinct posteriors and their token sums.
-
-A pass over those sums the domains' expected tokens (a handful of numbers); the
-rates themselves are never gathered.  They follow from the list of gradients,
-which every task replays.
+domains.  Rates bring the expected tokens of each domain (rate x tokens x posterior,
+summed over documents) as near to its target as can be, and of all such rates they
+are nearest to 1, where a document weighs as its tokens.  Such rates are 1 plus a
+weighted sum of the posterior, cut at 0 and the top rate, with one weight per domain:
+the multipliers.  Documents of equal posterior have equal rates: with posteriors
+rounded to 1/GRID, steps run over the distinct posteriors and their token sums.
+
+The multipliers are found by Newton steps, which end only where the condition of
+optimality holds and raise if it can't be met.  A pass over the sums gives a handful
+of numbers; the rates themselves are never gathered, every task works them out from
+the multipliers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,9 +35,13 @@ BUCKETS = 1 << 16
 FIT_DOCS = 4000
 #: Posteriors are multiples of 1/GRID.
 GRID = 128
-#: Steps at most, and the relative distance from the targets at which they end.
+#: Newton steps at most for a weight of nearness, the distance from optimality (in shares of all tokens) at which they end, and lengths tried of a step, each a quarter of the one before.
 STEPS = 200
-TOLERANCE = 1e-5
+TOLERANCE = 1e-8
+LENGTHS = 24
+#: Weight in the end of the rates' distance from 1 against the totals' distance from their targets.
+NEARNESS = 1e-10
+_LOG = logging.getLogger(__name__)
 
 
 @dataclass
@@ -187,64 +193,97 @@ def _posterior_rows(known):
     return scan
 
 
-def replay(p: np.ndarray, gradients: list[tuple[float, np.ndarray]], top: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates of these posteriors after steps of (momentum, scaled gradient), and the point of the next look."""
-    rate = np.ones(len(p))
-    look = rate
-    for momentum, g in gradients:
-        nxt = np.clip(look - p @ g, 0, top)
-        look = nxt + momentum * (nxt - rate)
-        rate = nxt
-    return rate, look
+@dataclass
+class Rates:
+    """Multipliers of the rates, and the share of all tokens by which each domain misses its target."""
+
+    multipliers: np.ndarray
+    missed: np.ndarray
+
+
+def replay(p: np.ndarray, fitted: Rates, top: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of these posteriors, and what they are before they are cut."""
+    free = 1 + p @ fitted.multipliers
+    return np.clip(free, 0, top), free
 
 
-def _totals(gradients, top):
+def measured(p: np.ndarray, tokens: np.ndarray, multipliers: np.ndarray, top: float) -> np.ndarray:
+    """Domain totals, their derivatives, and the function of which totals are the gradient, in one row."""
+    rate, free = replay(p, Rates(multipliers, multipliers), top)
+    moves = (free >= 0) & (free <= top)  # rates begin at 1, which may be the top
+    slope = p[moves].T @ (tokens[moves][:, None] * p[moves])
+    return np.concatenate([(tokens * rate) @ p, slope.reshape(-1), [tokens @ (rate * free - rate * rate / 2)]])
+
+
+def _totals(trials: list[np.ndarray], top: float, size: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                p = np.array(batch.column(0).to_pylist()) / GRID
-                tokens = batch.column(1).to_numpy().astype(float)
-                rate, look = replay(p, gradients, top)
-                yield pa.RecordBatch.from_arrays([pa.array(range(p.shape[1]), pa.int64()), pa.array((tokens * rate) @ p), pa.array((tokens * look) @ p)], names=["domain", "now", "ahead"])
+                p = np.array(batch.column(0).to_pylist(), float)
+                p /= p.sum(axis=1, keepdims=True)
+                found = np.concatenate([measured(p, batch.column(1).to_numpy() / size, x, top) for x in trials])
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int64()), pa.array(found)], names=["at", "x"])
 
     return scan
 
 
-def fit_rates(cells: DataFrame, targets: np.ndarray, top: float = float("inf"), steps: int = STEPS, tolerance: float = TOLERANCE) -> list[tuple[float, np.ndarray]]:
-    """Gradients whose replay gives the rates; cells: (cell, tokens) with one row per distinct posterior."""
-    total = max(1.0, float(targets.sum()))
-    gradients: list[tuple[float, np.ndarray]] = []
-    momentum, before, still = 1.0, None, 0
-    overall = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    size = max(1.0, float(overall)) / total  # bounds the curvature, as posteriors sum to 1
-    for _ in range(steps):
-        now, ahead = np.zeros(len(targets)), np.zeros(len(targets))
-        for r in cells.mapInArrow(_totals(gradients, top), "domain long, now double, ahead double").groupBy("domain").agg(F.sum("now").alias("now"), F.sum("ahead").alias("ahead")).collect():
-            now[r["domain"]], ahead[r["domain"]] = r["now"], r["ahead"]
-        distance = float(np.abs(now - targets).max()) / total
-        # with momentum, totals may stand still for a step where they turn
-        still = still + 1 if before is not None and np.abs(now - before).max() / total < tolerance / 20 else 0
-        if distance < tolerance or still == 3:
-            break
-        before = now
-        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        gradients.append(((momentum - 1) / following, (ahead - targets) / total / size))
-        momentum = following
-    return gradients
-
-
-def _rate_rows(gradients, top):
+def solve(measure: Callable[[list[np.ndarray]], np.ndarray], targets: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE) -> Rates:
+    """Multipliers at which totals and targets (shares of all tokens) are nearest; measure gives a row for each trial.
+
+    The weight of nearness to 1 falls to NEARNESS by tenths, each solution being the
+    start of the next.
+    """
+    k = len(targets)
+    now = np.zeros(k)
+    row = measure([now])[0]
+    for near in 10.0 ** np.arange(-1, np.log10(NEARNESS) - 0.5, -1):
+        for _ in range(steps):
+            off = row[:k] + near * now - targets
+            if np.abs(off).max() <= tolerance + 1e-15 * np.abs(now).max():
+                break
+            step = -np.linalg.solve(row[k:-1].reshape(k, k) + near * np.eye(k), off)
+            trials = [now + step / 4**i for i in range(LENGTHS)]
+            rows = measure(trials)
+            offs = np.array([np.abs(r[:k] + near * x - targets).max() for r, x in zip(rows, trials, strict=True)])
+            values = np.array([r[-1] + near / 2 * x @ x - targets @ x for r, x in [(row, now), *zip(rows, trials, strict=True)]])
+            best = int(values[1:].argmin())
+            if offs[0] <= tolerance or not values[1 + best] < values[0]:  # where values can't tell, what is off decides
+                best = int(offs.argmin())
+                if offs[best] >= np.abs(off).max():
+                    break
+            now, row = trials[best], rows[best]
+    off = np.abs(row[:k] + NEARNESS * now - targets).max()
+    if off > tolerance + 1e-15 * np.abs(now).max():
+        raise RuntimeError(f"rates did not settle: totals are off by {off:.1e} of all tokens")
+    return Rates(now, targets - row[:k])
+
+
+def fit_rates(cells: DataFrame, targets: np.ndarray, top: float = float("inf"), steps: int = STEPS, tolerance: float = TOLERANCE) -> Rates:
+    """Multipliers that give the rates; cells: (cell, tokens) with one row per distinct posterior."""
+    k = len(targets)
+    size = max(1.0, float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]))
+
+    def measure(trials: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(len(trials) * (k + k * k + 1))
+        for r in cells.mapInArrow(_totals(trials, top, size), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+            out[r["at"]] = r["x"]
+        return out.reshape(len(trials), -1)
+
+    return solve(measure, targets / size, steps, tolerance)
+
+
+def _rate_rows(fitted, top):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                rate = replay(np.array(batch.column(2).to_pylist()) / GRID, gradients, top)[0]
+                rate = replay(np.array(batch.column(2).to_pylist()) / GRID, fitted, top)[0]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "rate"])
 
     return scan
 
 
 def _fitted(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float, top: float):
-    """Rows (row's id, tokens, cell), the classifier's broadcast, and the gradients of the rates."""
+    """Rows (row's id, tokens, cell), the classifier's broadcast, and the rates' multipliers."""
     spark = docs.sparkSession
     names = list(weights)
     known = spark.sparkContext.broadcast(fit_domains(docs, labelled, names))
@@ -254,7 +293,11 @@ def _fitted(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], bud
     cells = shared.write_and_read(rated.groupBy("cell").agg(F.sum("n_tokens").alias("tokens")), "cells")
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     share = np.array([weights[n] for n in names], float)
-    return rated, known, fit_rates(cells, share / share.sum() * budget * total, top)
+    fitted = fit_rates(cells, share / share.sum() * budget * total, top)
+    for name, missed in zip(names, fitted.missed, strict=True):
+        if abs(missed) > 1e-6:
+            _LOG.warning("domain %s: target beyond reach, missed by %.2g of all tokens", name, missed)
+    return rated, known, fitted
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float = 1.0, top: float = float("inf")) -> DataFrame:
@@ -266,21 +309,21 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget:
     be taken, on average.
 
     Defined cases: a text without words has no tokens and the rate of its posterior;
-    targets beyond reach give the nearest totals; equal texts have equal rates;
+    targets beyond reach give the nearest totals and a logged warning; equal texts have equal rates;
     repeated rows are rated one by one; null ids stay null; an empty table gives no
     rows; other columns are ignored.
     """
-    rated, _, gradients = _fitted(docs, labelled, weights, budget, top)
-    return rated.mapInArrow(_rate_rows(gradients, top), f"doc_id {rated.schema['doc_id'].dataType.simpleString()}, n_tokens long, cell array<long>, rate double")
+    rated, _, fitted = _fitted(docs, labelled, weights, budget, top)
+    return rated.mapInArrow(_rate_rows(fitted, top), f"doc_id {rated.schema['doc_id'].dataType.simpleString()}, n_tokens long, cell array<long>, rate double")
 
 
-def _chosen(known, gradients, at: int, id_at: int):
+def _chosen(known, fitted, at: int, id_at: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             p = rounded(known.value.posteriors(_sums(known.value, batch.column(at))[0])) / GRID
-            rate = replay(p, gradients, 1.0)[0]
+            rate = replay(p, fitted, 1.0)[0]
             draw = np.array([xxhash.xxh64_intdigest(str(i)) / 2**64 for i in batch.column(id_at).to_pylist()])
             yield batch.filter(pa.array(draw < rate))
 
@@ -293,8 +336,8 @@ def choose(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]) -> D
     The draw is a hash of doc_id, so a row's fate doesn't change between runs.  A
     domain whose target is beyond its tokens keeps all documents that are surely its.
     """
-    _, known, gradients = _fitted(docs, labelled, weights, 1.0, 1.0)
-    return docs.mapInArrow(_chosen(known, gradients, docs.columns.index("text"), docs.columns.index("doc_id")), docs.schema)
+    _, known, fitted = _fitted(docs, labelled, weights, 1.0, 1.0)
+    return docs.mapInArrow(_chosen(known, fitted, docs.columns.index("text"), docs.columns.index("doc_id")), docs.schema)
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

@@ -444,6 +444,31 @@ def test_rates_at_their_bound(spark):
     assert rate[0] == 1 and np.isclose(rate[1], 0.5, atol=1e-3)
 
 
+@pytest.mark.parametrize("share", [1e-2, 1e-3, 1e-4, 1e-5])
+def test_rates_of_a_rare_domain_meet_its_target(spark, share):
+    tokens = np.array([(1 - 2 * share) * 1e9, share * 1e9, share * 1e9]).astype(int)
+    cells = spark.createDataFrame([((mixing.GRID * row).tolist(), int(t)) for row, t in zip(np.eye(3, dtype=int), tokens, strict=True)], "cell array<long>, tokens long")
+    targets = np.array([0.95, 0.04, 0.01]) * tokens.sum()
+    rate = mixing.replay(np.eye(3), mixing.fit_rates(cells, targets), float("inf"))[0]
+    assert np.allclose(tokens * rate, targets, rtol=1e-4)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([1.0, 3.0, float("inf")]))
+def test_rates_are_optimal_where_targets_are_beyond_reach(seed, top):
+    rng = np.random.default_rng(seed)
+    p = mixing.rounded(rng.dirichlet([3, 0.1, 0.03], 200)) / mixing.GRID
+    tokens = rng.integers(1, 1000, 200) * 1.0
+    tokens /= tokens.sum()
+    targets = rng.dirichlet([1, 1, 1])
+    fitted = mixing.solve(lambda trials: np.array([mixing.measured(p, tokens, x, top) for x in trials]), targets)
+    rate = mixing.replay(p, fitted, top)[0]
+    pull = p @ ((tokens * rate) @ p - targets)  # the squared distance's gradient in the rates
+    near = 1e-6 + 2 * mixing.NEARNESS * rate.max()
+    assert (pull[rate <= 0] >= -near).all() and (pull[rate >= top] <= near).all()
+    assert np.abs(pull[(rate > 0) & (rate < top)]).max(initial=0) < near
+
+
 def test_rounded_posteriors_sum_to_the_grid():
     p = np.random.default_rng(0).dirichlet([1, 1, 1, 1], 200)
     whole = mixing.rounded(p)
