@@ -282,7 +282,7 @@ def _rate_rows(fitted, top):
     return scan
 
 
-def _fitted(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float, top: float):
+def _fitted(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float, top: float, keep: str | None = None):
     """Rows (row's id, tokens, cell), the classifier's broadcast, and the rates' multipliers."""
     spark = docs.sparkSession
     names = list(weights)
@@ -293,6 +293,10 @@ def _fitted(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], bud
     cells = shared.write_and_read(rated.groupBy("cell").agg(F.sum("n_tokens").alias("tokens")), "cells")
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     share = np.array([weights[n] for n in names], float)
+    if keep is not None and total:
+        at = names.index(keep)
+        own = cells.agg(F.sum(F.col("cell")[at] / GRID * F.col("tokens"))).first()[0]
+        budget = max(budget, own / total / (share[at] / share.sum()))
     fitted = fit_rates(cells, share / share.sum() * budget * total, top)
     for name, missed in zip(names, fitted.missed, strict=True):
         if abs(missed) > 1e-6:
@@ -330,13 +334,15 @@ def _chosen(known, fitted, at: int, id_at: int):
     return scan
 
 
-def choose(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]) -> DataFrame:
+def choose(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], keep: str | None = None) -> DataFrame:
     """The input's rows, all columns, taken with a probability of their rate, which is 1 at most.
 
     The draw is a hash of doc_id, so a row's fate doesn't change between runs.  A
-    domain whose target is beyond its tokens keeps all documents that are surely its.
+    domain whose target is beyond its tokens keeps all documents that are surely its;
+    for the domain ``keep`` all targets are raised until its target is no less than
+    its tokens, so that none of those documents is lost.
     """
-    _, known, fitted = _fitted(docs, labelled, weights, 1.0, 1.0)
+    _, known, fitted = _fitted(docs, labelled, weights, 1.0, 1.0, keep)
     return docs.mapInArrow(_chosen(known, fitted, docs.columns.index("text"), docs.columns.index("doc_id")), docs.schema)
 
 

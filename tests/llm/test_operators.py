@@ -475,6 +475,15 @@ def test_rounded_posteriors_sum_to_the_grid():
     assert (whole.sum(axis=1) == mixing.GRID).all() and (np.abs(whole / mixing.GRID - p) < 1 / mixing.GRID).all()
 
 
+def test_documents_of_the_kept_domain_all_stay(spark):
+    docs, labels = labelled(spark)
+    known = [r["doc_id"] for r in labels.where("quality = 1 AND toxic = 0").collect()]
+    weights = {"clean": 0.3, "low": 0.7}
+    few, all_ = ({r["doc_id"] for r in mixing.choose(docs, mixing.quality_domains(labels), weights, **kw).collect()} for kw in ({}, {"keep": "clean"}))
+    sure = {r["doc_id"] for r in mixing.mix(docs, mixing.quality_domains(labels), weights).collect() if r["cell"][0] == mixing.GRID and r["doc_id"] in known}
+    assert sure and sure <= all_ and not sure <= few
+
+
 def test_mixing_reaches_targets_and_separates_domains(spark):
     docs, labels = labelled(spark)
     domains = mixing.quality_domains(labels)
