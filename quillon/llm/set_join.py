@@ -171,6 +171,30 @@ def _met_again(known):
     return scan
 
 
+def _passing(known, at: int, passes: bool):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = known.value.has(batch.column(at).to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(found == passes))
+
+    return scan
+
+
+def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """df's rows, but those whose long key is in gone (a table of that one column).
+
+    Only rows that a filter made of gone lets pass are joined, so that other rows
+    aren't shuffled.
+    """
+    gone = shared.write_and_read(gone, "gone")
+    known = df.sparkSession.sparkContext.broadcast(make_filter(gone.select(F.xxhash64(key).alias("name"))))
+    name = shared.quiet_column(df, "name")
+    named = df.withColumn(name, F.xxhash64(key))
+    at = len(df.columns)
+    sure, maybe = (named.mapInArrow(_passing(known, at, x), named.schema).drop(name) for x in (False, True))
+    return sure.unionByName(maybe.join(gone, key, "left_anti"))
+
+
 def groups(rows: DataFrame, shingle: int, similarity: float, seed: int = 42) -> DataFrame:
     """(own, label) of every row (own long, text): rows of a group have one label, the smallest own of a vertex.
 
@@ -182,7 +206,7 @@ def groups(rows: DataFrame, shingle: int, similarity: float, seed: int = 42) ->
 
     sc = rows.sparkSession.sparkContext
     weights = sc.broadcast(frequencies(rows, shingle, seed))
-    originals = rows.join(owned.where("own <> vertex").select("own"), "own", "left_anti").select("own", "text")
+    originals = without(rows.select("own", "text"), "own", owned.where("own <> vertex").select("own"))
     kind = "element long, vertex long, n int"
     prefixes = shared.write_and_read(originals.mapInArrow(_prefixes(weights, similarity, shingle, seed), kind), "prefixes")
     several = shared.write_and_read(prefixes.groupBy("element").count().where("count > 1").select(F.col("element").alias("name")), "several")

@@ -297,7 +297,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     in a group the smallest hash of the text stays.  Null, empty and wordless texts
     are alike.
     """
-    from .set_join import groups
+    from .set_join import groups, without
 
     shared.prepare(df.sparkSession)
     own = shared.quiet_column(df, "own")
@@ -309,4 +309,4 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     members = shared.write_and_read(labels.join(several, "label").join(ids, "own").select("label", "id", "tie", "own"), "members")
     first = members.groupBy("label").agg(F.min(F.struct("id", "tie", "own")).alias("first")).select("first.own")
     going = members.select(F.col("own").alias(own)).join(first.withColumnRenamed("own", own), own, "left_anti")
-    return numbered.join(going, own, "left_anti").select(*(f"`{c}`" for c in df.columns))
+    return without(numbered, own, going).select(*(f"`{c}`" for c in df.columns))
