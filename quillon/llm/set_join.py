@@ -89,11 +89,13 @@ def frequencies(rows: DataFrame, size: int, seed: int) -> np.ndarray:
     return np.minimum(out, 65_535).astype(np.uint16)
 
 
-def _prefixes(known, similarity: float, size: int, seed: int):
-    """(own, text) to (element, vertex, n): the prefix of each set of n elements."""
+def _prefixes(known, copies: str, similarity: float, size: int, seed: int):
+    """(own, text) to (element, vertex, n): the prefix of each set of n elements, of rows that aren't marked as copies."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = shared.Marked(copies)
         for batch in batches:
+            batch = batch.filter(pa.array(~marked.has(batch.column(0).to_numpy())))
             chosen, lengths = [np.empty(0, np.uint64)], []
             for s in _sets(batch.column(1), size, seed):
                 k = prefix_length(len(s), similarity) if len(s) else 0
@@ -106,12 +108,13 @@ def _prefixes(known, similarity: float, size: int, seed: int):
     return scan
 
 
-def _known_sets(known, size: int, seed: int):
-    """(own, text, name) to (vertex, set) of the rows whose name the filter has."""
+def _known_sets(wanted: str, size: int, seed: int):
+    """(own, text) to (vertex, set) of the rows that are marked."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = shared.Marked(wanted)
         for batch in batches:
-            few = batch.take(pa.array(np.flatnonzero(known.value.has(batch.column(2).to_numpy().view(np.uint64)))))
+            few = batch.filter(pa.array(marked.has(batch.column(0).to_numpy())))
             yield pa.RecordBatch.from_arrays([few.column(0), pa.array([s.tobytes() for s in _sets(few.column(1), size, seed)], pa.binary())], names=["vertex", "set"])
 
     return scan
@@ -171,44 +174,22 @@ def _met_again(known):
     return scan
 
 
-def _passing(known, at: int, passes: bool):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = known.value.has(batch.column(at).to_numpy().view(np.uint64))
-            yield batch.filter(pa.array(found == passes))
-
-    return scan
-
-
-def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
-    """df's rows, but those whose long key is in gone (a table of that one column).
-
-    Only rows that a filter made of gone lets pass are joined, so that other rows
-    aren't shuffled.
-    """
-    gone = shared.write_and_read(gone, "gone")
-    known = df.sparkSession.sparkContext.broadcast(make_filter(gone.select(F.xxhash64(key).alias("name"))))
-    name = shared.quiet_column(df, "name")
-    named = df.withColumn(name, F.xxhash64(key))
-    at = len(df.columns)
-    sure, maybe = (named.mapInArrow(_passing(known, at, x), named.schema).drop(name) for x in (False, True))
-    return sure.unionByName(maybe.join(gone, key, "left_anti"))
-
-
 def groups(rows: DataFrame, shingle: int, similarity: float, seed: int = 42) -> DataFrame:
     """(own, label) of every row (own long, text): rows of a group have one label, the smallest own of a vertex.
 
     own must be unique, and the same whenever rows is read.  Texts without words are alike.
     """
     prints = shared.write_and_read(rows.mapInArrow(_digests(shingle, seed), "own long, d0 long, d1 long"), "digests")
-    vertices = prints.groupBy("d0", "d1").agg(F.min("own").alias("vertex"))
-    owned = shared.write_and_read(prints.join(vertices, ["d0", "d1"]).select("own", "vertex"), "vertices")
+    alike = prints.groupBy("d0", "d1").agg(F.count(F.lit(1)).alias("copies"), F.min("own").alias("vertex")).where("copies > 1").drop("copies")
+    alike = shared.write_and_read(alike, "alike")  # a plain table, so that a hot set's join can be split
+    owned = shared.write_and_read(prints.join(alike, ["d0", "d1"], "left").select("own", F.coalesce("vertex", "own").alias("vertex")), "vertices")
 
-    sc = rows.sparkSession.sparkContext
+    spark = rows.sparkSession
+    sc = spark.sparkContext
     weights = sc.broadcast(frequencies(rows, shingle, seed))
-    originals = without(rows.select("own", "text"), "own", owned.where("own <> vertex").select("own"))
+    copies = shared.mark_rows(spark, owned.where("own <> vertex").select("own"))
     kind = "element long, vertex long, n int"
-    prefixes = shared.write_and_read(originals.mapInArrow(_prefixes(weights, similarity, shingle, seed), kind), "prefixes")
+    prefixes = shared.write_and_read(rows.select("own", "text").mapInArrow(_prefixes(weights, copies, similarity, shingle, seed), kind), "prefixes")
     several = shared.write_and_read(prefixes.groupBy("element").count().where("count > 1").select(F.col("element").alias("name")), "several")
     again = sc.broadcast(make_filter(several))  # elements that pass by mistake are alone and make no pair
     meeting = shared.write_and_read(prefixes.mapInArrow(_met_again(again), kind), "meeting")
@@ -217,9 +198,8 @@ def groups(rows: DataFrame, shingle: int, similarity: float, seed: int = 42) ->
     for turn in range(TURNS + 1):
         met = meeting.withColumn("label", F.col("vertex")) if labels is None else meeting.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
         pairs = shared.write_and_read(_drawn(met, turn, similarity) if turn < TURNS else _all_between(met, similarity), "pairs")
-        known = sc.broadcast(make_filter(pairs.select(F.explode(F.array("u", "v")).alias("own")).distinct().select(F.xxhash64("own").alias("name"))))
-        named = rows.select("own", "text", F.xxhash64("own").alias("name"))
-        sets = shared.write_and_read(named.mapInArrow(_known_sets(known, shingle, seed), "vertex long, set binary"), "sets")
+        wanted = shared.mark_rows(spark, pairs.select(F.explode(F.array("u", "v")).alias("own")).distinct())
+        sets = shared.write_and_read(rows.select("own", "text").mapInArrow(_known_sets(wanted, shingle, seed), "vertex long, set binary"), "sets")
         a, b = sets.toDF("u", "left"), sets.toDF("v", "right")
         found = pairs.join(a, "u").join(b, "v").select("u", "v", "left", "right").mapInArrow(_alike(similarity), "u long, v long")
         new = shared.write_and_read(found, "links")

@@ -297,11 +297,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     in a group the smallest hash of the text stays.  Null, empty and wordless texts
     are alike.
     """
-    from .set_join import groups, without
+    from .set_join import groups
 
     shared.prepare(df.sparkSession)
-    own = shared.quiet_column(df, "own")
-    numbered = shared.write_and_read(df.withColumn(own, F.monotonically_increasing_id()), "numbered")
+    numbered, own = shared.number_rows(df)
     text = F.col(f"`{text_col}`").cast("string")
     labels = shared.write_and_read(groups(numbered.select(F.col(own).alias("own"), text.alias("text")), shingle, similarity, seed), "groups")
     several = labels.groupBy("label").count().where("count > 1").select("label")
@@ -309,4 +308,4 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     members = shared.write_and_read(labels.join(several, "label").join(ids, "own").select("label", "id", "tie", "own"), "members")
     first = members.groupBy("label").agg(F.min(F.struct("id", "tie", "own")).alias("first")).select("first.own")
     going = members.select(F.col("own").alias(own)).join(first.withColumnRenamed("own", own), own, "left_anti")
-    return without(numbered, own, going).select(*(f"`{c}`" for c in df.columns))
+    return shared.without(numbered, own, going).select(*(f"`{c}`" for c in df.columns))
