@@ -9,9 +9,9 @@ by plane; the 64 distances are kept in carry-save counters (one word per binary
 digit), and a lane block is abandoned once all its distances exceed the radius.
 
 A bucket gives back a spanning forest, not its pairs.  Equal fingerprints are one
-vertex from the start, so a group of copies of any size adds no work.  Buckets
-beyond ``TILE`` members are cut into tiles, and each pair of tiles is a task's
-work of its own.
+vertex from the start, so a group of copies of any size adds no work, and what is
+near a bucket's pivot isn't compared with each other.  Buckets beyond ``TILE``
+members are cut into tiles, and each pair of tiles is a task's work of its own.
 """
 
 from __future__ import annotations
@@ -127,9 +127,27 @@ def forest(prints: np.ndarray, members: np.ndarray, left: np.ndarray, right: np.
 
     prints: [row, word]; members: bucket number of each row, in order; left and
     right: whether a row is a query, and whether queries are compared with it.
+    The first row to be compared with is a bucket's pivot: rows near it are one class
+    at once, and only pairs with another row than those are looked at.
     """
     label = np.arange(len(prints))
     r = np.flatnonzero(right)
+    if not len(r):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.searchsorted(members[r], members)
+    pivot = r[np.minimum(at, len(r) - 1)]
+    near = members[pivot] == members
+    near[near] = np.bitwise_count(prints[near] ^ prints[pivot[near]]).sum(axis=1) <= radius
+    _unite(label, np.flatnonzero(near), pivot[near])
+    _compare(label, prints, members, left & ~near, right, radius)
+    _compare(label, prints, members, left & near, right & ~near, radius)
+    away = np.flatnonzero(label != np.arange(len(prints)))
+    return away, label[away]
+
+
+def _compare(label: np.ndarray, prints: np.ndarray, members: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> None:
+    """Compare all queries with all other rows of their bucket, by bit planes, and merge the classes of near ones."""
+    r = np.flatnonzero(right)
     begin = np.concatenate([[0], np.flatnonzero(np.diff(members[r])) + 1, [len(r)]])
     lane_of, spans = [], {}
     for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
@@ -139,10 +157,10 @@ def forest(prints: np.ndarray, members: np.ndarray, left: np.ndarray, right: np.
                 own = np.full(64, -1)
                 own[: min(64, hi - at)] = r[at : min(at + 64, hi)]
                 lane_of.append(own)
-    if not lane_of:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    lane_of = np.stack(lane_of)
     queries = np.flatnonzero(left)
+    if not lane_of or not len(queries):
+        return
+    lane_of = np.stack(lane_of)
     first = np.array([spans.get(int(b), (0, 0))[0] for b in members[queries]], np.int64)
     count = np.array([spans.get(int(b), (0, 0))[1] for b in members[queries]], np.int64)
     done = np.concatenate([[0], np.cumsum(count)])
@@ -158,10 +176,7 @@ def forest(prints: np.ndarray, members: np.ndarray, left: np.ndarray, right: np.
             hit = np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
             a, lane = np.nonzero(hit)
             b = lane_of[block[live[a]], lane]
-            i, j = queries[q[live[a]]][b >= 0], b[b >= 0]
-            _unite(label, i, j)
-    away = np.flatnonzero(label != np.arange(len(prints)))
-    return away, label[away]
+            _unite(label, queries[q[live[a]]][b >= 0], b[b >= 0])
 
 
 def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -223,24 +238,63 @@ def bucket_keys(fp: Column, blocks: int, match: int) -> Column:
     return F.array(*keys)
 
 
-def bucket_links(keyed: DataFrame, radius: int, words: list[str]) -> DataFrame:
-    """Edges (u, v) of rows (key, vertex, words...): a spanning forest of each bucket's links.
+def dealt(rows: DataFrame, weight: Column, tile: int) -> DataFrame:
+    """Rows (key, label, ...) with ``pair`` and ``side``: the pairs of tiles in which they are compared.
 
-    Buckets beyond TILE members are dealt out as pairs of tiles.
+    Within a key only rows of different labels have to meet.  Rows of a key's
+    heaviest label lie in tiles of their own, which don't meet each other; all other
+    tiles meet each other and those.  A tile has a weight of about ``tile``; a key
+    within that is one pair, and a key of one label is left out.  side: bit 1, the
+    row is a query; bit 2, queries are compared with it.
     """
-    large = keyed.groupBy("key").count().where(F.col("count") > TILE).select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
-    tile = F.pmod(F.xxhash64("vertex"), F.col("tiles")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("tiles") - 1),
-        lambda other: F.struct(
-            (F.least(other, tile) * F.col("tiles") + F.greatest(other, tile)).cast("long").alias("pair"),
-            F.when(other == tile, F.lit(3)).when(tile < other, F.lit(1)).otherwise(F.lit(2)).cast("long").alias("side"),
-        ),
+    by_label = rows.groupBy("key", "label").agg(F.sum(weight).alias("w"))
+    keys = by_label.groupBy("key").agg(F.sum("w").alias("all"), F.max("w").alias("top"), F.max_by("label", F.struct("w", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+    tiles = lambda w: F.when(F.col("all") <= tile, 0).otherwise(F.ceil(w / tile)).cast("long")
+    plan = keys.where("labels > 1").select("key", "main", tiles(F.col("top")).alias("tp"), F.greatest(tiles(F.col("all") - F.col("top")), F.lit(1)).alias("tr"))
+    plan = shared.write_and_read(plan, "tiles")  # a plain table, so that a hot key's join can be split
+    main = (F.col("label") == F.col("main")) & (F.col("tp") > 0)
+    hash_of = F.xxhash64("vertex")
+    own = F.pmod(hash_of, F.col("tr"))
+    entry = lambda pair, side: F.struct(pair.cast("long").alias("pair"), F.lit(side).cast("long").alias("side") if isinstance(side, int) else side.cast("long").alias("side"))
+    base = F.col("tr") * F.col("tr")
+    met_by_rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tr") - 1), lambda j: entry(base + F.pmod(hash_of, F.greatest(F.col("tp"), F.lit(1))) * F.col("tr") + j, 2))
+    rest = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("tr") - 1),
+        lambda j: entry(F.least(j, own) * F.col("tr") + F.greatest(j, own), F.when(j == own, 3).when(own < j, 1).otherwise(2)),
     )
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("pair"), F.lit(3).cast("long").alias("side")))
-    dealt = keyed.join(large, "key", "left").select("key", "vertex", *words, F.explode(F.when(F.col("tiles").isNull(), whole).otherwise(pairs)).alias("x"))
-    rows = dealt.select("key", "x.pair", "x.side", "vertex", *words).repartition("key", "pair").sortWithinPartitions("key", "pair")
-    return rows.mapInArrow(_buckets(radius, len(words)), "u long, v long")
+    to_main = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("tp"), F.lit(1)) - 1), lambda i: entry(base + i * F.col("tr") + own, 1))
+    pairs = F.when(main, met_by_rest).otherwise(F.when(F.col("tp") > 0, F.concat(rest, to_main)).otherwise(rest))
+    return rows.join(plan, "key").select(*(f"`{c}`" for c in rows.columns), F.explode(pairs).alias("x")).select(*(f"`{c}`" for c in rows.columns), "x.pair", "x.side")
+
+
+def distance(a: list[str], b: list[str]) -> Column:
+    """Differing bits of two fingerprints, given the columns of their words."""
+    return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b, strict=True)), F.lit(0))
+
+
+def bucket_links(keyed: DataFrame, radius: int, words: list[str], sizes: DataFrame | None = None) -> DataFrame:
+    """Edges (u, v) of rows (key, vertex, words...): a spanning forest of each bucket's links.
+
+    A bucket beyond TILE members isn't compared pair by pair: its rows are first
+    linked to one of them, and then only rows that are in different components meet,
+    in tiles.  sizes: (key, count), if known.
+    """
+    large = (keyed.groupBy("key").count() if sizes is None else sizes).where(F.col("count") > TILE).select("key")
+    large = shared.write_and_read(large, "large")
+    plain = keyed.select("key", F.lit(0).cast("long").alias("pair"), F.lit(3).cast("long").alias("side"), "vertex", *words)
+    first = None
+    if not large.isEmpty():
+        hot = shared.write_and_read(keyed.join(large, "key"), "hot")
+        pivots = hot.groupBy("key").agg(F.min_by(F.struct(F.col("vertex").alias("other"), *(F.col(w).alias(f"p_{w}") for w in words)), F.xxhash64("vertex")).alias("p")).select("key", "p.*")
+        pivots = shared.write_and_read(pivots, "pivots")
+        near = distance(words, [f"p_{w}" for w in words]) <= radius
+        first = shared.write_and_read(hot.join(pivots, "key").where(near & (F.col("vertex") != F.col("other"))).select(F.col("vertex").alias("u"), F.col("other").alias("v")), "hot-links")
+        labels = shared.write_and_read(components(first), "hot-labels")
+        labelled = hot.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
+        plain = plain.join(large, "key", "left_anti").unionByName(dealt(labelled, F.lit(1), TILE).select(plain.columns))
+    rows = plain.repartition("key", "pair").sortWithinPartitions("key", "pair")
+    links = rows.mapInArrow(_buckets(radius, len(words)), "u long, v long")
+    return links if first is None else links.unionByName(first)
 
 
 def near_links(prints: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame:
@@ -280,24 +334,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(owner, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of sorted distinct hashes; two empty sets are alike."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
-
-
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """One row of each group of near-duplicates, the one of the smallest id; all columns are returned.
 
     Two rows are linked if the sets of their word shingles have at least this Jaccard
-    similarity, and a group is what links reach; both are exact (``set_join``).
+    similarity, and a group is what links reach.  Wide fingerprints propose links, and
+    each is checked exactly (``near_groups``).
 
     Each row is judged by its own text under a number written with the input, so
     ids may be null or repeated.  Null ids come before all others, and of equal ids
     in a group the smallest hash of the text stays.  Null, empty and wordless texts
     are alike.
     """
-    from .set_join import groups
+    from .near_groups import groups
 
     shared.prepare(df.sparkSession)
     numbered, own = shared.number_rows(df)

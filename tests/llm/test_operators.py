@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from quillon.llm import components, decontaminate, mixing, quality, queries, sharding, shared, simhash, suffix_dedup, token_counts, topk, url_filter, warc
+from quillon.llm import components, decontaminate, mixing, near_groups, quality, queries, sharding, shared, simhash, suffix_dedup, token_counts, topk, url_filter, warc
 
 #: Columns that an operator might use for itself, with other types.
 CLASH = {"id": "x", "row": 1.5, "key": "k", "text_": "t", "pid": "p", "shard": "s", "slot": "t", "tile": "u", "w0": "v", "component_id": "c", "segments": "g", "label": "l", "__tie": "t", "__own": "o"}
@@ -262,6 +262,19 @@ def test_near_duplicate_groups_are_those_of_all_pairs(spark):
     assert 120 < len(kept) < len(rows) - 120
 
 
+@pytest.mark.parametrize("tile", [300, 3000])
+def test_large_groups_are_compared_in_tiles_without_loss(spark, monkeypatch, tile):
+    monkeypatch.setattr(near_groups, "TILE_ELEMENTS", tile)
+    monkeypatch.setattr(simhash, "TILE", 16)
+    base = passage(42, 120).split(" ")
+    rows = [(i, " ".join(base) if i == 30 else edited(base, 2, i)) for i in range(60)]  # copies of one that is there
+    other = passage(43, 120).split(" ")
+    rows += [(100 + i, edited(other, 3, 100 + i)) for i in range(40)]  # copies of one that isn't, hardly alike
+    rows += [(200 + i, " ".join(other[:100]) + " " + passage(300 + i, 20)) for i in range(30)]  # a long passage that many share
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(documents(spark, rows)).collect())
+    assert kept == brute_firsts(rows)
+
+
 def test_rows_of_null_and_repeated_ids_go_only_for_their_own_text(spark):
     a, b, c = passage(50, 60), passage(51, 60), passage(52, 60)
     rows = [(None, a), (None, b), (None, a + " x"), (1, c), (2, passage(53, 60)), (2, passage(54, 60)), (3, c), (3, passage(55, 60)), (4, passage(55, 60))]
