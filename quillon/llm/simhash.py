@@ -352,9 +352,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     numbered, own = shared.number_rows(df)
     text = F.col(f"`{text_col}`").cast("string")
     labels = shared.write_and_read(groups(numbered.select(F.col(own).alias("own"), text.alias("text")), shingle, similarity, seed), "groups")
-    several = labels.groupBy("label").count().where("count > 1").select("label")
+    several = shared.write_and_read(labels.groupBy("label").count().where("count > 1").select("label"), "several")  # a plain table, so that a hot group's join can be split
     ids = numbered.select(F.col(own).alias("own"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("tie"))
     members = shared.write_and_read(labels.join(several, "label").join(ids, "own").select("label", "id", "tie", "own"), "members")
-    first = members.groupBy("label").agg(F.min(F.struct("id", "tie", "own")).alias("first")).select("first.own")
-    going = members.select(F.col("own").alias(own)).join(first.withColumnRenamed("own", own), own, "left_anti")
+    first = members.groupBy("label").agg(F.min(F.struct("id", "tie", "own")).alias("first")).select(F.col("first.own").alias("own"))
+    going = members.select("own").join(first, "own", "left_anti").withColumnRenamed("own", own)
     return shared.without(numbered, own, going).select(*(f"`{c}`" for c in df.columns))
