@@ -522,14 +522,14 @@ def test_top_k_matches_brute_force(spark, monkeypatch, tile, shard, fan):
         monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=4), 1)]) for i in range(90)]
-    rows += [(200, None), (201, [1.0, None, 1.0, 1.0]), (202, [float("nan"), 1.0, 1.0, 1.0]), (203, [float("inf"), 1.0, 1.0, 1.0]), (204, []), (7, rows[7][1]), (None, [1.0, 1.0, 1.0, 1.0])]
+    rows += [(200, None), (201, [1.0, None, 1.0, 1.0]), (202, [float("nan"), 1.0, 1.0, 1.0]), (203, [float("inf"), 1.0, 1.0, 1.0]), (204, []), (7, rows[7][1]), (None, [1.0, 1.0, 1.0, 1.0]), (20, rows[20][1]), (20, rows[3][1]), (40, rows[40][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4).withColumns({"id": F.lit("x"), "vector": F.lit("y"), "part": F.lit("z"), "score": F.lit("s")})
     valid = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     expected = []
-    for q, v in sorted({(i, tuple(v)) for i, v in valid if i % 20 == 0}):
-        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in valid if i != q)[:20]
-        expected += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
-    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == expected
+    for at, (q, v) in enumerate(valid):
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for there, (i, w) in enumerate(valid) if there != at)[:20]
+        expected += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best) if q % 20 == 0]
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == sorted(expected)
     assert topk.top_k(df.limit(0)).count() == 0
 
 
@@ -541,6 +541,8 @@ def test_products_are_exact_beyond_floats():
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df).collect()] == [(0, 1, 1, 8192)]
+    alike = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.top_k(alike).collect()) == [(0, 1, 1, 8192)] * 2 + [(0, 2, 0, 4096)] * 2
 
 
 # ---- token counts --------------------------------------------------------------------------------
