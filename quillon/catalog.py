@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import docids, text, vectors
 from .operators import beam, chat, collisions, metrics, quantizer, retrieval, splits, trie
+from .plans import datasets, evaluation, generation
 from .plans import semantic_ids as ids_plan
-from .schema import IdSpec
+from .schema import CHAT, ITEM, QUERY, IdSpec
+from .sources import files
 
 SPEC = IdSpec(dim=64, subspaces=4, codes=8)
 
@@ -86,6 +89,26 @@ def pq_codes_relational(spark, sf_dir):
     return quantizer.encode_relational(vecs, _book(spark, sf_dir), SPEC).select("vec_id", _joined(F.col("codes")).alias("codes"))
 
 
+TURNED = CODES.replace("CAST(embedding[m * 16 + 1 : m * 16 + 16] AS DOUBLE[]) AS x FROM embeddings", "CAST(list_concat(embedding[2:64], embedding[1:1])[m * 16 + 1 : m * 16 + 16] AS DOUBLE[]) AS x FROM embeddings").replace(
+    "c AS (SELECT vec_id AS code, m, x AS w FROM s WHERE vec_id BETWEEN 0 AND 7)", "c AS (SELECT vec_id AS code, m, CAST(embedding[m * 16 + 1 : m * 16 + 16] AS DOUBLE[]) AS w FROM embeddings, range(4) t(m) WHERE vec_id BETWEEN 0 AND 7)"
+)
+
+
+@query(f"WITH {TURNED} SELECT vec_id, {_joined_sql('codes')} AS codes FROM k")
+def rotated_codes(spark, sf_dir):
+    """Codes of vectors after a rotation, here the orthogonal matrix that moves each component one place."""
+    vecs = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    turned = quantizer.encode(vecs, _book(spark, sf_dir), SPEC, rotation=np.roll(np.eye(SPEC.dim), 1, axis=1))
+    return turned.select("vec_id", _joined(F.col("codes")).alias("codes"))
+
+
+@query(f"WITH {IDS} SELECT vec_id, {_joined_sql('ids')} AS codes, CAST(len(ids) AS INTEGER) AS n FROM named")
+def docid_codes(spark, sf_dir):
+    """Semantic ids read back into codes, token by token."""
+    named = collisions.with_docid(_ids(spark, sf_dir))
+    return named.select("vec_id", _joined(docids.docid_codes(F.col("doc_id"))).alias("codes"), F.size(docids.docid_tokens(F.col("doc_id"))).alias("n"))
+
+
 @query(f"WITH {IDS} SELECT vec_id, doc_id FROM named")
 def semantic_ids(spark, sf_dir):
     return ids_plan.assign(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), _book(spark, sf_dir), SPEC).select("vec_id", "doc_id")
@@ -221,10 +244,88 @@ def text_extract(spark, sf_dir):
     UNION ALL SELECT doc_id, 1, 'assistant', md5('id-' || doc_id) FROM documents""")
 def chat_records(spark, sf_dir):
     items = _items(spark, sf_dir)
-    rows = items.select("ord", F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")), F.struct(F.lit("assistant").alias("role"), F.col("doc_id").alias("content"))).alias("conversations"))
+    rows = chat.to_chat(items, keep=("ord",))
     return rows.select(F.col("ord").alias("doc_id"), F.posexplode("conversations").alias("pos", "turn")).select("doc_id", "pos", "turn.role", F.md5("turn.content").alias("content_md5"))
 
 
+def _lines(spark, sf_dir, question: bool) -> str:
+    """Documents (or questions about them) as JSON lines in two folders of unequal size; returns their parent.
+
+    Positions are those of the documents' ids.  Records have a key that no schema names,
+    and ``operation`` is there and null, or absent.
+    """
+    path = files.scratch(spark, "lines")
+    docs = _questions(spark, sf_dir) if question else _items(spark, sf_dir)
+    operation = F.when(F.col("ord") % 4 == 1, F.lit(', "operation": null')).otherwise(F.lit(""))
+    body = F.to_json(F.struct("text_id", "text", F.concat(F.lit("t"), "ord").alias("title")))
+    line = F.concat(body.substr(F.lit(1), F.length(body) - 1), operation, F.lit("}"))
+    rows = docs.select("ord", line.alias("value"))
+    small = rows.where("ord < 7").orderBy("ord"), rows.where("ord >= 7").orderBy("ord")
+    for name, part in zip(("a", "b"), small, strict=True):
+        part.select("value").write.text(f"{path}/{name}")
+    return path
+
+
+LINE_IDS = """
+    k AS (SELECT doc_id AS ord, text, [doc_id % 11, doc_id % 7] AS codes FROM documents),
+    f AS (SELECT ord, text, CASE WHEN count(*) OVER (PARTITION BY codes) > 1 THEN list_append(codes, row_number() OVER (PARTITION BY codes ORDER BY ord) - 1) ELSE codes END AS ids FROM k),
+    l AS (SELECT ord, text, list_aggregate(list_transform(ids, lambda x, i: '<|d' || (i - 1) || '_' || x || '|>'), 'string_agg', ' ') AS doc_id FROM f)"""
+
+
+def _with_ids(spark, sf_dir) -> str:
+    """The lines of documents with the ids of a table of codes, as the generation plan writes them."""
+    codes, out = files.scratch(spark, "codes"), files.scratch(spark, "with-ids")
+    table = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.array((F.col("doc_id") % 11).cast("int"), (F.col("doc_id") % 7).cast("int")).alias("codes"))
+    files.write_codes(table, codes, 2)
+    ids = collisions.with_docid(collisions.disambiguate(files.read_codes(spark, codes, 2), "ord"))
+    items = files.read_jsonl(spark, [f"{(path := _lines(spark, sf_dir, False))}/a", f"{path}/b"], ITEM, records=True)
+    files.write_records(ids_plan.attach(items, ids), out, ["ord"])
+    return out
+
+
+@query(f"WITH {LINE_IDS} SELECT ord, CAST(ord AS VARCHAR) AS text_id, md5('document: ' || text) AS text_md5, doc_id, 't' || ord AS title, CASE WHEN ord % 4 = 1 THEN 'doc_id,operation,text,text_id,title' ELSE 'doc_id,text,text_id,title' END AS keys FROM l")
+def ids_in_files(spark, sf_dir):
+    """Positions over files, codes read from a table, ids written into records with all their keys and nulls."""
+    rows = files.read_jsonl(spark, _with_ids(spark, sf_dir), ITEM, records=True)
+    keys = F.array_join(F.array_sort(F.map_keys("record")), ",")
+    return rows.select("ord", "text_id", F.md5("text").alias("text_md5"), "doc_id", F.try_variant_get(F.col("record")["title"], "$", "string").alias("title"), keys.alias("keys"))
+
+
+@query(f"""WITH {LINE_IDS}, n AS (SELECT count(*) AS n FROM documents), cut AS (SELECT n * 9 // 10 AS d, n * 7 // 10 AS q, n * 7 // 10 + n * 2 // 10 AS t FROM n),
+    r AS (SELECT 'document' AS kind, ord, doc_id, 'document: ' || text AS text, CASE WHEN ord < d THEN 'train' ELSE 'icl_test' END AS split FROM l, cut
+        UNION ALL SELECT 'query', ord, doc_id, split_part(text, '.', 1), CASE WHEN ord < q THEN 'train' WHEN ord < t THEN 'test' ELSE 'icl_test' END FROM l, cut)
+    SELECT split, row_number() OVER (PARTITION BY split ORDER BY kind, ord) - 1 AS ord, CAST(ord AS VARCHAR) AS text_id, doc_id, md5(text) AS text_md5, 't' || ord AS title FROM r""")
+def split_files(spark, sf_dir):
+    """Documents and questions paired by position over files, split, written a folder per split, and read in order."""
+    path, out = _lines(spark, sf_dir, True), files.scratch(spark, "splits")
+    items = files.read_jsonl(spark, _with_ids(spark, sf_dir), ITEM, records=True)
+    questions = files.read_jsonl(spark, [f"{path}/a", f"{path}/b"], QUERY, records=True)
+    files.write_records(datasets.split_records(items, questions), out, ["kind", "ord"], by="split")
+    title = F.try_variant_get(F.col("record")["title"], "$", "string").alias("title")
+    each = [files.read_jsonl(spark, f"{out}/split={x}", ITEM, records=True).select(F.lit(x).alias("split"), "ord", "text_id", "doc_id", F.md5("text").alias("text_md5"), title) for x in ("train", "test", "icl_test")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query(f"""WITH {LINE_IDS} SELECT ord, md5('document: ' || text) AS question_md5, doc_id AS answer FROM l""")
+def chat_files(spark, sf_dir):
+    """Chat records written from a file of items, read back in order."""
+    out = files.scratch(spark, "chat")
+    datasets.chat_records(spark, _with_ids(spark, sf_dir), out)
+    turns = files.read_jsonl(spark, out, CHAT)
+    asked = chat.question_and_answer(turns.withColumns({"text": F.lit(None).cast("string"), "doc_id": F.lit(None).cast("string")}))
+    return asked.select("ord", F.md5("question").alias("question_md5"), F.col("golden").alias("answer"))
+
+
+@query("""SELECT doc_id AS ord FROM documents WHERE doc_id < 25 UNION ALL SELECT doc_id + 1000000 FROM documents, (SELECT count(*) AS n FROM documents) WHERE doc_id >= n // 4 AND doc_id < n // 2
+    UNION ALL SELECT doc_id + 2000000 FROM documents, (SELECT count(*) AS n FROM documents) WHERE doc_id < n - 10""")
+def position_slices(spark, sf_dir):
+    """The first 25 rows, a range, and all but the last ten."""
+    rows = _items(spark, sf_dir).select("ord")
+    n = rows.count()
+    first, middle, most = splits.head(rows, 25), splits.position_range(rows, n // 4, n // 2), splits.head(rows, -10)
+    return first.unionByName(middle.select((F.col("ord") + 1_000_000).alias("ord"))).unionByName(most.select((F.col("ord") + 2_000_000).alias("ord")))
+
+
 NORMAL = "CASE role WHEN 'gpt' THEN 'assistant' WHEN 'model' THEN 'assistant' WHEN 'human' THEN 'user' WHEN 'assistant' THEN role WHEN 'user' THEN role WHEN 'system' THEN role END"
 
 
@@ -371,6 +472,34 @@ def running_hits(spark, sf_dir):
     return metrics.running_rate(rows, "query", "hit").select("query", F.round("rate", 6).alias("rate"))
 
 
+@query(f"WITH {BEAMS} SELECT query, CAST(rank AS INTEGER) AS rank, doc_id || '<|im_end|>' AS text, doc_id, round(score, 6) AS score FROM beams")
+def generate_ids(spark, sf_dir):
+    """From questions to cleaned ids: prompts, scores of a model (here the quantizer), constrained search."""
+    vecs = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    scores = beam.quantizer_scores(vecs, _book(spark, sf_dir), SPEC)
+    questions = vecs.select(F.col("vec_id").alias("query"), F.concat(F.lit("question: vector "), F.col("vec_id")).alias("text"))
+    scorer = lambda asked: scores.join(asked, "query").drop("prompt")
+    found = generation.generate_ids(questions, trie.edges(_ids(spark, sf_dir)), scorer, SPEC.levels, codes=SPEC.codes)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {JUDGED}, a AS (SELECT vec_id AS ord, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE p END AS p FROM judged), n AS (SELECT query, count(*) AS n FROM beams GROUP BY query)
+    SELECT ord, 'question: vector ' || ord AS question, doc_id AS golden, CAST(CASE WHEN ord % 3 = 0 THEN 0 ELSE n END AS INTEGER) AS answers, p = 1 AS hit_at_1, p BETWEEN 1 AND 10 AS hit_at_10,
+    round(avg(CAST(p = 1 AS INTEGER)) OVER (ORDER BY ord), 6) AS running_hit_at_1, round(avg(CAST(p BETWEEN 1 AND 10 AS INTEGER)) OVER (ORDER BY ord), 6) AS running_hit_at_10
+    FROM a JOIN named ON named.vec_id = ord JOIN n ON n.query = ord""")
+def evaluation_rows(spark, sf_dir):
+    """Judged test items, flat and as chat records; a third of them has no generated text and counts as missed."""
+    golden = collisions.with_docid(_ids(spark, sf_dir))
+    asked, flat = F.concat(F.lit("vector "), F.col("vec_id")), F.col("vec_id") % 2 == 0
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    chats = F.when(~flat, F.array(turn("user", asked), turn("assistant", F.col("doc_id"))))
+    items = golden.select(F.col("vec_id").alias("ord"), F.when(flat, asked).alias("text"), F.when(flat, F.col("doc_id")).alias("doc_id"), chats.alias("conversations"))
+    found = _beams(spark, sf_dir).where(F.col("query") % 3 != 0).select("query", "rank", F.concat(F.lit("  "), docids.semantic_docid(F.col("ids")), F.lit("<|im_end|>")).alias("text"))
+    rows = evaluation.judge(evaluation.test_questions(items), found)
+    rates = {c: F.round(c, 6) for c in ("running_hit_at_1", "running_hit_at_10")}
+    return rows.select("ord", "question", "golden", F.size("beams").alias("answers"), "hit_at_1", "hit_at_10", "running_hit_at_1", "running_hit_at_10").withColumns(rates)
+
+
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
     s AS (SELECT a.vec_id // 5 AS qid, a.vec_id AS beam, b.vec_id AS doc, round(list_inner_product(a.v, b.v), 9) AS score FROM e a, e b),
     t AS (SELECT *, row_number() OVER (PARTITION BY qid, beam ORDER BY score DESC, doc) AS r FROM s QUALIFY r <= 5),

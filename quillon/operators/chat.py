@@ -13,10 +13,10 @@ EOS = "<|im_end|>"
 SEQUENCE_LENGTHS = {"chat": 2048, "nq": 8192, "amazon": 1024, "msmarco": 2048}
 
 
-def to_chat(df: DataFrame, text: str = "text", answer: str = "doc_id") -> DataFrame:
-    """Two-turn records: the text asks, the id answers."""
+def to_chat(df: DataFrame, text: str = "text", answer: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Two-turn records: the text asks, the id answers; with the columns to keep."""
     turn = lambda role, content: F.struct(F.lit(role).alias("role"), F.col(content).alias("content"))
-    return df.select(F.array(turn("user", text), turn("assistant", answer)).alias("conversations"))
+    return df.select(*keep, F.array(turn("user", text), turn("assistant", answer)).alias("conversations"))
 
 
 def question_and_answer(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import quiet_columns
 from ..functions.text import strip
 
 METRICS = ("hits", "mrr", "ndcg")
@@ -24,13 +25,16 @@ def first_rank(beams: Column, golden: Column) -> Column:
 def metrics(df: DataFrame, ks: tuple[int, ...] = (1, 10), beams: str = "beams", golden: str = "golden", check: bool = True) -> DataFrame:
     """(metric, k, value): means over all rows, compared as they are; empty input gives no rows.
 
-    With ``check``, a k beyond the number of queries raises, as the definition asks.
+    One pass: the means and the count come to the driver as one row.  With ``check``,
+    a k beyond the number of queries raises, as the definition asks.
     """
-    if check and max(ks) > df.count():
-        raise ValueError(f"k = {max(ks)} is more than the number of queries")
     place = df.select(first_rank(F.col(beams), F.col(golden)).alias("p"))
-    each = [F.struct(F.lit(m).alias("metric"), F.lit(k).alias("k"), F.avg(gain(m, F.col("p"), F.lit(k))).alias("value")) for m in METRICS for k in ks]
-    return place.agg(F.array(*each).alias("all")).select(F.inline("all")).where("value IS NOT NULL")
+    each = [(m, k) for m in METRICS for k in ks]
+    found = place.agg(F.count(F.lit(1)).alias("n"), *(F.avg(gain(m, F.col("p"), F.lit(k))).alias(f"{m}@{k}") for m, k in each)).first()
+    if check and max(ks) > found["n"]:
+        raise ValueError(f"k = {max(ks)} is more than the number of queries")
+    rows = [(m, k, found[f"{m}@{k}"]) for m, k in each if found["n"]]
+    return df.sparkSession.createDataFrame(rows, "metric string, k int, value double")
 
 
 def hits(df: DataFrame, beams: str = "beams", golden: str = "golden", deep: int = 10) -> DataFrame:
@@ -46,19 +50,27 @@ def hit_summary(df: DataFrame) -> DataFrame:
     return df.agg(F.avg(F.col("hit_at_1").cast("double")).alias("hit_at_1"), F.avg(F.col("hit_at_10").cast("double")).alias("hit_at_10"), one("hit_at_1").alias("hit_at_1_count"), one("hit_at_10").alias("hit_at_10_count"), F.count(F.lit(1)).alias("total"))
 
 
-def running_rate(df: DataFrame, order: str, value: str, name: str = "rate", block: int = 1_000_000) -> DataFrame:
-    """Add the mean of ``value`` over all rows up to each row, by a unique long ``order`` that is not negative.
+def running_rates(df: DataFrame, order: str, values: dict[str, Column], block: int = 1_000_000) -> DataFrame:
+    """Add the means of the values over all rows up to each row, by a unique long ``order`` that is not negative.
 
     Sums run within blocks of positions and are shifted by those of earlier blocks:
     the one ordered window over everything has a row per block.
     """
-    rows = df.withColumn("__block", F.floor(F.col(order) / block))
-    blocks = rows.groupBy("__block").agg(F.sum(F.col(value).cast("double")).alias("__s"), F.count(F.lit(1)).alias("__c"))
-    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = blocks.select("__block", F.coalesce(F.sum("__s").over(before), F.lit(0.0)).alias("__bs"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__bc"))
-    here = Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = rows.withColumns({"__rs": F.sum(F.col(value).cast("double")).over(here), "__rc": F.count(F.lit(1)).over(here)})
-    return summed.join(shifts, "__block").select(*df.columns, ((F.col("__bs") + F.col("__rs")) / (F.col("__bc") + F.col("__rc"))).alias(name))
+    at, count, base, *used = quiet_columns(df, "block", "count", "base", *(f"v{i}" for i in range(3 * len(values))))
+    value, total, shift = (used[i :: 3] for i in range(3))
+    rows = df.withColumns({at: F.floor(F.col(order) / block), **{v: x.cast("double") for v, x in zip(value, values.values(), strict=True)}})
+    blocks = rows.groupBy(at).agg(F.count(F.lit(1)).alias(base), *(F.sum(v).alias(s) for v, s in zip(value, shift, strict=True)))
+    before = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = blocks.select(at, *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in [base, *shift]))
+    here = Window.partitionBy(at).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = rows.withColumns({count: F.count(F.lit(1)).over(here), **{t: F.sum(v).over(here) for v, t in zip(value, total, strict=True)}})
+    done = ((F.col(s) + F.col(t)) / (F.col(base) + F.col(count)) for s, t in zip(shift, total, strict=True))
+    return summed.join(shifts, at).select(*(f"`{c}`" for c in df.columns), *(x.alias(name) for name, x in zip(values, done, strict=True)))
+
+
+def running_rate(df: DataFrame, order: str, value: str, name: str = "rate", block: int = 1_000_000) -> DataFrame:
+    """Add the mean of ``value`` over all rows up to each row; see ``running_rates``."""
+    return running_rates(df, order, {name: F.col(value)}, block)
 
 
 def prediction_rows(df: DataFrame, text: str = "question", golden: str = "golden", beams: str = "beams") -> DataFrame:
@@ -67,5 +79,5 @@ def prediction_rows(df: DataFrame, text: str = "question", golden: str = "golden
 
 
 def result_document(predictions: DataFrame) -> DataFrame:
-    """One row: the summary with all predictions nested; for result files of test sets."""
+    """One row: the summary with all predictions nested; only for small result files, one row has to hold them."""
     return hit_summary(predictions).join(predictions.agg(F.collect_list(F.struct("text", "true_docid", "predicted_docid", "hit_at_1", "hit_at_10")).alias("predictions")))

@@ -55,18 +55,25 @@ def nearest(book: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def encode(df: DataFrame, codebook: DataFrame, spec: IdSpec, vector_col: str = "embedding", normalise: bool = False, rotation: np.ndarray | None = None) -> DataFrame:
-    """Add ``codes``: the nearest centroid (as stored) of each subspace, by an Arrow kernel."""
+    """Add ``codes``: the nearest centroid (as stored) of each subspace, by an Arrow kernel.
+
+    A null vector has no codes (an empty array); one of another dimension raises.
+    """
     book = df.sparkSession.sparkContext.broadcast(codebook_array(codebook, spec))
     turn = None if rotation is None else df.sparkSession.sparkContext.broadcast(np.asarray(rotation, float))
 
     @F.pandas_udf("array<int>")
     def codes(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        x = preprocess(np.stack(v.to_numpy()).astype(np.float64), normalise, None if turn is None else turn.value)
-        if x.shape[1] != spec.dim:
-            raise ValueError(f"vectors need {spec.dim} components, not {x.shape[1]}")
-        return pd.Series(list(nearest(book.value, x.reshape(len(x), spec.subspaces, spec.width))))
+        out = pd.Series([None] * len(v), dtype=object)
+        there = v.notna().to_numpy()
+        if there.any():
+            if wrong := {len(x) for x in v[there]} - {spec.dim}:
+                raise ValueError(f"vectors need {spec.dim} components, not {min(wrong)}")
+            x = preprocess(np.stack(v[there].to_numpy()).astype(np.float64), normalise, None if turn is None else turn.value)
+            found = nearest(book.value, x.reshape(len(x), spec.subspaces, spec.width))
+            for i, codes in zip(np.flatnonzero(there).tolist(), found, strict=True):
+                out[i] = codes
+        return out
 
     # never null, so that a later join doesn't add a filter that evaluates the kernel once more
     return df.withColumn("codes", F.coalesce(codes(F.col(vector_col)), F.array().cast("array<int>")))
@@ -144,7 +151,7 @@ def usage_entropy(usage: DataFrame, share: Column | None = None) -> DataFrame:
     return each.agg((-F.avg("entropy")).alias("diversity_loss"))
 
 
-def kmeans_codebook(df: DataFrame, spec: IdSpec, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 12_800, seeds: tuple[int, ...] = (42,), normalise: bool = False) -> DataFrame:
+def kmeans_codebook(df: DataFrame, spec: IdSpec, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 12_800, seeds: tuple[int, ...] = tuple(range(42, 52)), normalise: bool = False) -> DataFrame:
     """A codebook by k-means per subspace on a bounded sample, the best of several seeds.
 
     The sample is the rows with the smallest hashes of their id, so it doesn't

@@ -13,8 +13,10 @@ from ..functions.text import words
 
 PER_BEAM = 5
 TOP_K = 5
-#: Vectors in a block of queries or catalog rows.
-BLOCK = 4096
+#: Vectors in a block of queries, and of catalog rows.
+BLOCK, CATALOG_BLOCK = 4096, 65_536
+#: Distinct asked terms that are broadcast at most.
+MOST_TERMS = 1_000_000
 # The parameters of the lexical score.
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -31,19 +33,22 @@ def per_beam_top(found: DataFrame, n: int = PER_BEAM) -> DataFrame:
     return found.withColumn("r", place).where(F.col("r") <= n).drop("r")
 
 
-def _pack():
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf[["a", "b"]].to_numpy(np.int64)
-        m = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "dim": [m.shape[1]], "ids": [ids.tobytes()], "m": [m.tobytes()]})
-
-    return pack
+def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    ids = pdf[["a", "b"]].to_numpy(np.int64)
+    m = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+    return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "dim": [m.shape[1]], "ids": [ids.tobytes()], "m": [m.tobytes()]})
 
 
 def _blocks(df: DataFrame, a: str, b: str, v: str, n: int) -> DataFrame:
-    """Vectors packed into n blocks by a hash of their ids."""
-    rows = df.where(F.col(v).isNotNull()).select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"), F.col(v).cast("array<double>").alias("v"))
-    return rows.withColumn("block", F.pmod(F.xxhash64("a", "b"), F.lit(n))).groupBy("block").applyInPandas(_pack(), "block long, dim long, ids binary, m binary")
+    """Vectors of a length packed into n blocks by a hash of their ids; null and empty ones fall away."""
+    rows = df.where(F.size(v) > 0).select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"), F.col(v).cast("array<double>").alias("v"))
+    rows = rows.withColumns({"block": F.pmod(F.xxhash64("a", "b"), F.lit(n)), "dim": F.size("v")})
+    return rows.groupBy("block", "dim").applyInPandas(_pack, "block long, dim long, ids binary, m binary")
+
+
+def _to_each(blocks: DataFrame, n: int) -> DataFrame:
+    """Every block beside each number below n."""
+    return blocks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
 
 
 def _products(n: int):
@@ -52,11 +57,11 @@ def _products(n: int):
             for dim, qi, qm, ci, cm in zip(pdf["dim"], pdf["qi"], pdf["qm"], pdf["ids"], pdf["m"], strict=True):
                 q, c = np.frombuffer(qm).reshape(-1, dim), np.frombuffer(cm).reshape(-1, dim)
                 beams, docs = np.frombuffer(qi, np.int64).reshape(-1, 2), np.frombuffer(ci, np.int64).reshape(-1, 2)[:, 0]
-                for at in range(0, len(q), 512):
-                    s = np.round(q[at : at + 512] @ c.T, 9)
+                for at in range(0, len(q), 128):  # bounds the products in memory
+                    s = np.round(q[at : at + 128] @ c.T, 9)
                     keep = s >= (np.partition(s, -n, axis=1)[:, -n, None] if s.shape[1] > n else -np.inf)
                     i, j = np.nonzero(keep)
-                    own = beams[at : at + 512]
+                    own = beams[at : at + 128]
                     yield pd.DataFrame({"qid": own[i, 0], "beam": own[i, 1], "doc": docs[j], "score": s[i, j]})
 
     return run
@@ -65,38 +70,58 @@ def _products(n: int):
 def dense_retrieve(queries: DataFrame, catalog: DataFrame, top_k: int = TOP_K, per_beam: int = PER_BEAM) -> DataFrame:
     """Dense retrieval of questions with several vectors each.
 
-    queries: (qid, beam, v); catalog: (doc, v); all long ids.  Products are taken
-    block by block: each catalog block meets each query block once, and only the
-    best of a pair of blocks leave it.  Scores are rounded to nine places, ties go
-    to the smaller document; a catalog with fewer rows than asked for gives them all.
+    queries: (qid, beam, v); catalog: (doc, v); all long ids.  Products are taken block
+    by block, and only the best of a pair of blocks leave it.  Each block of one side is
+    sent to every block of the other, on the side where that moves fewer vectors.
+    Scores are rounded to nine places, ties go to the smaller document; a catalog with
+    fewer rows than asked for gives them all; vectors of different lengths aren't
+    compared, null and empty ones take no part.
     """
-    sizes = [max(1, -(-df.count() // BLOCK)) for df in (queries, catalog)]
-    q = _blocks(queries, "qid", "beam", "v", sizes[0]).select("dim", F.col("ids").alias("qi"), F.col("m").alias("qm"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sizes[1] - 1).cast("long"))).alias("block"))
-    c = _blocks(catalog, "doc", "doc", "v", sizes[1])
+    n_queries, n_docs = queries.count(), catalog.count()
+    query_blocks, doc_blocks = max(1, -(-n_queries // BLOCK)), max(1, -(-n_docs // CATALOG_BLOCK))
+    q = _blocks(queries, "qid", "beam", "v", query_blocks).withColumnsRenamed({"ids": "qi", "m": "qm"})
+    c = _blocks(catalog, "doc", "doc", "v", doc_blocks)
+    if n_queries * doc_blocks <= n_docs * query_blocks:
+        q = _to_each(q, doc_blocks)
+    else:
+        c = _to_each(c, query_blocks)
     found = q.join(c, ["block", "dim"]).select("dim", "qi", "qm", "ids", "m").mapInPandas(_products(per_beam), "qid long, beam long, doc long, score double")
     return merge(per_beam_top(found, per_beam), top_k)
 
 
-def term_counts(catalog: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
-    """(doc, term, f): postings."""
-    return catalog.select(F.col(doc).alias("doc"), F.explode(words(F.col(text))).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("f"))
+def document_frequencies(catalog: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df): distinct words of each row, counted before they are shuffled."""
+    return catalog.select(F.explode(F.array_distinct(words(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def term_counts(catalog: DataFrame, asked: DataFrame | None = None, doc: str = "doc", text: str = "text") -> DataFrame:
+    """(doc, term, f, dl): postings with the document's length; with ``asked`` (term), of those terms only."""
+    w = words(F.col(text))
+    found = catalog.select(F.col(doc).alias("doc"), F.size(w).alias("dl"), F.explode(w).alias("term"))
+    if asked is not None:
+        found = found.join(asked, "term", "left_semi")
+    return found.groupBy("doc", "term", "dl").agg(F.count(F.lit(1)).alias("f"))
 
 
 def lexical_retrieve(queries: DataFrame, catalog: DataFrame, top_k: int = TOP_K, per_beam: int = PER_BEAM) -> DataFrame:
     """Okapi BM25 retrieval: (qid, doc, score, rk).
 
     queries: (qid, beam, text); catalog: (doc, text).  Terms in more than half of
-    the documents get FLOOR times the mean inverse frequency.  Only terms that some
-    query has are joined; a frequent term's postings are a skewed inner join.
+    the documents get FLOOR times the mean inverse frequency.  Document frequencies are
+    counted per row, and postings are made only for terms that some query has; these are
+    broadcast up to MOST_TERMS.  A frequent term's postings are a skewed inner join.
     """
-    lengths = catalog.select(F.col("doc"), F.size(words(F.col("text"))).alias("dl"))
+    lengths = catalog.select(F.size(words(F.col("text"))).alias("dl"))
     size = lengths.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    postings = term_counts(catalog)
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(size)).withColumn("idf", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    mean = df.agg(F.avg("idf").alias("mean"))  # one row
-    weights = df.join(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf")).alias("idf"), "avgdl")
+    df = document_frequencies(catalog).join(F.broadcast(size)).withColumn("idf", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     asked = queries.select("qid", "beam", F.explode(words(F.col("text"))).alias("term")).groupBy("qid", "beam", "term").agg(F.count(F.lit(1)).alias("qf"))
+    terms = asked.select("term").distinct()
+    if terms.count() <= MOST_TERMS:
+        terms = F.broadcast(terms)
+    mean = df.agg(F.avg("idf").alias("mean"))  # one row
+    idf = F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf"))
+    weights = df.join(terms, "term", "left_semi").join(F.broadcast(mean)).select("term", idf.alias("idf"), "avgdl")
     f = F.col("f")
     gain = F.col("qf") * F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(weights, "term").join(postings, "term").join(lengths, "doc").groupBy("qid", "beam", "doc").agg(F.round(F.sum(gain), 9).alias("score"))
+    scored = asked.join(weights, "term").join(term_counts(catalog, terms), "term").groupBy("qid", "beam", "doc").agg(F.round(F.sum(gain), 9).alias("score"))
     return merge(per_beam_top(scored, per_beam), top_k)

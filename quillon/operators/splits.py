@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import quiet_columns
+
 
 def pair(docs: DataFrame, queries: DataFrame, key: str = "text_id") -> DataFrame:
     """Give each question the ``doc_id`` of the document at its position (``ord``).
@@ -12,11 +14,12 @@ def pair(docs: DataFrame, queries: DataFrame, key: str = "text_id") -> DataFrame
     Both tables need the same positions and, at each, the same key; else an error
     is raised when the rows are used.
     """
-    d = docs.select("ord", F.col(key).alias("__key"), F.col("doc_id").alias("__doc_id"), F.lit(True).alias("__there"))
+    own, doc_id, there = quiet_columns(queries, "key", "doc_id", "there")
+    d = docs.select("ord", F.col(key).alias(own), F.col("doc_id").alias(doc_id), F.lit(True).alias(there))
     both = queries.drop("doc_id").join(d, "ord", "full_outer")
-    wrong = F.col("__there").isNull() | ~F.col(key).eqNullSafe(F.col("__key"))
+    wrong = F.col(there).isNull() | ~F.col(key).eqNullSafe(F.col(own))
     said = F.raise_error(F.concat(F.lit("documents and questions differ at position "), F.col("ord").cast("string")))
-    return both.withColumn("doc_id", F.when(wrong, said.cast("string")).otherwise(F.col("__doc_id"))).drop("__key", "__doc_id", "__there")
+    return both.withColumn("doc_id", F.when(wrong, said.cast("string")).otherwise(F.col(doc_id))).drop(own, doc_id, there)
 
 
 def check_lengths(docs: DataFrame, queries: DataFrame) -> int:

@@ -378,3 +378,87 @@ def test_report_logs_rows(spark, caplog):
     with caplog.at_level("INFO", logger="quillon"):
         files.report("ids", spark.range(3))
     assert len(caplog.records) == 3
+
+
+def test_positions_follow_files_of_unequal_size(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.jsonl").write_text("".join(f'{{"text_id": "a{i}"}}\n' for i in range(3)))
+    (tmp_path / "in/b.jsonl").write_text("".join(f'{{"text_id": "b{i}", "text": "{"x" * 50}"}}\n\n' for i in range(4000)))
+    rows = files.read_jsonl(spark, str(tmp_path / "in"), ITEM).select("ord", "text_id").collect()
+    assert sorted(tuple(r) for r in rows) == list(enumerate([f"a{i}" for i in range(3)] + [f"b{i}" for i in range(4000)]))
+    blocks = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        cut = files.read_jsonl(spark, str(tmp_path / "in"), ITEM)
+        assert cut.rdd.getNumPartitions() > 5
+        assert sorted(tuple(r) for r in cut.select("ord", "text_id").collect()) == sorted(tuple(r) for r in rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", blocks)
+    (tmp_path / "bad").write_text('{"text_id": 1}\nnot json\n')
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        files.read_jsonl(spark, str(tmp_path / "bad"), ITEM).collect()
+
+
+def test_unknown_keys_and_nulls_survive(spark, tmp_path):
+    import json
+
+    given = [{"text_id": "1", "text": "document: é", "title": "T", "operation": None, "more": {"a": [1, None]}, "doc_id": "old"}, {"text_id": "2", "text": "document: b"}]
+    (tmp_path / "items").write_text("".join(json.dumps(x, ensure_ascii=False) + "\n" for x in given))
+    codes = spark.createDataFrame([(0, [1, 2]), (1, [1, 2])], "ord long, codes array<int>")
+    codes.write.parquet(str(tmp_path / "codes"))
+    semantic_ids.generate(spark, str(tmp_path / "items"), str(tmp_path / "codes"), str(tmp_path / "out"), None, None, SPEC)
+    lines = [json.loads(x) for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().splitlines()]
+    assert lines == [{**given[0], "doc_id": "<|d0_1|> <|d1_2|> <|d2_0|>"}, {**given[1], "doc_id": "<|d0_1|> <|d1_2|> <|d2_1|>"}]
+
+
+def test_unanswered_tests_count_as_missed(spark, tmp_path):
+    tests = spark.createDataFrame([(0, "q0", "<|d0_1|>"), (1, "q1", "<|d0_9|>")], "ord long, question string, golden string")
+    generated = spark.createDataFrame([(0, 1, "<|d0_1|>"), (0, 2, "<|d0_2|>")], "query long, rank int, text string")
+    document, long_form = evaluation.evaluate(tests, generated, (1,), str(tmp_path / "rows"))
+    assert (document.first()["hit_at_1"], document.first()["total"]) == (0.5, 2)
+    assert {r["value"] for r in long_form.collect()} == {0.5}
+
+
+def test_inference_command(spark, tmp_path, capsys):
+    from quillon import cli
+    from quillon.functions.text import chat_prompt
+
+    at = lambda name: str(tmp_path / name)
+    ids = ["<|d0_0|> <|d1_1|>", "<|d0_1|> <|d1_0|>", "<|d0_1|> <|d1_1|>"]
+    files.write_jsonl(spark.createDataFrame([(str(i), f"document: {i}", x, None, None) for i, x in enumerate(ids)], ITEM).drop("operation").coalesce(1), at("train"))
+    files.write_jsonl(spark.createDataFrame([("a", ids[2], None), ("b", ids[0], None)], TEST_ITEM).coalesce(1), at("test"))
+    asked = spark.createDataFrame([("a",), ("question: a",), ("question: b",)], "text string").select(chat_prompt(F.col("text")).alias("prompt"))
+    tokens = spark.createDataFrame([(lvl, t, float(t)) for lvl in range(2) for t in range(2)], "lvl int, token int, s double")
+    asked.crossJoin(tokens).write.parquet(at("scores"))
+    common = ["infer", "--train_file", at("train"), "--scores", at("scores")]
+    assert cli.main(common) == 1
+    assert cli.main([*common, "--evaluate", "--input", "a"]) == 0
+    assert capsys.readouterr().out.splitlines() == [ids[2], ids[0], ids[1]]
+    assert cli.main([*common, "--evaluate", "--test_file", at("test"), "--output_file", at("out")]) == 0
+    assert spark.read.json(at("out")).first()["hit_at_1"] == 0.5
+
+
+def test_null_and_ragged_vectors(spark, coded):
+    df, book, _ = coded
+    rows = quantizer.encode(df.withColumn("embedding", F.when(F.col("vec_id") > 2, F.col("embedding"))), book, SPEC).collect()
+    assert {r["vec_id"] for r in rows if not r["codes"]} == {0, 1, 2}
+    vectors = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [1.0]), (3, 0, None)], "qid long, beam long, v array<double>")
+    catalog = spark.createDataFrame([(7, [2.0]), (8, [1.0, 1.0]), (9, None)], "doc long, v array<double>")
+    assert sorted((r["qid"], r["doc"]) for r in retrieval.dense_retrieve(vectors, catalog).collect()) == [(1, 8), (2, 7)]
+
+
+def test_kmeans_cost_is_near_a_brute_force_run(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.3, (60, 2)) for c in ((0, 0), (4, 0), (0, 4), (4, 4))])
+    spec = IdSpec(dim=2, subspaces=1, codes=4)
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    book = quantizer.codebook_array(quantizer.kmeans_codebook(df, spec), spec)[0]
+    cost = lambda centres: ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum()
+    best = np.inf
+    for seed in range(10):
+        centres = x[np.random.default_rng(seed).choice(len(x), 4, replace=False)]
+        for _ in range(30):
+            own = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+            centres = np.stack([x[own == k].mean(axis=0) if (own == k).any() else centres[k] for k in range(4)])
+        best = min(best, cost(centres))
+    assert cost(book) <= 1.001 * best
