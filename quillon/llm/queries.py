@@ -40,8 +40,9 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), folder, min_bytes=0)
-    size = F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_bytes")).alias("payload_bytes")
-    return read_archive(spark, folder).select("page_id", size, "payload_digest", "record_type", "refers_to")
+    responses = read_archive(spark, folder).where("record_type = 'response'").withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    revisits = read_archive(spark, folder, payload=False).where("record_type = 'revisit'")
+    return responses.unionByName(revisits).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,17 @@
 """WARC archives: a Python data source, and archiving of pages with revisits.
 
-Writing: each Spark task writes one archive of gzip members, one per record, and
-an index of the members beside it (offset, length, type, target, payload size).
-Reading: archives are planned as file partitions, cut at record boundaries where
-an index exists.  Pushed predicates on record type and headers are applied while
-only headers are parsed; a record that fails them, or whose payload isn't asked
-for (option ``payload`` false), has its body skipped, never decoded.
+Writing: each Spark task writes one archive of gzip members, one per record, and an
+index beside it with a row per member: where it lies, how many bytes it takes, and the
+header columns.  Responses hold an HTTP block, the page being its body; revisits name
+the record that they refer to.
+
+Reading: archives are planned as file partitions, cut at record boundaries.  In an
+archive with an index, pushed predicates on record type and headers are decided from
+the index, and a member that fails them is passed over without a byte of it read; of
+one whose payload isn't asked for (option ``payload`` false) only the headers are
+decompressed.  Archives without an index are read from end to end: in plain ones
+(.warc) unwanted bodies are passed over, gzipped ones have to be decompressed to find
+the next record, but unwanted bodies aren't kept.
 """
 
 from __future__ import annotations
@@ -17,11 +23,13 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import BinaryIO
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
@@ -36,8 +44,12 @@ SCHEMA = "record_type string, record_id string, target_uri string, page_id long,
 #: Bytes of archive planned into one partition, and rows sent to Spark at once.
 SPLIT_BYTES = 32 << 20
 BATCH_BYTES = 8 << 20
-#: Decompressed bytes held while a body is skipped.
-STEP = 1 << 16
+#: Bytes read and decompressed at a time, and fewer where only headers are wanted.
+STEP, HEAD_STEP = 1 << 16, 1 << 12
+#: Rows of an index written at a time.
+INDEX_ROWS = 20_000
+#: Fixed value: the start of the block that stands for a server's answer.
+HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -53,33 +65,40 @@ def encode_record(headers: list[tuple[str, str]], body: bytes) -> bytes:
 class Members:
     """Reads records from a stream of gzip members (or plain records), headers first."""
 
-    def __init__(self, stream: BinaryIO, plain: bool = False):
-        self.stream, self.plain = stream, plain
+    def __init__(self, stream: BinaryIO, plain: bool = False, step: int = STEP):
+        self.stream, self.plain, self.step = stream, plain, step
         self.raw, self.out = b"", bytearray()
         self.inflate = None
+        self.inflated = 0  # bytes decompressed so far
 
     def _fill(self) -> bool:
         if self.plain:
-            part = self.stream.read(STEP)
+            part = self.stream.read(self.step)
             self.out += part
             return bool(part)
         while True:
             if not self.raw:
-                self.raw = self.stream.read(STEP)
+                self.raw = self.stream.read(self.step)
                 if not self.raw:
                     return False
             if self.inflate is None:
                 self.inflate = zlib.decompressobj(31)
-            part = self.inflate.decompress(self.raw, STEP)
+            part = self.inflate.decompress(self.raw, self.step)
             self.raw = self.inflate.unconsumed_tail
             if self.inflate.eof:
                 self.raw, self.inflate = self.inflate.unused_data, None
             if part:
                 self.out += part
+                self.inflated += len(part)
                 return True
 
     def headers(self) -> dict[str, str] | None:
-        """Headers of the next record, in the order written; None at the end."""
+        """Headers of the next record, in the order written; None at the end.
+
+        Names are kept as they are written (``named`` looks them up in any case); a
+        line that begins with white space goes on with the one before; a name that
+        repeats has its values joined by commas.
+        """
         while True:
             while self.out[:2] == b"\r\n":
                 del self.out[:2]
@@ -87,20 +106,37 @@ class Members:
             if at >= 0 and len(self.out) > 4:
                 break
             if not self._fill():
+                if self.out.strip():
+                    raise EOFError("archive ends inside a record's headers")
                 return None
-        lines = bytes(self.out[:at]).decode("utf-8", "replace").split("\r\n")
+        first, *lines = bytes(self.out[:at]).decode("utf-8", "replace").split("\r\n")
         del self.out[: at + 4]
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-        return dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+        if not first.startswith("WARC/"):
+            raise ValueError(f"not a WARC record: {first[:40]!r}")
+        found: dict[str, str] = {}
+        name = None
+        for line in lines:
+            if line[:1] in (" ", "\t") and name is not None:
+                found[name] += " " + line.strip()
+                continue
+            name, _, value = line.partition(":")
+            name = next((x for x in found if x.lower() == name.strip().lower()), name.strip())
+            found[name] = f"{found[name]}, {value.strip()}" if name in found else value.strip()
+        return found
 
     def skip(self, size: int) -> None:
-        while size > len(self.out):
-            size -= len(self.out)
-            self.out.clear()
+        held = min(size, len(self.out))
+        del self.out[:held]
+        size -= held
+        if self.plain:
+            self.stream.skip(size)
+            return
+        while size:
             if not self._fill():
                 raise EOFError("archive ends inside a record")
-        del self.out[:size]
+            held = min(size, len(self.out))
+            del self.out[:held]
+            size -= held
 
     def body(self, size: int) -> bytes:
         while size > len(self.out):
@@ -111,25 +147,39 @@ class Members:
         return found
 
 
+def named(headers: dict[str, str]) -> dict[str, str]:
+    """Headers by lower-cased name."""
+    return {k.lower(): v for k, v in headers.items()}
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> bytes:
+    """The payload of a block: what follows the HTTP headers in a server's answer or a request, else all."""
+    if named(headers).get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        at = block.find(b"\r\n\r\n")
+        return block[at + 4 :] if at >= 0 else b""
+    return block
+
+
 @dataclass
 class Split(InputPartition):
     path: str
     start: int
     length: int
     plain: bool = False
-    skip: list[tuple[int, int]] = field(default_factory=list)
+    index: str = ""
 
 
 def _number(x: str | None) -> int | None:
     return int(x) if x is not None and x.lstrip("-").isdigit() else None
 
 
-def columns_of(h: dict[str, str]) -> dict:
+def columns_of(headers: dict[str, str]) -> dict:
     """Header columns of a record."""
-    digest = h.get("WARC-Payload-Digest")
+    h = named(headers)
+    digest = h.get("warc-payload-digest")
     return {
-        "record_type": h.get("WARC-Type"), "record_id": h.get("WARC-Record-ID"), "target_uri": h.get("WARC-Target-URI"), "page_id": _number(h.get("X-Page-Id")), "date": h.get("WARC-Date"),
-        "payload_digest": digest.removeprefix("sha1:") if digest else None, "refers_to": _number(h.get("X-Refers-To-Page")), "payload_bytes": _number(h.get("X-Payload-Length")),
+        "record_type": h.get("warc-type"), "record_id": h.get("warc-record-id"), "target_uri": h.get("warc-target-uri"), "page_id": _number(h.get("x-page-id")), "date": h.get("warc-date"),
+        "payload_digest": digest.removeprefix("sha1:") if digest else None, "refers_to": _number(h.get("x-refers-to-page")), "payload_bytes": _number(h.get("x-payload-length")),
     }
 
 
@@ -175,12 +225,49 @@ class WarcReader(DataSourceReader):
                 out.append(Split(name, 0, f.size, plain))
                 continue
             cuts = json.loads(fs.open_input_stream(f"{name}.cuts").read())  # a place about every SPLIT_BYTES
-            out += [Split(name, a, b - a) for a, b in zip(cuts, [*cuts[1:], f.size], strict=True) if b > a]
+            index = f"{name}.index" if f"{name}.index" in names else ""
+            out += [Split(name, a, b - a, index=index) for a, b in zip(cuts, [*cuts[1:], f.size], strict=True) if b > a]
         return out or [Split("", 0, 0)]
 
     def _wanted(self, row: dict) -> bool:
         return all(row[name] is not None and _TESTS[type(f)](row[name], f) for name, f in self.tests)
 
+    def _records(self, fs: pafs.FileSystem, split: Split) -> Iterator[dict]:
+        """The wanted records of a split as rows."""
+        with fs.open_input_file(split.path) as file:
+            if split.index:
+                for start, size in self._members(fs, split):
+                    records = Members(_Window(file, start, size), step=STEP if self.payload else HEAD_STEP)
+                    yield self._row(records, records.headers())
+                return
+            records = Members(_Window(file, split.start, split.length), split.plain)
+            while (h := records.headers()) is not None:
+                if self._wanted(columns_of(h)):
+                    yield self._row(records, h, skip=True)
+                else:
+                    records.skip(int(named(h).get("content-length", 0)) + 4)
+
+    def _members(self, fs: pafs.FileSystem, split: Split) -> Iterator[tuple[int, int]]:
+        """Where the wanted members of a split lie, by the index."""
+        within = (pc.field("start") >= split.start) & (pc.field("start") < split.start + split.length)
+        rows = pq.read_table(split.index, filesystem=fs, filters=within, columns=["start", "size", *{name for name, _ in self.tests}])
+        for row in rows.to_pylist():
+            if self._wanted(row):
+                yield row["start"], row["size"]
+
+    def _row(self, records: Members, h: dict[str, str], skip: bool = False) -> dict:
+        """A record's row; its digest is that of the payload where that is read."""
+        length = int(named(h).get("content-length", 0))
+        row = columns_of(h) | {"headers": h, "payload": None}
+        if self.payload and row["record_type"] != "revisit":
+            row["payload"] = payload_of(h, records.body(length))
+            row["payload_digest"] = sha1_base32(row["payload"])
+            if skip:
+                records.skip(4)
+        elif skip:
+            records.skip(length + 4)
+        return row
+
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -189,26 +276,12 @@ class WarcReader(DataSourceReader):
             return
         fs, _ = shared.open_fs(self.path)
         rows, size = [], 0
-        with fs.open_input_file(split.path) as file:
-            file.seek(split.start)
-            records = Members(_Window(file, split.length), split.plain)
-            while (h := records.headers()) is not None:
-                length = int(h.get("Content-Length", 0))
-                row = columns_of(h)
-                if not self._wanted(row):
-                    records.skip(length + 4)
-                    continue
-                row |= {"headers": h, "payload": None}
-                if self.payload and row["record_type"] != "revisit":
-                    row["payload"] = records.body(length)
-                    records.skip(4)
-                else:
-                    records.skip(length + 4)
-                rows.append(row)
-                size += 400 + len(row["payload"] or b"")
-                if size >= BATCH_BYTES:
-                    yield self._batch(rows, kind)
-                    rows, size = [], 0
+        for row in self._records(fs, split):
+            rows.append(row)
+            size += 400 + len(row["payload"] or b"")
+            if size >= BATCH_BYTES:
+                yield self._batch(rows, kind)
+                rows, size = [], 0
         if rows:
             yield self._batch(rows, kind)
 
@@ -220,14 +293,20 @@ class WarcReader(DataSourceReader):
 class _Window:
     """A stretch of a file as a stream."""
 
-    def __init__(self, file, length: int):
+    def __init__(self, file, start: int, length: int):
         self.file, self.left = file, length
+        file.seek(start)
 
     def read(self, n: int) -> bytes:
         part = self.file.read(min(n, self.left)) if self.left else b""
         self.left -= len(part)
         return part
 
+    def skip(self, n: int) -> None:
+        n = min(n, self.left)
+        self.file.seek(n, 1)
+        self.left -= n
+
 
 @dataclass
 class Written(WriterCommitMessage):
@@ -235,55 +314,77 @@ class Written(WriterCommitMessage):
     records: int
 
 
+_INDEX = pa.schema([("start", pa.int64()), ("size", pa.int64()), *((c, pa.int64() if c in ("page_id", "refers_to", "payload_bytes") else pa.string()) for c in _HEADER_COLUMNS)])
+
+
 class WarcWriter(DataSourceArrowWriter):
-    """Writes rows (page_id, url, html, digest, refers_to); refers_to null: a response."""
+    """Writes rows (page_id, url, payload, refers_to, first_url, size, digest); refers_to null: a response.
+
+    Tasks write into a folder of the job, from which only the files of successful
+    tasks are moved when it commits; the rest goes with the folder.
+    """
 
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path, self.job = options["path"], f"_job-{uuid.uuid4().hex}"
         self.date = options.get("date", "1970-01-01T00:00:00Z")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, inner = shared.open_fs(self.path)
-        fs.create_dir(inner, recursive=True)
-        name = f"{inner}/part-{uuid.uuid4().hex}.warc.gz"
-        cuts, at, records = [0], 0, 0
-        with fs.open_output_stream(f"{name}.tmp", compression=None) as out:
+        folder, name = f"{inner}/{self.job}", f"part-{uuid.uuid4().hex}.warc.gz"
+        fs.create_dir(folder, recursive=True)
+        cuts, at, records, rows = [0], 0, 0, []
+        columns = ("page_id", "url", "payload", "refers_to", "first_url", "size", "digest")
+        with fs.open_output_stream(f"{folder}/{name}", compression=None) as out, fs.open_output_stream(f"{folder}/{name}.index", compression=None) as file, pq.ParquetWriter(file, _INDEX) as index:
             for batch in iterator:
-                for page, url, html, refers_to, size, digest in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("page_id", "url", "payload", "refers_to", "size", "digest")), strict=True):
-                    member = self._record(page, url, html or b"", refers_to, size, digest)
+                for values in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in columns), strict=True):
+                    headers, block = self._record(**dict(zip(columns, values, strict=True)))
+                    member = encode_record(headers, block)
                     out.write(member)
+                    rows.append({"start": at, "size": len(member), **columns_of(dict(headers))})
                     at, records = at + len(member), records + 1
                     if at - cuts[-1] >= SPLIT_BYTES:
                         cuts.append(at)
-        with fs.open_output_stream(f"{name}.cuts.tmp", compression=None) as out:
+                    if len(rows) >= INDEX_ROWS:
+                        index.write_table(pa.Table.from_pylist(rows, _INDEX))
+                        rows = []
+            index.write_table(pa.Table.from_pylist(rows, _INDEX))
+        with fs.open_output_stream(f"{folder}/{name}.cuts", compression=None) as out:
             out.write(json.dumps(cuts).encode())
-        return Written([f"{name}.cuts", name], records)
+        return Written([f"{name}.cuts", f"{name}.index", name], records)
 
-    def _record(self, page: int | None, url: str | None, payload: bytes, refers_to: int | None, size: int, digest: bytes) -> bytes:
-        one_line = " ".join((url or "").split())
-        headers = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {one_line}')}>"), ("WARC-Date", self.date)]
+    def _record(self, page_id: int | None, url: str | None, payload: bytes | None, refers_to: int | None, first_url: str | None, size: int, digest: bytes) -> tuple[list[tuple[str, str]], bytes]:
+        """Headers and block of a page's record."""
+        sha1, block = base64.b32encode(digest).decode(), b""
+        headers = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id, sha1)), ("WARC-Date", self.date)]
         if url is not None:
-            headers.append(("WARC-Target-URI", one_line))
-        headers += [("WARC-Payload-Digest", f"sha1:{base64.b32encode(digest).decode()}"), ("X-Payload-Length", str(size))]
-        if page is not None:
-            headers.append(("X-Page-Id", str(page)))
-        if refers_to is not None:
-            headers += [("WARC-Profile", REVISIT_PROFILE), ("X-Refers-To-Page", str(refers_to))]
-            payload = b""
-        return encode_record([*headers, ("Content-Type", "text/html; charset=utf-8")], payload)
+            headers.append(("WARC-Target-URI", " ".join(url.split())))
+        headers += [("WARC-Payload-Digest", f"sha1:{sha1}"), ("X-Payload-Length", str(size))]
+        if page_id is not None:
+            headers.append(("X-Page-Id", str(page_id)))
+        if refers_to is None:
+            block = HTTP_HEAD.format(size).encode() + (payload or b"")
+        else:
+            headers += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, sha1)), ("WARC-Refers-To-Date", self.date), ("X-Refers-To-Page", str(refers_to))]
+            if first_url is not None:
+                headers.append(("WARC-Refers-To-Target-URI", " ".join(first_url.split())))
+        return [*headers, ("Content-Type", "application/http; msgtype=response")], block
 
     def commit(self, messages) -> None:
-        """Only the files of successful tasks get their final names."""
-        fs, _ = shared.open_fs(self.path)
+        fs, inner = shared.open_fs(self.path)
         for m in messages:
             for name in m.files if m else ():
-                fs.move(f"{name}.tmp", name)
+                fs.move(f"{inner}/{self.job}/{name}", f"{inner}/{name}")
+        self.abort(messages)
 
     def abort(self, messages) -> None:
-        fs, _ = shared.open_fs(self.path)
-        for m in messages:
-            for name in m.files if m else ():
-                fs.delete_file(f"{name}.tmp")
+        fs, inner = shared.open_fs(self.path)
+        if fs.get_file_info(f"{inner}/{self.job}").type == pafs.FileType.Directory:
+            fs.delete_dir(f"{inner}/{self.job}")
+
+
+def record_id(page: int | None, digest: str) -> str:
+    """A record's name: the same for a page and its payload wherever it is named; a new one for a page without id."""
+    return f"<urn:uuid:{uuid.uuid4() if page is None else uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {digest}')}>"
 
 
 class WarcSource(DataSource):
@@ -325,11 +426,11 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, page_id: str
     payload = F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.unhex(F.sha1("payload")), "size": F.octet_length("payload").cast("long")})
-    first = rows.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-    copies = shared.write_and_read(first.where(F.col("first") < F.col("last")).select("digest", "first"), "copies")  # a plain table: else a hot join can't be split
+    first = rows.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.min_by("url", "page_id").alias("first_url"))
+    copies = shared.write_and_read(first.where(F.col("first") < F.col("last")).select("digest", "first", "first_url"), "copies")  # a plain table: else a hot join can't be split
     dealt = rows.join(copies, "digest", "left")
     refers_to = F.when((F.col("size") >= min_bytes) & (F.col("page_id") > F.col("first")), F.col("first"))
-    out = dealt.select("page_id", "url", F.when(refers_to.isNull(), F.col("payload")).alias("payload"), refers_to.alias("refers_to"), "size", "digest")
+    out = dealt.select("page_id", "url", F.when(refers_to.isNull(), F.col("payload")).alias("payload"), refers_to.alias("refers_to"), "first_url", "size", "digest")
     out.write.format("warc").mode("append").option("path", path).save()
 
 

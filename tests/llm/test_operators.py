@@ -356,6 +356,47 @@ def test_warc_reads_plain_and_foreign_archives(spark, tmp_path):
     assert [(r["record_type"], bytes(r["payload"])) for r in got] == [("warcinfo", b"hello")] * 5
 
 
+def test_warc_decompresses_only_what_is_wanted(spark, tmp_path, monkeypatch):
+    from pyspark.sql.datasource import EqualTo
+
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i} " * 20_000) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archive(pages, str(tmp_path / "w"))
+    made = []
+
+    class Counted(warc.Members):
+        def __init__(self, *args, **more):
+            super().__init__(*args, **more)
+            made.append(self)
+
+    monkeypatch.setattr(warc, "Members", Counted)
+    whole = sum(len(f"page {i} " * 20_000) for i in range(20))
+    kind = spark.createDataFrame([], warc.SCHEMA).schema
+    for payload, tests, rows, most in (("true", [], 20, 2 * whole), ("true", [EqualTo(("page_id",), 3)], 1, 0.06 * whole), ("false", [], 20, 0.05 * whole), ("false", [EqualTo(("record_type",), "revisit")], 0, 0)):
+        made.clear()
+        reader = warc.WarcReader(kind, {"path": str(tmp_path / "w"), "payload": payload})
+        assert not list(reader.pushFilters(tests))
+        assert sum(b.num_rows for split in reader.partitions() for b in reader.read(split)) == rows
+        assert sum(m.inflated for m in made) <= most
+
+
+def test_warc_follows_the_standard(spark, tmp_path):
+    odd = b"WARC/1.1\r\nwarc-type:response\r\nWARC-RECORD-ID: <urn:y>\r\nWarc-Target-Uri:  http://a/\r\nWARC-Concurrent-To: <urn:1>\r\nWARC-Concurrent-To: <urn:2>\r\nX-Note: one\r\n  two\r\ncontent-type: application/http;msgtype=response\r\nCONTENT-LENGTH:24\r\n\r\nHTTP/1.1 200 OK\r\n\r\nhello\r\n\r\n"
+    (tmp_path / "odd.warc").write_bytes(odd)
+    (tmp_path / "odd.warc.gz").write_bytes(gzip.compress(odd * 2))
+    for r in warc.read_archive(spark, str(tmp_path)).collect():
+        assert (r["record_type"], r["record_id"], r["target_uri"], bytes(r["payload"])) == ("response", "<urn:y>", "http://a/", b"hello")
+        assert r["headers"]["WARC-Concurrent-To"] == "<urn:1>, <urn:2>" and r["headers"]["X-Note"] == "one two"
+        assert r["payload_digest"] == warc.sha1_base32(b"hello")
+    assert warc.read_archive(spark, str(tmp_path), payload=False).where("record_type = 'response'").count() == 3
+    pages = spark.createDataFrame([(2, "http://b", "same"), (1, "http://a", "same")], "page_id long, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "w"))
+    first, revisit = sorted(warc.read_archive(spark, str(tmp_path / "w")).collect(), key=lambda r: r["page_id"])
+    assert revisit["headers"]["WARC-Refers-To"] == first["record_id"] and revisit["headers"]["WARC-Refers-To-Target-URI"] == "http://a"
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.warc.gz"))
+    assert b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: 4\r\n\r\nsame\r\n\r\n" in raw
+    assert not list((tmp_path / "w").glob("_job*"))
+
+
 def test_warc_of_no_pages(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert warc.read_archive(spark, str(tmp_path / "w")).count() == 0
