@@ -1,23 +1,26 @@
 """Benchmark decontamination as a prefix-filtered set join.
 
 An item's windows of ``window`` words are sets of word shingles that have to be
-contained in a document in full, so by the prefix filter one shingle per window
-is enough to find every document that may hold it: the window's rarest, by how
-often the documents have it.
-
-1. One scan of the documents keeps, around each shingle that some item may have
-   (a bit filter of fixed size), the words that a window through it could cover:
-   a *segment*.  All later steps work on segments only.
-2. Item shingles are counted in the segments and ordered by rarity; each window
-   takes its rarest shingle as its prefix.
-3. Segments are joined to items on prefix shingles.  The length bound is that of
-   the segment, which is no longer than windows through the shingle can reach.
-4. Each pair is verified word by word over windows of the item's size.
-
-The bit filters have a bounded size whatever the benchmark's size is; false
-positives cost a comparison and change nothing.  Neither table is broadcast by
-this module, and a passage shared by a third of all documents is a skewed inner
-join on one shingle, which adaptive execution splits.
+contained in a document in full, so by the prefix filter one shingle per window is
+enough to find every place that may hold it: the window's rarest, by how often the
+documents have it.
+
+1. One scan of the documents keeps, around each shingle that some item may have (a bit
+   filter of fixed size), the words that a window through it could cover: a *segment*.
+   All later steps work on segments only.
+2. Item shingles are counted in the segments and ordered by rarity; each window takes
+   its rarest shingle as its prefix.  Windows in a row that take the same one are one
+   *prefix*: the shingle, its place in the item, and the words that those windows span.
+3. Places of prefix shingles in segments, each with the words around it, are joined to
+   prefixes on the shingle.  A place has to leave as many words on either side as some
+   window needs there: the length and positional bounds, part of the join's condition.
+4. What is left is an alignment: a place in a document beside a place in an item.  Only
+   the windows of that prefix, at that alignment, are compared word by word.
+
+The bit filters have a bounded size whatever the benchmark's size is; false positives
+cost a comparison and change nothing.  Neither table is broadcast by this module, and a
+passage shared by a third of all documents is a skewed inner join on one shingle, which
+adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -48,12 +51,12 @@ class BitFilter:
 
     def has(self, names: np.ndarray) -> np.ndarray:
         out = np.ones(len(names), bool)
-        for at in _places(names, 8 * len(self.bits)):
+        for at in _bit_places(names, 8 * len(self.bits)):
             out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         return out
 
 
-def _places(names: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _bit_places(names: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The two bits of each name; size is a power of two."""
     return (names & _U(size - 1)).astype(np.int64), ((names >> _U(32)) & _U(size - 1)).astype(np.int64)
 
@@ -68,7 +71,7 @@ def make_filter(names: DataFrame) -> BitFilter:
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            for at in _places(batch.column(0).to_numpy().view(np.uint64), size):
+            for at in _bit_places(batch.column(0).to_numpy().view(np.uint64), size):
                 np.bitwise_or.at(found, at >> 3, (1 << (at & 7)).astype(np.uint8))
         used = [i for i in range(0, len(found), _SLICE) if found[i : i + _SLICE].any()]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([found[i : i + _SLICE].tobytes() for i in used], pa.binary())], names=["at", "bits"])
@@ -156,39 +159,62 @@ def _segments(sizes: list[int], window: int, known):
     return scan
 
 
-def _segment_shingles(sizes: list[int], known, count: bool):
-    """Shingles of segments that the filter has: counted per batch, or the distinct ones of each document."""
+def _segment_counts(sizes: list[int], known):
+    """Shingles of segments that the filter has, counted per batch."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = known.value
         for batch in batches:
-            names: list[np.ndarray] = [np.empty(0, np.uint64)]
-            rows: list[np.ndarray] = [np.empty(0, np.int64)]
+            names = [np.empty(0, np.uint64)]
+            for segs in batch.column(0).to_pylist():
+                raw = [np.frombuffer(x["words"].encode(), np.uint8) for x in segs]
+                names += [x for _, _, x in _found(Words(list(range(len(raw))), raw, ALNUM), sizes, known.value)]
+            flat, n = np.unique(np.concatenate(names), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(n)], names=["name", "n"])
+
+    return scan
+
+
+def _places(sizes: list[int], window: int, known):
+    """Places of shingles that the filter has: (name, row, at, left, right, around).
+
+    at: the shingle's first word in the document; left and right: how many words are
+    at hand before and behind it; around: those words and the shingle's.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
             for row, segs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = [np.frombuffer(x["words"].encode(), np.uint8) for x in segs]
                 w = Words(list(range(len(raw))), raw, ALNUM)
-                own = np.concatenate([x for _, _, x in _found(w, sizes, have)])
-                own = own if count else np.unique(own)
-                names.append(own)
-                rows.append(np.full(len(own), row, np.int64))
-            flat = np.concatenate(names)
-            if count:
-                flat, n = np.unique(flat, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(n)], names=["name", "n"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.concatenate(rows))], names=["name", "row"])
+                bounds = np.searchsorted(w.text, np.arange(len(raw) + 1))
+                for size, at, names in _found(w, sizes, known.value):
+                    for i, name in zip(at.tolist(), names.view(np.int64).tolist(), strict=True):
+                        seg = int(w.text[i])
+                        lo, hi = max(int(bounds[seg]), i - (window - size)), min(int(bounds[seg + 1]), i + window)
+                        out.append((name, row, segs[seg]["start"] + i - int(bounds[seg]), i - lo, hi - i - size, w.string(lo, hi)))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = [*[pa.int64()] * 5, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["name", "row", "at", "left", "right", "around"])
 
     return scan
 
 
+_PREFIX = "name long, item_id string, size long, length long, place long, first long, last long, span string"
+
+
 def _prefixes(window: int, shingle: int):
-    """The rarest shingle of each window of an item; none where the documents lack one of its shingles."""
+    """Prefixes of an item; windows with a shingle that the documents lack have none.
+
+    place: the rarest shingle's; first and last: the windows that take it begin from
+    there to there; span: their words.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, items = [], []
-            for item, words, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                own = _names_of(words)
+            out = []
+            for item_id, words, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                own, item = _names_of(words), words.split(" ")
                 length, size = _sizes(len(own), window, shingle)
                 tokens = shingle_names(own, size)
                 n = np.zeros(len(tokens), np.int64)
@@ -198,42 +224,43 @@ def _prefixes(window: int, shingle: int):
                 order = np.empty(len(tokens), np.int64)
                 order[np.lexsort((tokens, n))] = np.arange(len(tokens))
                 picked = each[np.arange(len(each)), order[each].argmin(axis=1)]
-                for name in np.unique(tokens[picked[n[each].min(axis=1) > 0]]).view(np.int64).tolist():
-                    names.append(name)
-                    items.append(item)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(items, pa.int64())], names=["name", "item"])
+                begin = np.flatnonzero(n[each].min(axis=1) > 0)
+                runs = np.split(begin, np.flatnonzero((np.diff(begin) > 1) | (np.diff(picked[begin]) != 0)) + 1) if len(begin) else []
+                for run in runs:
+                    first, last, place = int(run[0]), int(run[-1]), int(picked[run[0]])
+                    out.append((int(tokens[place].view(np.int64)), item_id, size, length, place, first, last, " ".join(item[first : last + length])))
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=[x.split(" ")[0] for x in _PREFIX.split(", ")])
 
     return scan
 
 
-def covered_words(segments: list[tuple[int, list[str]]], item: list[str], length: int) -> list[int]:
-    """Positions of document words that lie in an occurrence of a window of the item."""
-    windows = {tuple(item[i : i + length]) for i in range(len(item) - length + 1)}
-    heads = {x[0] for x in windows}
-    out: set[int] = set()
-    for start, words in segments:
-        for i in range(len(words) - length + 1):
-            if words[i] in heads and tuple(words[i : i + length]) in windows:
-                out.update(range(start + i, start + i + length))
-    return sorted(out)
+def aligned(around: list[str], at: int, left: int, right: int, span: list[str], size: int, length: int, place: int, first: int, last: int) -> list[int]:
+    """Document positions at which a prefix's windows begin at this alignment.
 
+    Only windows for which the words at hand reach are compared.
+    """
+    lo, hi = max(first, place - left), min(last, place + size + right - length)
+    out = []
+    for begin in range(lo, hi + 1):
+        here = left - (place - begin)
+        if around[here : here + length] == span[begin - first : begin - first + length]:
+            out.append(at - (place - begin))
+    return out
 
-def _verify(window: int):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, ids, hits = [], [], []
-            last, split = None, []
-            for row, segs, item_id, words in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if row != last:
-                    last, split = row, [(x["start"], x["words"].split(" ")) for x in segs]
-                item = words.split(" ")
-                if found := covered_words(split, item, min(window, len(item))):
-                    rows.append(row)
-                    ids.append(item_id)
-                    hits.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.string()), pa.array(hits, pa.list_(pa.int64()))], names=["row", "item_id", "hits"])
 
-    return scan
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Alignments to (row, item_id, begin, length) of the windows that occur."""
+    for batch in batches:
+        rows, ids, begins, lengths = [], [], [], []
+        for row, at, left, right, around, item_id, size, length, place, first, last, span in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for begin in aligned(around.split(" "), at, left, right, span.split(" "), size, length, place, first, last):
+                rows.append(row)
+                ids.append(item_id)
+                begins.append(begin)
+                lengths.append(length)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.string()), pa.array(begins, pa.int64()), pa.array(lengths, pa.int64())], names=["row", "item_id", "begin", "length"])
 
 
 def find_contamination(
@@ -266,16 +293,24 @@ def find_contamination(
     seen = shared.write_and_read(rows.mapInArrow(_segments(sizes, window, known), f"row long, doc_id {id_type}, n_words long, segments array<struct<start: long, words: string>>"), "segments")
     segments = seen.where(F.size("segments") > 0).select("row", "segments")
 
-    rarity = segments.mapInArrow(_segment_shingles(sizes, known, True), "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
+    rarity = segments.select("segments").mapInArrow(_segment_counts(sizes, known), "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
     counted = tokens.join(rarity, "name").groupBy("item").agg(F.collect_list(F.struct("at", "n")).alias("counts"))
-    prefixes = shared.write_and_read(bench.join(counted, "item").select("item", "words", "counts").mapInArrow(_prefixes(window, shingle), "name long, item long"), "prefixes")
+    prefixes = shared.write_and_read(bench.join(counted, "item").select("item_id", "words", "counts").mapInArrow(_prefixes(window, shingle), _PREFIX), "prefixes")
 
     chosen = spark.sparkContext.broadcast(make_filter(prefixes))
-    pairs = segments.mapInArrow(_segment_shingles(sizes, chosen, False), "name long, row long").join(prefixes, "name").select("row", "item").distinct()
-    to_verify = pairs.join(bench, "item").join(segments, "row").select("row", "segments", "item_id", "words")
-    hits = to_verify.mapInArrow(_verify(window), "row long, item_id string, hits array<long>")
-    hits = hits.groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hit_words"))
+    places = segments.mapInArrow(_places(sizes, window, chosen), "name long, row long, at long, left long, right long, around string")
+    found = shared.write_and_read(alignments(places, prefixes).mapInArrow(_verify, "row long, item_id string, begin long, length long"), "windows")
+    ids = found.where("item_id IS NOT NULL").select("row", "item_id").distinct().groupBy("row").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
+    covered = F.transform(F.collect_list(F.struct("begin", "length")), lambda x: F.sequence(x["begin"], x["begin"] + x["length"] - 1))
+    words = found.select("row", "begin", "length").distinct().groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(covered))).alias("hit_words"))
     empty = F.array()
-    return seen.select("row", "doc_id", "n_words").join(hits, "row", "left").select(
+    return seen.select("row", "doc_id", "n_words").join(words, "row", "left").join(ids, "row", "left").select(
         "doc_id", "n_words", F.coalesce("item_ids", empty.cast("array<string>")).alias("item_ids"), F.coalesce("hit_words", empty.cast("array<bigint>")).alias("hit_words")
     )
+
+
+def alignments(places: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Places beside prefixes of the same shingle, where the words at hand reach as far as some window needs."""
+    low = F.greatest("first", F.col("place") - F.col("left"))
+    high = F.least("last", F.col("place") + F.col("size") + F.col("right") - F.col("length"))
+    return places.join(prefixes, "name").where(low <= high).select("row", "at", "left", "right", "around", "item_id", "size", "length", "place", "first", "last", "span")

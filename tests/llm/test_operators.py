@@ -314,6 +314,30 @@ def test_contamination_matches_brute_force(spark):
     assert sorted(((r["doc_id"], r["n_words"], tuple(r["item_ids"]), tuple(r["hit_words"])) for r in got), key=repr) == brute_hits(docs, items)
 
 
+def test_only_alignments_within_bounds_are_verified(spark, monkeypatch):
+    a = passage(46, 30).split(" ")
+    docs = [(0, " ".join(a)), (1, " ".join(a[:9])), (2, " ".join(a[5:17])), (3, passage(47, 500)), (4, " ".join(["x"] * 40 + a[20:30] + ["x"] * 40))]
+    kept = []
+    real = decontaminate.alignments
+    monkeypatch.setattr(decontaminate, "alignments", lambda *x: kept.append((x[0].join(x[1], "name").count(), (out := real(*x)).count())) or out)
+    found = {r["doc_id"]: len(r["hit_words"]) for r in decontaminate.find_contamination(documents(spark, docs), spark.createDataFrame([(1, " ".join(a))], "item_id long, text string")).collect()}
+    assert found == {0: 30, 1: 0, 2: 12, 3: 0, 4: 10}
+    (met, within), = kept
+    assert within < met <= 30  # places of the 30 - 4 shingles at most, not documents times windows
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from("ab"), min_size=3, max_size=30), st.lists(st.sampled_from("ab"), min_size=3, max_size=12), st.integers(0, 20), st.integers(0, 8))
+def test_alignments_match_brute_force(doc, item, at, place):
+    length, size = min(5, len(item)), 2
+    at, place = min(at, len(doc) - size), min(place, len(item) - size)
+    first, last = max(0, place + size - length), min(place, len(item) - length)
+    lo, hi = max(0, at - (length - size)), min(len(doc), at + length)
+    got = decontaminate.aligned(doc[lo:hi], at, at - lo, hi - at - size, item[first : last + length], size, length, place, first, last)
+    want = [at - (place - b) for b in range(first, last + 1) if at - (place - b) >= 0 and doc[at - (place - b) : at - (place - b) + length] == item[b : b + length]]
+    assert got == want
+
+
 def test_contamination_with_empty_tables(spark):
     docs, bench = documents(spark, [(1, passage(46, 30))]), spark.createDataFrame([(1, passage(46, 30))], "item_id long, text string")
     assert decontaminate.find_contamination(docs.limit(0), bench).count() == 0
