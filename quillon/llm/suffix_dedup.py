@@ -1,34 +1,38 @@
-"""Suffix-array deduplication over a whole corpus, blockwise with a difference cover.
-
-Suffixes are only compared by their first ``width`` bytes, so two of them are
-"tied" exactly if they start the same string of that length.  The construction
-follows blockwise suffix sorting with a difference cover:
-
-1. *Cover sample.*  Positions ``p`` of a text with ``p mod PERIOD`` in ``COVER``
-   are sampled.  For any two suffixes there is one shift below the period that
-   takes both to sampled positions.  Each sampled block of
-   ``width - PERIOD + 1`` bytes gets a rank: a 64-bit name of its content and the
-   fact whether another sample has the same name.
-2. *Ties.*  Two equal suffixes have a common cover sample inside their first
-   ``width`` bytes.  A suffix all of whose samples have ranks of their own can't
-   tie with another one; it never leaves its executor.
-3. *Blocks.*  The remaining suffixes are dealt into buckets by their 80-bit
-   name, and one bucket at a time is sorted (name, then document order); all
-   but the first of a run start earlier elsewhere.
-
-The name is an order-free rank: sorting by it brings equal strings together,
-which is all that a fixed comparison length needs.  A pair of different strings
-shares a name and a bucket with a probability below 2**-80.
-
-Only hashes move through shuffles; bits come back to the scans as side files.
-Exact copies of a text are settled first by their SHA-256, so a group of copies
-of any size costs one row per copy.  Within a chunk of text every name is sent
-once, so a string that a third of all rows share adds one name per chunk.
+"""Suffix deduplication over a whole corpus, blockwise with a difference cover.
+
+Suffixes are only compared by their first ``width`` bytes, so two of them are "tied"
+exactly if they start the same string of that length.  The construction follows
+blockwise suffix sorting with a difference cover, with names in place of bytes:
+
+1. *Cover sample.*  Positions ``p`` of a text with ``p mod PERIOD`` in ``COVER`` are
+   sampled.  For any two suffixes there is one shift below the period that takes both
+   to sampled positions.  Each sampled block of ``width - PERIOD + 1`` bytes gets a rank:
+   a hash of its content and the fact whether another sample has the same.  Blocks that
+   share a hash by chance only cost work.
+2. *Ties.*  Two equal suffixes have a common cover sample inside their first ``width``
+   bytes.  A suffix all of whose samples have ranks of their own can't tie with another
+   one; it never leaves its executor.
+3. *Blocks.*  The remaining suffixes are dealt into buckets by name, and one bucket at a
+   time is sorted (name, then document order); all but the first of a run start
+   earlier elsewhere.
+
+Bytes aren't sorted: sent with each cover sample they would be 156 bytes for every
+seventh tied position, and a block that a third of all rows hold, between different
+neighbours, would be one task's work.  A name is two polynomials of the string modulo
+2**61 - 1, at places drawn anew for every run, the second folded to 32 bits.  Whatever
+the texts are, two different strings share a name with a probability below 2**-84.
+
+Only hashes move through shuffles; bits come back to the scans as side files.  Exact
+copies of a text are settled first by their SHA-256, so a group of copies of any size
+costs one row per copy.  Within a chunk of text every name is sent once, so a string
+that a third of all rows share adds one name per chunk.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -51,7 +55,9 @@ CHUNK_DOCS = 60_000
 BUCKET_NAMES = 750_000
 
 _U = np.uint64
-_SEEDS = (11, 23)
+DEALT_ANEW = "the input was dealt out anew between two scans; write it before this operator"
+_SEED = 11
+_PRIME = (1 << 61) - 1
 
 
 @lru_cache(maxsize=4)
@@ -71,7 +77,7 @@ def _tables(seed: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Names:
     """64-bit names of substrings of one byte array, from prefix sums of a polynomial."""
 
-    def __init__(self, data: np.ndarray, seed: int = _SEEDS[0]):
+    def __init__(self, data: np.ndarray, seed: int = _SEED):
         size = 1 << max(20, int(len(data)).bit_length())
         letters, powers, self.inverse = _tables(seed, size)
         self.sums = np.zeros(len(data) + 1, np.uint64)
@@ -86,6 +92,62 @@ class Names:
         return out
 
 
+def times(a: np.ndarray, b: int) -> np.ndarray:
+    """Products modulo 2**61 - 1 of numbers below it."""
+    high, low, bh, bl = a >> _U(31), a & _U(0x7FFFFFFF), _U(b >> 31), _U(b & 0x7FFFFFFF)
+    middle = high * bl + low * bh
+    out = high * (bh + bh) + (middle >> _U(30)) + ((middle & _U(0x3FFFFFFF)) << _U(31)) + low * bl
+    return _reduced(out)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _U(_PRIME)) + (x >> _U(61))
+    return np.where(x >= _U(_PRIME), x - _U(_PRIME), x)
+
+
+def polynomials(data: np.ndarray, width: int, base: int) -> np.ndarray:
+    """Of each string of ``width`` bytes: the polynomial with its bytes (plus 1) as coefficients, modulo 2**61 - 1.
+
+    Strings of powers of two are put together from halves, and the width from those.
+    """
+    part, size, out, done = data.astype(np.uint64) + _U(1), 1, None, 0
+    while True:
+        if width & size:
+            rest = part[done:] if out is not None else part
+            n = len(data) - done - size + 1
+            out = rest[:n].copy() if out is None else _reduced(times(out[:n], pow(base, size, _PRIME)) + rest[:n])
+            done += size
+        if 2 * size > width:
+            return out
+        part = _reduced(times(part[:-size], pow(base, size, _PRIME)) + part[size:])
+        size *= 2
+
+
+@dataclass(frozen=True)
+class Secret:
+    """What names are made with; drawn for a run."""
+
+    bases: tuple[int, int]
+    odd: int
+
+    @classmethod
+    def drawn(cls) -> Secret:
+        return cls((1 + secrets.randbelow(_PRIME - 1), 1 + secrets.randbelow(_PRIME - 1)), secrets.randbits(63) * 2 + 1)
+
+    def names(self, data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Names of the strings that start there, in 61 (leading) and 32 bits; only bytes that these cover are looked at."""
+        if not len(starts):
+            return np.empty(0, np.uint64), np.empty(0, np.uint32)
+        change = np.zeros(len(data) + 1, np.int32)
+        np.add.at(change, starts, 1)
+        np.add.at(change, starts + width, -1)
+        covered = np.cumsum(change[:-1]) > 0
+        at = (np.cumsum(covered) - 1)[starts]
+        few = data[covered]
+        first, second = (polynomials(few, width, base)[at] for base in self.bases)
+        return first << _U(3), ((second * _U(self.odd)) >> _U(32)).astype(np.uint32)
+
+
 def planes(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bytes of sorted numbers, all first bytes first: these compress well."""
     size = values.dtype.itemsize
@@ -112,7 +174,7 @@ class Chunk:
     starts: np.ndarray  # where the piece starts in its text
 
 
-def chunks(batch: pa.RecordBatch, first_row: int, number: int, skip: set[int], width: int) -> Iterator[Chunk]:
+def chunks(batch: pa.RecordBatch, first_row: int, number: int, skip: Skipped, width: int) -> Iterator[Chunk]:
     """Cut one Arrow batch of (id, text) rows into chunks; skip: rows to leave out.
 
     Both numbers count through a partition, so two scans of it agree on them.
@@ -136,7 +198,10 @@ def chunks(batch: pa.RecordBatch, first_row: int, number: int, skip: set[int], w
 
     ids = order_keys(batch.column(0))
     for i, view in enumerate(views(batch.column(1))):
-        if first_row + i in skip or len(view) < width:
+        if first_row + i in skip:
+            skip.check(first_row + i, view)
+            continue
+        if len(view) < width:
             continue
         for at in range(0, len(view) - width + 1, CHUNK_BYTES):
             piece = view[at : at + CHUNK_BYTES + width - 1]
@@ -191,10 +256,9 @@ def sample_keys(names: np.ndarray, n: int) -> np.ndarray:
     return (_bucket(names, n) << 40) | (names & _U(2**40 - 1)).astype(np.int64)
 
 
-def distinct_windows(c: Chunk, starts: np.ndarray, width: int):
+def distinct_windows(c: Chunk, starts: np.ndarray, width: int, secret: Secret):
     """A chunk's distinct windows: their names in order, the first start of each, and which starts are later ones."""
-    first = Names(c.data).at(starts, width)
-    second = (Names(c.data, _SEEDS[1]).at(starts, width) >> _U(48)).astype(np.uint16)
+    first, second = secret.names(c.data, starts, width)
     order = np.argsort(first)
     f, s = first[order], second[order]
     if np.any((f[1:] == f[:-1]) & (s[1:] != s[:-1])):
@@ -236,20 +300,27 @@ def _returned(buckets: np.ndarray, bits: Bits, names: np.ndarray | None = None)
     for lo, hi in _spans(buckets):
         back, mark = bits.get(int(buckets[lo]), (None, 0))
         if back is None or len(back) != (hi - lo + 7) // 8 or names is not None and mark != _mark_of(names[lo:hi]):
-            raise RuntimeError("the input was dealt out anew between two scans; write it before this operator")
+            raise RuntimeError(DEALT_ANEW)
         out[lo:hi] = np.unpackbits(back, count=hi - lo).astype(bool)
     return out
 
 
-def _skipped(skip_dir: str, pid: int) -> set[int]:
-    side = shared.read_side(skip_dir, pid)
-    return set(side.column("row").to_pylist()) if side is not None else set()
+class Skipped(dict):
+    """The rows of a partition that are copies of earlier ones, with their checksums."""
+
+    def __init__(self, skip_dir: str, pid: int):
+        side = shared.read_side(skip_dir, pid)
+        super().__init__(zip(side.column("row").to_pylist(), side.column("crc").to_pylist(), strict=True) if side is not None else ())
+
+    def check(self, row: int, text: np.ndarray) -> None:
+        if zlib.crc32(text) != self[row]:
+            raise RuntimeError(DEALT_ANEW)
 
 
 def _sample_rows(skip_dir: str, width: int, n: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
-        skip, row, number = _skipped(skip_dir, pid), 0, 0
+        skip, row, number = Skipped(skip_dir, pid), 0, 0
         for batch in batches:
             for c in chunks(batch, row, number, skip, width):
                 number = c.number + 1
@@ -288,10 +359,10 @@ def _shared_names(t: pa.Table) -> pa.Table:
     return _back(t, bits, counts, [_mark_of(x) for x in parts])
 
 
-def _window_rows(skip_dir: str, rank_dir: str, width: int, n: int, m: int):
+def _window_rows(skip_dir: str, rank_dir: str, width: int, n: int, m: int, secret: Secret):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
-        skip, row, number = _skipped(skip_dir, pid), 0, 0
+        skip, row, number = Skipped(skip_dir, pid), 0, 0
         ranks = _side_bits(shared.read_side(rank_dir, pid))
         for batch in batches:
             for c in chunks(batch, row, number, skip, width):
@@ -300,7 +371,7 @@ def _window_rows(skip_dir: str, rank_dir: str, width: int, n: int, m: int):
                 keys, inner, counts = np.unique(sample_keys(names, n), return_inverse=True, return_counts=True)
                 tied = tied_windows(c, where, (_returned(keys >> 40, ranks.get(c.number, {}), (keys & (2**40 - 1)).view(np.uint64)) | (counts > 1))[inner], width)
                 starts = np.flatnonzero(tied)
-                first, second, head, _ = distinct_windows(c, starts, width)
+                first, second, head, _ = distinct_windows(c, starts, width, secret)
                 piece = np.searchsorted(c.bounds, starts[head], "right") - 1
 
                 def blobs(lo: int, hi: int, c=c, piece=piece, first=first, second=second) -> tuple[bytes, ...]:
@@ -322,7 +393,7 @@ def _sort_bucket(t: pa.Table) -> pa.Table:
     if t.column("bucket")[0].as_py() < 0:
         return _back(t, t.column("b0").to_pylist(), [0] * t.num_rows, [0] * t.num_rows)
     firsts = [unplanes(x, 8, np.uint64) for x in t.column("b0").to_pylist()]
-    seconds = [np.frombuffer(x, np.uint16) for x in t.column("b1").to_pylist()]
+    seconds = [np.frombuffer(x, np.uint32) for x in t.column("b1").to_pylist()]
     inner = [np.frombuffer(x, np.uint16) for x in t.column("b2").to_pylist()]
     tables = [np.frombuffer(x, np.int64).reshape(3, -1) for x in t.column("b3").to_pylist()]
     sizes = [x.shape[1] for x in tables]
@@ -341,10 +412,10 @@ def _sort_bucket(t: pa.Table) -> pa.Table:
     return _back(t, [np.packbits(x).tobytes() for x in parts], [int(x.sum()) for x in parts], [_mark_of(x) for x in firsts])
 
 
-def _cut(skip_dir: str, later_dir: str, width: int, m: int, keep: bool):
+def _cut(skip_dir: str, later_dir: str, width: int, m: int, keep: bool, secret: Secret):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
-        skip, row, number = _skipped(skip_dir, pid), 0, 0
+        skip, row, number = Skipped(skip_dir, pid), 0, 0
         back = _side_bits(shared.read_side(later_dir, pid))
         for batch in batches:
             texts, masks = views(batch.column(1)), {}
@@ -353,7 +424,7 @@ def _cut(skip_dir: str, later_dir: str, width: int, m: int, keep: bool):
                 bits = back.get(c.number, {})
                 tied = _returned(np.full(len(c.data), -1 - ((pid << 32) | c.number)), bits)
                 starts = np.flatnonzero(tied)
-                first, _, head, later = distinct_windows(c, starts, width)
+                first, _, head, later = distinct_windows(c, starts, width, secret)
                 later[head] = _returned(_bucket(first, m), bits, first)
                 _mark(c, starts[later], width, texts, masks, row)
             yield _results(batch, texts, masks, skip, row, width, keep)
@@ -378,7 +449,7 @@ def _mark(c: Chunk, starts: np.ndarray, width: int, texts: list[np.ndarray], mas
         mask[at : at + len(part)] |= part
 
 
-def _results(batch: pa.RecordBatch, texts: list[np.ndarray], masks: dict[int, np.ndarray], skip: set[int], row: int, width: int, keep: bool) -> pa.RecordBatch:
+def _results(batch: pa.RecordBatch, texts: list[np.ndarray], masks: dict[int, np.ndarray], skip: Skipped, row: int, width: int, keep: bool) -> pa.RecordBatch:
     sizes, removed, spans, digests, kept = [], [], [], [], []
     for i, text in enumerate(texts):
         mask, left = masks.get(i), text
@@ -428,7 +499,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = shared.write_and_read(
         rows.select(
             F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"),
-            F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.octet_length(text).cast("long").alias("size"), F.unhex(F.sha2(text, 256)).alias("digest"),
+            F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.octet_length(text).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.unhex(F.sha2(text, 256)).alias("digest"),
         ),
         "suffix-keys",
     )
@@ -436,7 +507,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = keys.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first")).where("copies > 1").drop("copies")
     groups = shared.write_and_read(groups, "suffix-groups")  # a plain table, so that a hot digest's join can be split
     skip_dir = shared.work_dir(spark, "suffix-copies")
-    shared.write_side(keys.join(groups, "digest").where(place != F.col("first")).select("pid", "row"), skip_dir)
+    shared.write_side(keys.join(groups, "digest").where(place != F.col("first")).select("pid", "row", "crc"), skip_dir)
 
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n = 1 + int(total * len(COVER) / PERIOD / BUCKET_NAMES)
@@ -448,9 +519,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     common = spark.read.schema(back).parquet(rank_dir).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if total >= width else 0
     m = 1 + int(common * PERIOD / len(COVER) / BUCKET_NAMES)
-    later_dir = shared.work_dir(spark, "suffix-later")
-    windows = rows.mapInArrow(_window_rows(skip_dir, rank_dir, width, n, m), sent + ", b1 binary, b2 binary, b3 binary")
+    later_dir, secret = shared.work_dir(spark, "suffix-later"), Secret.drawn()
+    windows = rows.mapInArrow(_window_rows(skip_dir, rank_dir, width, n, m, secret), sent + ", b1 binary, b2 binary, b3 binary")
     shared.write_side(windows.groupBy("bucket").applyInArrow(_sort_bucket, back), later_dir)
 
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
-    return rows.mapInArrow(_cut(skip_dir, later_dir, width, m, keep_bytes), out)
+    return rows.mapInArrow(_cut(skip_dir, later_dir, width, m, keep_bytes, secret), out)

@@ -70,6 +70,50 @@ def test_repeats_match_brute_force(spark, monkeypatch, chunk):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_repeats(rows)
 
 
+def thue_morse(n, flip=0):
+    return "".join("ab"[(bin(i).count("1") + flip) & 1] for i in range(n))
+
+
+def test_structured_texts_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_NAMES", 300)
+    rows = [(1, thue_morse(700)), (2, thue_morse(700, 1)), (3, "ab" * 200), (4, "abc" * 120), (5, "a" * 130 + "b" + "a" * 130), (6, thue_morse(64) + thue_morse(64, 1) * 3), (7, "ba" * 150), (8, thue_morse(128)[28:] + "x" + thue_morse(128, 1)[28:])]
+    got = suffix_dedup.remove_repeats(documents(spark, rows))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_repeats(rows)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.binary(min_size=1, max_size=300), st.integers(64, 130))
+def test_polynomials_match_whole_numbers(data, width):
+    base, n = 987654321987654321, len(data) - width + 1
+    want = []
+    for i in range(n):
+        value = 0
+        for x in data[i : i + width]:
+            value = (value * base + x + 1) % ((1 << 61) - 1)
+        want.append(value)
+    if n > 0:
+        assert suffix_dedup.polynomials(np.frombuffer(data, np.uint8), width, base).tolist() == want
+
+
+def test_names_of_complementary_sequences_differ():
+    data = np.frombuffer((thue_morse(128) + thue_morse(128, 1)).encode(), np.uint8)
+    for _ in range(20):
+        first, second = suffix_dedup.Secret.drawn().names(data, np.array([0, 128, 0]), 128)
+        assert first[0] == first[2] and second[0] == second[2]
+        assert (int(first[0]) ^ int(first[1])) & 0xFFFFFF8 and second[0] != second[1]
+
+
+def test_copies_of_another_deal_are_refused(tmp_path):
+    skip = suffix_dedup.Skipped.__new__(suffix_dedup.Skipped)
+    dict.__init__(skip, {0: zlib.crc32(b"x" * 120)})
+    batch = lambda t: suffix_dedup.pa.record_batch([suffix_dedup.pa.array([1]), suffix_dedup.pa.array([t])], names=["doc_id", "text"])
+    assert not list(suffix_dedup.chunks(batch("x" * 120), 0, 0, skip, 100))
+    with pytest.raises(RuntimeError):
+        list(suffix_dedup.chunks(batch("y" * 120), 0, 0, skip, 100))
+    with pytest.raises(FileNotFoundError):
+        suffix_dedup.Skipped(str(tmp_path / "none"), 0)
+
+
 def test_repeats_of_nothing_and_of_rows_without_id(spark):
     assert suffix_dedup.remove_repeats(documents(spark, awkward()).limit(0)).count() == 0
     rows = [(None, "y" * 150), (1, "y" * 150), (2, passage(9, 40))]
