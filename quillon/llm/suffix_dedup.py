@@ -51,8 +51,9 @@ COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 #: Bytes of text hashed at a time; bounds the memory of a task, long documents are cut (with overlap).
 CHUNK_BYTES = 1_000_000
 CHUNK_DOCS = 60_000
-#: Names sorted at a time in a reduce task.
+#: Names sorted at a time in a reduce task, and buckets that a task sorts one after another.
 BUCKET_NAMES = 750_000
+BUCKETS_IN_TASK = 4
 
 _U = np.uint64
 DEALT_ANEW = "the input was dealt out anew between two scans; write it before this operator"
@@ -472,6 +473,12 @@ def _results(batch: pa.RecordBatch, texts: list[np.ndarray], masks: dict[int, np
     return pa.RecordBatch.from_pydict(columns)
 
 
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows by bucket over a number of tasks that grows with the buckets, so that what a task reads doesn't."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-buckets // BUCKETS_IN_TASK)), "bucket")
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, keep_bytes: bool = False) -> DataFrame:
     """Remove every byte covered by a ``width``-byte string that also starts earlier.
 
@@ -515,13 +522,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     back = "pid long, chunk long, bucket long, bits binary, n long, mark long"
     rank_dir = shared.work_dir(spark, "suffix-ranks")
     names = rows.mapInArrow(_sample_rows(skip_dir, width, n), sent)
-    shared.write_side(names.groupBy("bucket").applyInArrow(_shared_names, back), rank_dir)
+    shared.write_side(_dealt(names, n).groupBy("bucket").applyInArrow(_shared_names, back), rank_dir)
 
     common = spark.read.schema(back).parquet(rank_dir).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if total >= width else 0
     m = 1 + int(common * PERIOD / len(COVER) / BUCKET_NAMES)
     later_dir, secret = shared.work_dir(spark, "suffix-later"), Secret.drawn()
     windows = rows.mapInArrow(_window_rows(skip_dir, rank_dir, width, n, m, secret), sent + ", b1 binary, b2 binary, b3 binary")
-    shared.write_side(windows.groupBy("bucket").applyInArrow(_sort_bucket, back), later_dir)
+    shared.write_side(_dealt(windows, m).groupBy("bucket").applyInArrow(_sort_bucket, back), later_dir)
 
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
     return rows.mapInArrow(_cut(skip_dir, later_dir, width, m, keep_bytes, secret), out)
