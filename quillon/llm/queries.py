@@ -150,47 +150,58 @@ ORACLE_SQL: dict[str, str] = {
         FROM scored QUALIFY rank <= 20
     """,
     "op10_url_filter": r"""
-        WITH rest AS (
+        WITH RECURSIVE rest AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
         ), rows_ AS (
             SELECT page_id, translate(regexp_extract(r, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
         ), p AS (
-            SELECT *, list_transform(string_split(path, '/'), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' || regexp_extract(s, '(\.[A-Za-z]{1,5})$', 1) ELSE s END) AS segs,
+            SELECT *, list_transform(CASE WHEN len(string_split(path, '/')) > 16 THEN list_append(string_split(path, '/')[1:15], array_to_string(string_split(path, '/')[16:], '/')) ELSE string_split(path, '/') END,
+                       lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' || regexp_extract(s, '(\.[A-Za-z]{1,5})$', 1) ELSE s END) AS segs,
                    TRY_CAST(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT) AS key FROM rows_
         ), marks AS (
             SELECT doc_id AS key, CAST(round(avg(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END)) AS BIGINT) AS good FROM labels GROUP BY ALL
         ), counts AS (
-            SELECT host, segs, count(*) AS pages, count(good) AS n, coalesce(sum(good), 0) AS g FROM p LEFT JOIN marks USING (key) GROUP BY ALL
-        ), steps AS (
-            SELECT host, segs, pages, pos, segs[pos + 1] AS child, array_to_string(segs[1:pos], '/') AS node FROM counts, unnest(range(len(segs))) AS t(pos)
-        ), wide AS (
-            SELECT host, pos, node FROM (SELECT host, pos, node, child, sum(pages) AS pages FROM steps GROUP BY ALL) GROUP BY ALL HAVING count(*) > 20 AND 2 * count(*) > sum(pages)
-        ), named AS (
-            SELECT s.host, s.segs, list(CASE WHEN w.host IS NOT NULL THEN '*' ELSE child END ORDER BY s.pos) AS names
-            FROM steps s LEFT JOIN wide w ON s.host = w.host AND s.pos = w.pos AND s.node = w.node GROUP BY ALL
+            SELECT host, segs, count(DISTINCT path) AS pages, count(good) AS n, coalesce(sum(good), 0) AS g FROM p LEFT JOIN marks USING (key) GROUP BY ALL
+        ), tree(host, segs, pages, pos, names) AS (
+            SELECT host, segs, pages, 0, CAST([] AS VARCHAR[]) FROM counts
+            UNION ALL
+            SELECT host, segs, pages, pos + 1, list_append(names, CASE WHEN children > 20 AND 2 * children > all_pages THEN '*' ELSE segs[pos + 1] END)
+            FROM (SELECT *, count(DISTINCT segs[pos + 1]) OVER (PARTITION BY host, names) AS children, sum(pages) OVER (PARTITION BY host, names) AS all_pages FROM tree WHERE pos < len(segs))
         ), known AS (
-            SELECT n_.host, n_.segs, array_to_string(names, '/') AS template, array_to_string(names[1:len(names) - 1], '/') AS parent, n, g
-            FROM named n_ JOIN counts c ON n_.host = c.host AND n_.segs = c.segs
+            SELECT t.host, t.segs, names, n, g FROM tree t JOIN counts c ON t.host = c.host AND t.segs = c.segs WHERE pos = len(t.segs)
         ), leaves AS (
-            SELECT host, parent, template, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(g) AS DOUBLE) AS g FROM known GROUP BY ALL
-        ), parents AS (
-            SELECT host, parent, sum(n) AS an, sum(g) AS ag FROM leaves GROUP BY ALL
+            SELECT host, names, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(g) AS DOUBLE) AS g FROM known GROUP BY ALL
+        ), state(host, names, n, g, node, own, place, lvl) AS (
+            SELECT host, names, n, g, names, CAST(NULL AS BOOLEAN), '', (SELECT max(len(names)) FROM leaves) FROM leaves
+            UNION ALL
+            SELECT host, names, n, g, CASE WHEN here AND NOT apart AND NOT mixed THEN node[1 : lvl - 1] ELSE node END,
+                   CASE WHEN NOT here THEN own WHEN apart THEN true WHEN mixed THEN false END,
+                   CASE WHEN here AND apart THEN array_to_string(node, '/') WHEN here AND mixed THEN array_to_string(node[1 : lvl - 1], '/') ELSE place END, lvl - 1
+            FROM (
+                SELECT *, coalesce(bool_or(apart OR (own IS NOT NULL AND len(names) >= lvl)) OVER (PARTITION BY host, names[1 : lvl - 1]), false) AS mixed
+                FROM (
+                    SELECT *, CASE WHEN here AND bn > 0 AND an - bn > 0 THEN abs(bg / bn - (ag - bg) / (an - bn)) > 1.96 * sqrt((ag / an) * (1 - ag / an) * (1 / bn + 1 / (an - bn))) ELSE false END AS apart
+                    FROM (
+                        SELECT *, own IS NULL AND len(node) = lvl AS here,
+                               sum(CASE WHEN own IS NULL AND len(node) = lvl THEN n ELSE 0 END) OVER (PARTITION BY host, node) AS bn, sum(CASE WHEN own IS NULL AND len(node) = lvl THEN g ELSE 0 END) OVER (PARTITION BY host, node) AS bg,
+                               sum(CASE WHEN own IS NULL AND len(node) = lvl THEN n ELSE 0 END) OVER (PARTITION BY host, names[1 : lvl - 1]) AS an, sum(CASE WHEN own IS NULL AND len(node) = lvl THEN g ELSE 0 END) OVER (PARTITION BY host, names[1 : lvl - 1]) AS ag
+                        FROM state WHERE lvl > 0
+                    )
+                )
+            )
         ), branches AS (
-            SELECT l.host, l.parent, l.template, n, g,
-                   CASE WHEN n > 0 AND an - n > 0 AND abs(g / n - (ag - g) / (an - n)) > 1.96 * sqrt((ag / an) * (1 - ag / an) * (1 / n + 1 / (an - n))) THEN template END AS branch
-            FROM leaves l JOIN parents q ON l.host = q.host AND l.parent = q.parent
-        ), merged AS (
-            SELECT host, parent, branch, sum(n) AS bn, sum(g) AS bg FROM branches GROUP BY ALL
+            SELECT host, names, n, g, coalesce(own, false) AS own, place FROM state WHERE lvl = 0
         ), hosts AS (
             SELECT host, sum(n) AS hn, sum(g) AS hg FROM leaves GROUP BY ALL
         ), overall AS (SELECT (coalesce(sum(g), 0) + 1) / (coalesce(sum(n), 0) + 1) AS o FROM leaves
+        ), merged AS (
+            SELECT host, own, place, sum(n) AS bn, sum(g) AS bg FROM branches GROUP BY ALL
         ), judged AS (
-            SELECT m.host, m.parent, m.branch, (bg + 5.0 * ((hg + 5.0 * o) / (hn + 5.0))) / (bn + 5.0) AS purity FROM merged m JOIN hosts h ON m.host = h.host, overall
+            SELECT m.host, m.own, m.place, (bg + 5.0 * ((hg + 5.0 * o) / (hn + 5.0))) / (bn + 5.0) AS purity FROM merged m JOIN hosts h ON m.host = h.host, overall
         ), verdicts AS (
             SELECT k.host, k.segs, CASE WHEN purity < 0.6 THEN 'block' ELSE 'allow' END AS verdict
-            FROM known k JOIN branches b ON k.host = b.host AND k.template = b.template
-            JOIN judged j ON b.host = j.host AND b.parent = j.parent AND b.branch IS NOT DISTINCT FROM j.branch
+            FROM known k JOIN branches b ON k.host = b.host AND k.names = b.names JOIN judged j ON b.host = j.host AND b.own = j.own AND b.place = j.place
         ), rules(verdict, host, path) AS (
             VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
         ), ruled AS (

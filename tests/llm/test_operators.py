@@ -711,6 +711,111 @@ def test_impure_templates_are_blocked(spark):
     assert {r["template"] for r in got if "wide" in r["template"]} == {"/wide/*/x"}
 
 
+def letters(i):
+    return "".join(chr(97 + int(x)) for x in str(i))
+
+
+@pytest.mark.parametrize("times", [1, 2])
+def test_segments_that_vary_below_one_another_are_one_template(spark, times):
+    pages = [(i, f"http://h.org/users/{letters(i)}/page{letters(7 * i)}") for i in range(100)]
+    if times == 1:
+        pages += [(200 + i, f"http://h.org/deep/{'/'.join('x' * 60)}/{letters(i)}") for i in range(3)]
+    labels = spark.createDataFrame([], "doc_id long, good int")
+    got = url_filter.filter_urls(spark.createDataFrame(pages * times, "page_id long, url string"), labels).collect()  # repeated rows change nothing
+    assert len(got) == times * len(pages)
+    assert {r["template"] for r in got if r["page_id"] < 200} == {"/users/*/*"}
+
+
+def brute_tree(pages, marks, most=20, weight=5.0, least=0.6, z=1.96):
+    """Verdicts of (host, path) pages by the tree's definition, node by node."""
+    def segments(path):
+        return ["*" + (re.search(r"(\.[A-Za-z]{1,5})$", s) or [""])[0] if re.search("[0-9]", s) else s for s in path.split("/")]
+
+    def number(path):
+        m = re.search("/([0-9]+)", path)
+        return int(m[1]) if m else None
+
+    out = {}
+    distinct = sorted(set(pages))
+    labelled = [(h, p, marks[number(p)]) for h, p in pages if number(p) in marks]
+    overall = (sum(x for *_, x in labelled) + 1) / (len(labelled) + 1)
+    for host in {h for h, _ in pages}:
+        own = {p: segments(p) for h, p in distinct if h == host}
+        names = {p: () for p in own}
+        for level in range(max(map(len, own.values()))):
+            at = {}
+            for p, s in own.items():
+                if len(s) > level:
+                    at.setdefault(names[p], []).append((s[level], p))
+            for kids in at.values():
+                wide = len({c for c, _ in kids}) > most and 2 * len({c for c, _ in kids}) > len(kids)
+                for c, p in kids:
+                    names[p] += ("*" if wide else c,)
+        n, g = {}, {}
+        for h, p, x in labelled:
+            if h == host:
+                n[names[p]], g[names[p]] = n.get(names[p], 0) + 1, g.get(names[p], 0) + x
+        every = set(names.values())
+        count = lambda group: (sum(n.get(t, 0) for t in group), sum(g.get(t, 0) for t in group))  # noqa: B023, E731
+        branch = {}
+
+        def close(node):
+            """The open templates below a node once its own children are settled; those that are apart get branches."""
+            below = [t for t in every if t[: len(node)] == node]
+            kids = {}
+            for child in {t[: len(node) + 1] for t in below if len(t) > len(node)}:
+                if left := close(child):
+                    kids[child] = left
+            settled = any(t in branch for t in below)
+            all_n, all_g = count([t for k in kids.values() for t in k])
+            away = []
+            for child, group in kids.items():
+                cn, cg = count(group)
+                if cn and all_n - cn:
+                    pooled = all_g / all_n
+                    if abs(cg / cn - (all_g - cg) / (all_n - cn)) > z * (pooled * (1 - pooled) * (1 / cn + 1 / (all_n - cn))) ** 0.5:
+                        away.append(child)
+            for child in away:
+                branch.update({t: (True, child) for t in kids.pop(child)})
+            rest = [t for k in kids.values() for t in k]
+            if away or settled:
+                branch.update({t: (False, node) for t in rest})
+                rest = []
+            return rest + ([node] if node in every and node else [])
+
+        for t in close(()):
+            branch[t] = (False, ())
+        host_n, host_g = count(every)
+        base = (host_g + weight * overall) / (host_n + weight)
+        for p, t in names.items():
+            bn, bg = count([x for x in every if branch[x] == branch[t]])
+            out[host, p] = "block" if (bg + weight * base) / (bn + weight) < least else "allow"
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_the_tree_matches_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pages = []
+    for i in range(900):
+        host = rng.choice(["a.org", "a.org", "b.org"])
+        kind = rng.random()
+        if kind < 0.4:
+            path = f"/{rng.choice(['news', 'shop', 'blog'])}/{rng.choice(['x', 'y'])}/{i}{rng.choice(['', '.html', '/'])}"
+        elif kind < 0.7:
+            path = f"/u/{letters(i)}/{rng.choice(['p', 'q'])}/{i}"
+        else:
+            path = f"/{letters(i % 30)}" + rng.choice(["", f"/{i}"])
+        pages.append((host, path))
+    bad = {"shop", "q"} if seed else {"blog"}
+    marks = {i: int(rng.random() > (0.8 if bad & set(p.split("/")) else 0.15)) for i, (_, p) in enumerate(pages) if rng.random() < 0.7}
+    df = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(pages)], "page_id long, url string")
+    got = url_filter.filter_urls(df, spark.createDataFrame(list(marks.items()), "doc_id long, good int"), rules=()).collect()
+    want = brute_tree(pages, marks)
+    assert {(r["host"], r["path"]): r["verdict"] for r in got} == want
+    assert len(set(want.values())) == 2
+
+
 # ---- queries and pipeline ------------------------------------------------------------------------
 
 
