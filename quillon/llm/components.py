@@ -32,12 +32,15 @@ def components(edges: DataFrame) -> DataFrame:
     itself as label.  Self-links, repeated and reversed pairs are fine; no edges
     give no rows.  Ends when a round leaves the edges as they are.
     """
-    now = shared.write_and_read(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    spark = edges.sparkSession
+    path = shared.work_dir(spark, "edges")
+    now = shared.write_and_read(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", path)
     before = None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
         if mark == before:
             break
-        before = mark
-        now = shared.write_and_read(_star(_star(now, True), False), "edges")
+        before, last, path = mark, path, shared.work_dir(spark, "edges")
+        now = shared.write_and_read(_star(_star(now, True), False), "edges", path)
+        shared.free([last])  # the round after it is written
     return now.select(F.col("u").alias("vertex"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("vertex"), F.col("v").alias("label")).distinct())

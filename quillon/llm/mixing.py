@@ -8,8 +8,10 @@ weighted sum of the posterior, cut at 0 and the top rate, with one weight per do
 the multipliers.  Documents of equal posterior have equal rates: with posteriors
 rounded to 1/GRID, steps run over the distinct posteriors and their token sums.
 
-The multipliers are found by Newton steps, which end only where the condition of
-optimality holds and raise if it can't be met.  A pass over the sums gives a handful
+The multipliers are found by gradient steps of the least-squares problem, scaled by
+its curvature (Newton's) and followed by the projection onto the allowed rates, which
+end only where the condition of optimality holds and raise if it can't be met: steps
+that aren't scaled hardly move the rates of rare domains.  A pass over the sums gives a handful
 of numbers; the rates themselves are never gathered, every task works them out from
 the multipliers.
 """
@@ -33,7 +35,7 @@ from .words import NON_SPACE, Words, groups
 #: Word buckets of the classifier, and labelled documents per domain that it is fitted on at most.
 BUCKETS = 1 << 16
 FIT_DOCS = 4000
-#: Posteriors are multiples of 1/GRID.
+#: Posteriors are multiples of 1/GRID, so there are no more distinct ones than the ways to deal GRID parts to the domains.
 GRID = 128
 #: Newton steps at most for a weight of nearness, the distance from optimality (in shares of all tokens) at which they end, and lengths tried of a step, each a quarter of the one before.
 STEPS = 200
@@ -131,7 +133,9 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str], fit_docs
     Half of a domain's sample (the smallest hashes of the id) gives the word
     weights, the other half the calibration, weighted to the domains' true shares.
     Unknown and null domains are left out.  Where fewer than two domains have
-    documents, all posteriors are the labelled table's smoothed shares.
+    documents, all posteriors are the labelled table's smoothed shares.  Word buckets
+    that fewer than four documents of the sample have, and those whose weight is below 1
+    in all ways, say too little and have weight 0.
     """
     spark = docs.sparkSession
     shared.prepare(spark)
@@ -328,7 +332,8 @@ def _chosen(known, fitted, at: int, id_at: int):
                 continue
             p = rounded(known.value.posteriors(_sums(known.value, batch.column(at))[0])) / GRID
             rate = replay(p, fitted, 1.0)[0]
-            draw = np.array([xxhash.xxh64_intdigest(str(i)) / 2**64 for i in batch.column(id_at).to_pylist()])
+            keys = (str(i).encode() if i is not None else t for i, t in zip(batch.column(id_at).to_pylist(), views(batch.column(at)), strict=True))
+            draw = np.array([xxhash.xxh64_intdigest(k) / 2**64 for k in keys])
             yield batch.filter(pa.array(draw < rate))
 
     return scan
@@ -337,8 +342,9 @@ def _chosen(known, fitted, at: int, id_at: int):
 def choose(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], keep: str | None = None) -> DataFrame:
     """The input's rows, all columns, taken with a probability of their rate, which is 1 at most.
 
-    The draw is a hash of doc_id, so a row's fate doesn't change between runs.  A
-    domain whose target is beyond its tokens keeps all documents that are surely its;
+    The draw is a hash of doc_id, of the text for rows without one, so a row's fate
+    doesn't change between runs and equal ids have equal draws.  A text without words
+    has the rate of its posterior; an empty table gives no rows.  A domain whose target is beyond its tokens keeps all documents that are surely its;
     for the domain ``keep`` all targets are raised until its target is no less than
     its tokens, so that none of those documents is lost.
     """

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
@@ -58,7 +58,7 @@ def key_of_text(key: Column) -> Column:
     return F.xxhash64(key.cast("string"))
 
 
-def _number(shards: int):
+def _number(shards: int, names: list[str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, seen = TaskContext.get().partitionId(), np.zeros(shards, np.int64)
         for batch in batches:
@@ -69,7 +69,7 @@ def _number(shards: int):
             local = np.empty(len(shard), np.int64)
             local[order] = np.arange(len(shard)) - begin[ordered] + seen[ordered]
             seen += np.bincount(shard, minlength=shards)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(shard), pid, np.int32)), pa.array(local)], names=[*batch.schema.names, "__pid", "__local"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(shard), pid, np.int32)), pa.array(local)], names=[*batch.schema.names, *names])
 
     return scan
 
@@ -81,12 +81,13 @@ def with_slots(rows: DataFrame, shards: int, order: list[str]) -> DataFrame:
     order of the input.
     """
     shared.prepare(rows.sparkSession)
-    tie = shared.quiet_column(rows, "tie")
+    tie, pid, local, n, base = shared.quiet_columns(rows, "tie", "pid", "local", "n", "base")
     ranged = rows.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*order, tie).sortWithinPartitions(*order, tie).drop(tie)
-    numbered = shared.write_and_read(ranged.mapInArrow(_number(shards), StructType([*ranged.schema.fields, StructField("__pid", IntegerType()), StructField("__local", LongType())])), "slots")
-    counts = numbered.groupBy("__pid", "shard").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("__pid", "shard", F.expr("coalesce(sum(__n) OVER (PARTITION BY shard ORDER BY __pid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("__base"))
-    return numbered.join(before, ["__pid", "shard"]).withColumn("slot", F.col("__base") + F.col("__local")).drop("__pid", "__local", "__base")
+    kind = StructType([*ranged.schema.fields, StructField(pid, IntegerType()), StructField(local, LongType())])
+    numbered = shared.write_and_read(ranged.mapInArrow(_number(shards, [pid, local]), kind), "slots")
+    counts = numbered.groupBy(pid, "shard").agg(F.count(F.lit(1)).alias(n))
+    before = F.coalesce(F.sum(n).over(Window.partitionBy("shard").orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return numbered.join(counts.select(pid, "shard", before.alias(base)), [pid, "shard"]).withColumn("slot", F.col(base) + F.col(local)).drop(pid, local, base)
 
 
 def assign_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

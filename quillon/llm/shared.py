@@ -79,14 +79,26 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
-@atexit.register
-def _clean() -> None:
-    for path in _MADE:
+def made() -> list[str]:
+    """The folders that are there now, for ``free``."""
+    return list(_MADE)
+
+
+def free(paths: list[str]) -> None:
+    """Remove folders that no later step reads."""
+    for path in paths:
         try:
             fs, inner = open_fs(path)
             fs.delete_dir(inner)
         except Exception:  # the folder may be gone, or its store out of reach
             pass
+        if path in _MADE:
+            _MADE.remove(path)
+
+
+@atexit.register
+def _clean() -> None:
+    free(made())
 
 
 def write_side(df: DataFrame, path: str) -> None:
@@ -107,10 +119,10 @@ def read_side(path: str, pid: int) -> pa.Table | None:
     return pa.concat_tables(parts) if parts else None
 
 
-def write_and_read(df: DataFrame, tag: str) -> DataFrame:
+def write_and_read(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """Cut the lineage with a written table in the shared folder."""
     spark = df.sparkSession
-    path = work_dir(spark, tag)
+    path = path or work_dir(spark, tag)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
@@ -165,7 +177,16 @@ def without(df: DataFrame, own: str, gone: DataFrame) -> DataFrame:
 
 def quiet_column(df: DataFrame, stem: str) -> str:
     """A column name that the input doesn't use."""
-    name, used = f"__{stem}", {c.lower() for c in df.columns}
-    while name in used:
-        name += "_"
-    return name
+    return quiet_columns(df, stem)[0]
+
+
+def quiet_columns(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that the input doesn't use, each another."""
+    used, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = f"__{stem}"
+        while name in used:
+            name += "_"
+        used.add(name)
+        out.append(name)
+    return out

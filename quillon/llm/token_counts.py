@@ -36,7 +36,8 @@ from . import shared
 
 #: The library's mark for a space.
 SPACE = "▁"
-#: Characters of a text cut at a time, distinct pre-tokens of a chunk, bytes of text behind a bucket.
+#: Pre-tokens encoded at a time, characters of a text cut at a time, distinct pre-tokens of a chunk, bytes of text behind a bucket.
+FEW = 4096
 PART = 1_000_000
 CHUNK = 300_000
 BUCKET_BYTES = 32 << 20
@@ -76,9 +77,15 @@ class Splitter:
         yield _PRE_TOKEN.findall(text[at:])
 
     def pieces(self, tokens: list[str]) -> np.ndarray:
-        if self.exact:
-            return np.array([len(x) - self.sign for x in self.library.encode(["\n" + t for t in tokens], num_threads=1)], np.int32)
-        return np.array([len(x) for x in self.library.encode(tokens, num_threads=1)], np.int32)
+        """How many pieces each pre-token has; the ids of a few are made at a time, only to be counted."""
+        out = np.empty(len(tokens), np.int32)
+        for at in range(0, len(tokens), FEW):
+            few = tokens[at : at + FEW]
+            if self.exact:
+                out[at : at + FEW] = [len(x) - self.sign for x in self.library.encode(["\n" + t for t in few], num_threads=1)]
+            else:
+                out[at : at + FEW] = [len(x) for x in self.library.encode(few, num_threads=1)]
+        return out
 
 
 #: A line feed, or spaces and what follows them, or spaces alone.

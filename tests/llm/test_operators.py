@@ -832,3 +832,90 @@ def test_query_matches_oracle(spark, sf_dir, name):
 
 def test_shared_folder_is_the_sessions(spark):
     assert shared.work_dir(spark, "x").startswith(shared.prepare(spark).rstrip("/"))
+
+
+# ---- registered queries that SQL can't express ----------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf_dir):
+    return [(r["doc_id"], r["text"]) for r in shared.table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+
+
+def test_op1_matches_brute_force_on_a_table(spark, sf_dir, texts):
+    got = queries.op1_suffix_dedup(spark, sf_dir).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_repeats(texts)
+
+
+def test_op2_matches_brute_force_on_a_table(spark, sf_dir, texts):
+    prints = [brute_print(t) for _, t in texts]
+    labels = reach([i for i, _ in texts], [[(a ^ b).bit_count() <= 4 for b in prints] for a in prints])
+    got = sorted(tuple(r) for r in queries.op2_simhash(spark, sf_dir).collect())
+    assert got == sorted((i, format(p, "016x"), c) for (i, _), p, c in zip(texts, prints, labels, strict=True))
+
+
+def test_op5_scores_follow_from_its_model_on_a_table(spark, sf_dir, texts):
+    import zstandard
+
+    model = quality.fit(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
+    kind = {False: zstandard.DICT_TYPE_FULLDICT, True: zstandard.DICT_TYPE_RAWCONTENT}
+    dicts = [zstandard.ZstdCompressionDict(d, dict_type=kind[raw]) for d, raw in zip(model.dictionaries, model.raw, strict=True)]
+    got = {r["doc_id"]: r for r in queries.op5_quality(spark, sf_dir).collect()}
+    assert len(got) == len(texts)
+    for i, text in texts[:60]:
+        b = (text or "").encode()
+        pieces = [b[at : at + quality.PIECE] for at in range(0, max(1, len(b)), quality.PIECE)]
+        bad, good = (sum(len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(x)) for x in pieces) for d in dicts)
+        size = len(b) + quality.EXTRA
+        lean, rate = np.clip([(bad - good) / size, min(bad, good) / size], model.low, model.high)
+        z = (np.array([lean, rate, lean * rate]) - model.mean) / model.scale
+        score = 1 / (1 + np.exp(-np.clip(model.weights[0] + z @ model.weights[1:], -30, 30)))
+        assert np.isclose(got[i]["score"], score) and got[i]["predicted"] == int(got[i]["score"] >= 0.5)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
+def test_op7_meets_its_targets_on_a_table(spark, sf_dir, texts):
+    rows = queries.op7_mixing(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(i for i, _ in texts)
+    words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in texts}
+    assert all(r["n_tokens"] == words[r["doc_id"]] and r["rate"] >= 0 for r in rows)
+    p = np.array([[int(x) for x in r["posterior"].split(",")] for r in rows]) / mixing.GRID
+    totals = np.array([r["rate"] * r["n_tokens"] for r in rows]) @ p
+    # nearest rates by an independent method: alternating projections (Dykstra's) onto the targets and onto rates of at least 0
+    t = np.array([float(r["n_tokens"]) for r in rows])
+    targets = np.array(list(mixing.TARGETS.values())) * t.sum()
+    if np.allclose(totals, targets, rtol=1e-5):
+        rate, off = np.ones(len(rows)), np.zeros(len(rows))
+        a = t[:, None] * p  # totals are a.T @ rate; nearness weighs a document as its tokens
+        gram = a.T @ (a / np.maximum(t, 1)[:, None])
+        for _ in range(3000):
+            rate = rate + (a @ np.linalg.lstsq(gram, targets - a.T @ rate, rcond=None)[0]) / np.maximum(t, 1)
+            rate, off = np.maximum(rate + off, 0), np.minimum(rate + off, 0)
+        got = np.array([r["rate"] for r in rows])
+        assert np.allclose(got[t > 0], rate[t > 0], atol=1e-3)
+
+
+def test_op9_matches_the_library_on_a_table(spark, sf_dir, texts):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    counts = {i: len(library.encode(t or "")) for i, t in texts}
+    got = queries.op9_token_counts(spark, sf_dir).collect()
+    assert {(r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got} == {(i, len((t or "").encode()), counts[i], counts[i] > 4096) for i, t in texts}
+
+
+def test_near_duplicates_of_every_similarity_are_found(spark):
+    """Recall of the pipeline's links by bands of similarity, from 0.8 up: 0.9 is asked for, all are found."""
+    found, bands = 0, {}
+    rows = []
+    for i in range(160):
+        n = 20 + 10 * (i % 30)
+        words = passage(7000 + i, n).split(" ")
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, edited(words, max(1, n * (1 + i % 4) // 100), 9000 + i))]
+    kept = {r["doc_id"] for r in simhash.keep_one(documents(spark, rows)).collect()}
+    for i in range(160):
+        a, b = shingle_set(rows[2 * i][1]), shingle_set(rows[2 * i + 1][1])
+        if (similarity := len(a & b) / len(a | b)) >= 0.8:
+            bands.setdefault(int(similarity * 20), []).append(2 * i + 1 not in kept)
+        else:
+            assert 2 * i + 1 in kept
+            found += 1
+    assert found > 10 and set(bands) >= {16, 17, 18} and all(all(x) for x in bands.values())
