@@ -310,7 +310,10 @@ def find_contamination(
 
 
 def alignments(places: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Places beside prefixes of the same shingle, where the words at hand reach as far as some window needs."""
+    """Places beside prefixes of the same shingle, where the words at hand reach as far as some window needs.
+
+    Both are shuffled, so that a task doesn't need two Python workers at once.
+    """
     low = F.greatest("first", F.col("place") - F.col("left"))
     high = F.least("last", F.col("place") + F.col("size") + F.col("right") - F.col("length"))
-    return places.join(prefixes, "name").where(low <= high).select("row", "at", "left", "right", "around", "item_id", "size", "length", "place", "first", "last", "span")
+    return places.join(prefixes.hint("merge"), "name").where(low <= high).select("row", "at", "left", "right", "around", "item_id", "size", "length", "place", "first", "last", "span")

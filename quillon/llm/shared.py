@@ -48,6 +48,8 @@ def prepare(spark: SparkSession) -> str:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     env.setdefault("MALLOC_ARENA_MAX", "2")
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(1 << 20))  # larger arrays go back to the system when they are freed
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(1 << 20))
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(64 << 20):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if ROOT not in sys.path:
