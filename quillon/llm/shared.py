@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 _MADE: list[str] = []
 #: Bytes of an Arrow batch, in place of Spark's default of 64 MB: a batch lies in memory several times.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Bits of a row's number below the number of its partition, as Spark's increasing ids have them.
 ROW_BITS = 33
 
@@ -48,8 +48,6 @@ def prepare(spark: SparkSession) -> str:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     env.setdefault("MALLOC_ARENA_MAX", "2")
-    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(1 << 20))  # larger arrays go back to the system when they are freed
-    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(1 << 20))
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(64 << 20):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if ROOT not in sys.path:
