@@ -97,7 +97,8 @@ def document_frequencies(catalog: DataFrame, text: str = "text") -> DataFrame:
 def term_counts(catalog: DataFrame, asked: DataFrame | None = None, doc: str = "doc", text: str = "text") -> DataFrame:
     """(doc, term, f, dl): postings with the document's length; with ``asked`` (term), of those terms only."""
     w = words(F.col(text))
-    found = catalog.select(F.col(doc).alias("doc"), F.size(w).alias("dl"), F.explode(w).alias("term"))
+    split = catalog.select(F.col(doc).alias("doc"), w.alias("w")).select("doc", F.size("w").alias("dl"), "w")  # once a row, not once a word
+    found = split.select("doc", "dl", F.explode("w").alias("term"))
     if asked is not None:
         found = found.join(asked, "term", "left_semi")
     return found.groupBy("doc", "term", "dl").agg(F.count(F.lit(1)).alias("f"))
