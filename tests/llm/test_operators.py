@@ -239,6 +239,28 @@ def test_components_of_chains_stars_and_rings(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", ["-1", "10485760"])
+def test_components_of_random_graphs_with_hubs(spark, broadcast):
+    rng = random.Random(9)
+    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(220)] + [(900, i) for i in range(0, 60, 3)] + [(-7, i) for i in range(500, 560)]
+    names = sorted({x for e in edges for x in e})
+    label = {x: x for x in names}
+    while True:
+        before = dict(label)
+        for u, v in edges:
+            label[u] = label[v] = min(label[u], label[v])
+        if label == before:
+            break
+    linked = {x for u, v in edges if u != v for x in (u, v)}
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = components.components(spark.createDataFrame(edges + edges[:50], "u long, v long")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+    assert sorted(map(tuple, got)) == sorted((x, label[x]) for x in linked)
+
+
 def test_one_of_each_group_stays(spark):
     base = passage(30, 300).split(" ")
     near = [*base[:150], "changed", *base[151:]]
