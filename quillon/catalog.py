@@ -192,6 +192,28 @@ def kmeans_codebook(spark, sf_dir):
     return book.select("m", "code", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
 
 
+@query(f"""WITH {CODES}, n AS (SELECT code, m, list_transform(w, lambda x: x / greatest(sqrt(list_sum(list_transform(w, lambda y: y * y))), 1e-12)) AS w FROM c),
+    l AS (SELECT vec_id, s.m, code, w, -list_sum(list_transform(list_zip(x, w), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / 0.25 AS l FROM s JOIN n ON s.m = n.m),
+    t AS (SELECT vec_id, m, code, list_sum(w) AS total, l - max(l) OVER (PARTITION BY vec_id, m) AS l FROM l),
+    e AS (SELECT vec_id, m, arg_min(code, (-l, code)) AS code, arg_min(total, (-l, code)) AS hard, sum(exp(l) * total) / sum(exp(l)) AS soft FROM t GROUP BY vec_id, m)
+    SELECT vec_id, string_agg(code, ',' ORDER BY m) AS codes, round(sum(hard), 6) AS hard, round(sum(soft), 6) AS soft FROM e GROUP BY vec_id""")
+def quantizer_forward(spark, sf_dir):
+    """Vectors as their likeliest codewords and as mixtures of codewords, at a temperature of a half."""
+    vecs, book = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), _book(spark, sf_dir)
+    total = F.round(F.aggregate("quantized", F.lit(0.0), lambda s, x: s + x), 6)
+    soft = quantizer.forward(vecs, book, SPEC, 0.5).select("vec_id", total.alias("soft"))
+    hard = quantizer.forward(vecs, book, SPEC, 0.5, hard=True).select("vec_id", _joined(F.col("codes")).alias("codes"), total.alias("hard"))
+    return hard.join(soft, "vec_id")
+
+
+@query(f"""WITH {CODES}, a AS (SELECT s.m, b.code, unnest(range(1, 17)) AS i, unnest(x) AS x FROM s JOIN best b ON s.vec_id = b.vec_id AND s.m = b.m)
+    SELECT CAST(m AS INTEGER) AS m, CAST(code AS INTEGER) AS code, CAST(i AS INTEGER) AS i, round(avg(x), 6) AS x FROM a GROUP BY ALL""")
+def refined_codebook(spark, sf_dir):
+    """A step of the codebook's refinement over all rows; each codeword is nearest to itself, so none is unused."""
+    book = quantizer.refine_codebook(_table(spark, sf_dir, "embeddings"), _book(spark, sf_dir), SPEC)
+    return book.select("m", "code", F.posexplode("centroid").alias("i", "x")).select("m", "code", (F.col("i") + 1).alias("i"), F.round("x", 6).alias("x"))
+
+
 # ---- data sets -----------------------------------------------------------------------------------
 
 

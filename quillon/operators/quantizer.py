@@ -64,7 +64,7 @@ def encode(df: DataFrame, codebook: DataFrame, spec: IdSpec, vector_col: str = "
 
     @F.pandas_udf("array<int>")
     def codes(v: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(v), dtype=object)
+        out: list[np.ndarray | None] = [None] * len(v)  # a list: a Series takes an array of one code for the code
         there = v.notna().to_numpy()
         if there.any():
             if wrong := {len(x) for x in v[there]} - {spec.dim}:
@@ -73,7 +73,7 @@ def encode(df: DataFrame, codebook: DataFrame, spec: IdSpec, vector_col: str = "
             found = nearest(book.value, x.reshape(len(x), spec.subspaces, spec.width))
             for i, codes in zip(np.flatnonzero(there).tolist(), found, strict=True):
                 out[i] = codes
-        return out
+        return pd.Series(out, dtype=object)
 
     # never null, so that a later join doesn't add a filter that evaluates the kernel once more
     return df.withColumn("codes", F.coalesce(codes(F.col(vector_col)), F.array().cast("array<int>")))
@@ -101,19 +101,62 @@ def encode_relational(df: DataFrame, codebook: DataFrame, spec: IdSpec, id_col:
     return best.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "code"))), lambda x: x["code"]).alias("codes"))
 
 
-def assignments(df: DataFrame, codebook: DataFrame, spec: IdSpec, temperature: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", normalise_codewords: bool = True) -> DataFrame:
-    """Soft assignment without noise: (id, m, code, p), a softmax over -distance / temperature squared.
+def gumbel(seed: int, *keys: Column) -> Column:
+    """Gumbel noise by a hash of the keys: it doesn't depend on how rows are partitioned, and repeats."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) + F.lit(0.5)) / F.lit(2.0**53)
+    return -F.ln(-F.ln(u))
+
+
+def assignments(df: DataFrame, codebook: DataFrame, spec: IdSpec, temperature: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", normalise_codewords: bool = True, seed: int | None = None) -> DataFrame:
+    """Soft assignment: (id, m, code, p), a softmax over -distance / temperature squared, with a seed over Gumbel noise / temperature more.
 
     The temperature counts twice: once in the logits and once in the softmax.
     """
     if normalise_codewords:
         codebook = codebook.withColumn("centroid", V.l2_normalised(F.col("centroid")))
-    logits = subspace_rows(df, spec, id_col, vector_col).join(F.broadcast(codebook), "m").select(id_col, "m", "code", (-V.squared_distance(F.col("x"), F.col("centroid")) / (temperature * temperature)).alias("l"))
+    logit = -V.squared_distance(F.col("x"), F.col("centroid")) / (temperature * temperature)
+    if seed is not None:
+        logit = logit + gumbel(seed, F.col(id_col), F.col("m"), F.col("code")) / temperature
+    logits = subspace_rows(df, spec, id_col, vector_col).join(F.broadcast(codebook), "m").select(id_col, "m", "code", logit.alias("l"))
     each = logits.groupBy(id_col, "m").agg(F.max("l").alias("top"), F.collect_list(F.struct("code", "l")).alias("all"))
     total = F.aggregate("all", F.lit(0.0), lambda s, x: s + F.exp(x["l"] - F.col("top")))
     return each.select(id_col, "m", F.inline(F.transform("all", lambda x: F.struct(x["code"].alias("code"), (F.exp(x["l"] - F.col("top")) / total).alias("p")))))
 
 
+def forward(df: DataFrame, codebook: DataFrame, spec: IdSpec, temperature: float = 1.0, hard: bool = False, seed: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, codes, quantized): the likeliest code per subspace, the lowest at ties, and the mixture of normalised codewords.
+
+    ``hard`` takes the likeliest codeword alone; with a seed, codes are sampled.  An
+    empty table gives no rows.
+    """
+    soft = assignments(df, codebook, spec, temperature, id_col, vector_col, seed=seed)
+    book = codebook.select("m", "code", V.l2_normalised(F.col("centroid")).alias("w"))
+    parts = soft.join(F.broadcast(book), ["m", "code"]).groupBy(id_col, "m").agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("q"), "code", "w"))).alias("all"))
+    none = F.array_repeat(F.lit(0.0), spec.width)
+    mixed = F.aggregate("all", none, lambda s, x: F.zip_with(s, x["w"], lambda a, b: a - x["q"] * b))
+    best = F.col("all")[0]
+    one = parts.select(id_col, F.struct("m", best["code"].alias("code"), (best["w"] if hard else mixed).alias("v")).alias("part"))
+    rows = one.groupBy(id_col).agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return rows.select(id_col, F.transform("parts", lambda x: x["code"]).alias("codes"), F.flatten(F.transform("parts", lambda x: x["v"])).alias("quantized"))
+
+
+def refine_codebook(df: DataFrame, codebook: DataFrame, spec: IdSpec, steps: int = 1, vector_col: str = "embedding") -> DataFrame:
+    """Move every codeword to the mean of all the subvectors whose nearest it is, ``steps`` times.
+
+    Codewords that nothing is nearest to stay; null vectors are left out.  A step
+    reads the whole table once and shuffles partial means; the codebook, within its
+    checked bound, comes to the driver.
+    """
+    for _ in range(steps):
+        parts = encode(df, codebook, spec, vector_col).select("codes", V.doubles(F.col(vector_col)).alias("x")).where(F.size("codes") > 0)
+        paired = parts.select(F.inline(F.zip_with(V.subvectors(F.col("x"), spec.subspaces, spec.width), "codes", lambda p, c: F.struct(p["m"].alias("m"), c.alias("code"), p["x"].alias("v")))))
+        means = paired.groupBy("m", "code").agg(F.array(*(F.avg(F.col("v")[i]) for i in range(spec.width))).alias("mean"))
+        moved = codebook.join(means, ["m", "code"], "left").select("m", "code", F.coalesce("mean", "centroid").alias("centroid"))
+        rows = moved.limit(spec.subspaces * spec.codes).collect()
+        codebook = df.sparkSession.createDataFrame(rows, "m int, code int, centroid array<double>")
+    return codebook
+
+
 def reconstruct(encoded: DataFrame, codebook: DataFrame, spec: IdSpec) -> DataFrame:
     """Add ``quantized``: the centroids of each row's codes, laid end to end."""
     book = codebook_array(codebook, spec)

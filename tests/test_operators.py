@@ -462,3 +462,38 @@ def test_kmeans_cost_is_near_a_brute_force_run(spark):
             centres = np.stack([x[own == k].mean(axis=0) if (own == k).any() else centres[k] for k in range(4)])
         best = min(best, cost(centres))
     assert cost(book) <= 1.001 * best
+
+
+def test_sampled_codes_repeat_and_follow_their_probabilities(spark):
+    spec = IdSpec(dim=2, subspaces=1, codes=2)
+    book = spark.createDataFrame([(0, 0, [1.0, 0.0]), (0, 1, [0.0, 1.0])], "m int, code int, centroid array<double>")
+    df = spark.createDataFrame([(i, [0.8, 0.5]) for i in range(4000)], "vec_id long, embedding array<double>")
+    p = quantizer.assignments(df.limit(1), book, spec).where("code = 0").first()["p"]
+    codes = [r["codes"][0] for r in quantizer.forward(df, book, spec, hard=True, seed=3).orderBy("vec_id").collect()]
+    again = [r["codes"][0] for r in quantizer.forward(df.repartition(5), book, spec, seed=3).orderBy("vec_id").collect()]
+    assert codes == again and abs(codes.count(0) / 4000 - p) < 0.03
+
+
+def test_forward_mixes_codewords_and_breaks_ties_by_the_lowest(spark):
+    spec = IdSpec(dim=2, subspaces=1, codes=2)
+    book = spark.createDataFrame([(0, 0, [2.0, 0.0]), (0, 1, [0.0, 2.0])], "m int, code int, centroid array<double>")
+    df = spark.createDataFrame([(0, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    soft, hard = (quantizer.forward(df, book, spec, hard=x).first() for x in (False, True))
+    assert soft["codes"] == hard["codes"] == [0]
+    assert np.allclose(soft["quantized"], [0.5, 0.5]) and hard["quantized"] == [1.0, 0.0]
+    assert quantizer.forward(df.limit(0), book, spec).count() == 0
+
+
+def test_refinement_lowers_the_cost_and_keeps_unused_codewords(spark):
+    spec = IdSpec(dim=2, subspaces=1, codes=3)
+    x = np.random.default_rng(1).normal(size=(200, 2))
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(200, None)], "vec_id long, embedding array<double>")
+    book = spark.createDataFrame([(0, 0, [1.0, 1.0]), (0, 1, [-1.0, 0.0]), (0, 2, [99.0, 99.0])], "m int, code int, centroid array<double>")
+    centres, costs = np.array([[1.0, 1.0], [-1.0, 0.0], [99.0, 99.0]]), []
+    for steps in (1, 2, 3):
+        own = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.stack([x[own == k].mean(axis=0) if (own == k).any() else centres[k] for k in range(3)])
+        found = quantizer.codebook_array(quantizer.refine_codebook(df, book, spec, steps), spec)[0]
+        assert np.allclose(found, centres) and found[2].tolist() == [99.0, 99.0]
+        costs.append(((x[:, None] - found[None]) ** 2).sum(axis=2).min(axis=1).sum())
+    assert costs == sorted(costs, reverse=True)
