@@ -28,13 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import fitting, shared
 from .suffix_dedup import views
 from .words import NON_SPACE, Words, groups
 
-#: Word buckets of the classifier, and labelled documents per domain that it is fitted on at most.
+#: Word buckets of the classifier.
 BUCKETS = 1 << 16
-FIT_DOCS = 4000
 #: Posteriors are multiples of 1/GRID, so there are no more distinct ones than the ways to deal GRID parts to the domains.
 GRID = 128
 #: Newton steps at most for a weight of nearness, the distance from optimality (in shares of all tokens) at which they end, and lengths tried of a step, each a quarter of the one before.
@@ -93,17 +92,13 @@ def _count_buckets(k: int):
             docs += np.bincount(domain, minlength=k)
             for _, _, pairs in _word_buckets(batch.column(0)):
                 np.add.at(found, (domain[pairs >> 16], pairs & (BUCKETS - 1)), 1)
-        used = np.flatnonzero(docs)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(docs[used]), pa.array([found[i].tobytes() for i in used], pa.binary())], names=["domain", "docs", "counts"])
+        at, packed = fitting.slices(found.reshape(-1))
+        last, sizes = fitting.slices(docs)
+        yield pa.RecordBatch.from_arrays([pa.array(at + [k * BUCKETS for _ in last], pa.int64()), pa.array(packed + sizes, pa.binary())], names=["at", "counts"])
 
     return scan
 
 
-def _add(t: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, np.int64) for x in t.column("counts").to_pylist()], axis=0)
-    return pa.table({"domain": t.column("domain")[:1], "docs": pa.array([sum(t.column("docs").to_pylist())]), "counts": pa.array([total.tobytes()], pa.binary())})
-
-
 def _sums(model: Domains, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(domain sums..., distinct words) and the number of words of each text."""
     k = len(model.names)
@@ -127,14 +122,18 @@ def _measure(known):
     return scan
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str], fit_docs: int = FIT_DOCS) -> Domains:
-    """Fit on labelled (doc_id, domain) rows: at most ``fit_docs`` documents per domain.
+def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return _design(np.stack(batch.column(1).to_numpy(zero_copy_only=False))), batch.column(0).to_numpy()
+
+
+def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str]) -> Domains:
+    """Fit on all documents that have labelled (doc_id, domain) rows.
 
-    Half of a domain's sample (the smallest hashes of the id) gives the word
-    weights, the other half the calibration, weighted to the domains' true shares.
-    Unknown and null domains are left out.  Where fewer than two domains have
+    One half, by a hash of the id, gives the word weights, the other the calibration
+    (both give both where a half lacks a domain), weighted to the domains' shares of the
+    labelled table.  Unknown and null domains are left out.  Where fewer than two domains have
     documents, all posteriors are the labelled table's smoothed shares.  Word buckets
-    that fewer than four documents of the sample have, and those whose weight is below 1
+    that fewer than four documents have, and those whose weight is below 1
     in all ways, say too little and have weight 0.
     """
     spark = docs.sparkSession
@@ -146,47 +145,31 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str], fit_docs
     for r in rows.groupBy("domain").count().collect():  # one row per domain
         shares[r["domain"]] += r["count"]
     prior = shares / shares.sum()
-    picked = []
-    for i in range(k):
-        ids = rows.where(F.col("domain") == i).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs).collect()
-        picked += [(r[0], i, n < (len(ids) + 1) // 2) for n, r in enumerate(ids)]
-    sample = F.broadcast(spark.createDataFrame(picked, "doc_id long, domain int, for_words boolean"))  # at most fit_docs rows per domain
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id")
-
-    counts, n = np.zeros((k, BUCKETS)), np.zeros(k)
-    kind = "domain long, docs long, counts binary"
-    for r in texts.where("for_words").select("text", "domain").mapInArrow(_count_buckets(k), kind).groupBy("domain").applyInArrow(_add, kind).collect():
-        counts[r["domain"]], n[r["domain"]] = np.frombuffer(r["counts"], np.int64), r["docs"]
-    if (n > 0).sum() < 2:
+    path = shared.work_dir(spark, "labelled")
+    texts = fitting.labelled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), rows.distinct())
+    texts = shared.write_and_read(texts.select("text", "domain", shared.halved("doc_id").alias("first")), "labelled", path)
+    there = np.zeros((2, k), np.int64)
+    for r in texts.groupBy("first", "domain").count().collect():  # two rows per domain
+        there[int(r["first"]), r["domain"]] = r["count"]
+    if (there.sum(axis=0) > 0).sum() < 2:
         return Domains(names, prior=prior)
+    halves = ("first", "NOT first") if ((there > 0) == (there.sum(axis=0) > 0)).all() else ("true", "true")
+
+    found = fitting.counters(texts.where(halves[0]).select("text", "domain").mapInArrow(_count_buckets(k), fitting.COUNTS), k * BUCKETS + k)
+    counts, n = found[: k * BUCKETS].reshape(k, BUCKETS).astype(float), found[k * BUCKETS :].astype(float)
     rest, rest_n = counts.sum(axis=0) - counts, n.sum() - n
     weights = np.log((counts + 0.5) / (n[:, None] + 1)) - np.log((rest + 0.5) / (rest_n[:, None] + 1))
     weights[(np.abs(weights) < 1) | (counts.sum(axis=0) < 4)] = 0
     model = Domains(names, np.clip(weights, -4, 4), prior=prior)
-    found = texts.where("NOT for_words").select("text", "domain").mapInArrow(_measure(spark.sparkContext.broadcast(model)), "domain int, sums array<double>").collect()
-    found.sort(key=lambda r: (r["domain"], r["sums"]))
-    y = np.array([r["domain"] for r in found], int)
-    if len(set(y.tolist())) < 2:
-        return Domains(names, prior=prior)
-    x = _design(np.array([r["sums"] for r in found]))
-    model.slopes = _softmax(x, y, (prior / np.maximum(1, np.bincount(y, minlength=k)))[y] * len(y), k)
+    known = spark.sparkContext.broadcast(model)
+    seen = shared.write_and_read(texts.where(halves[1]).select("text", "domain").mapInArrow(_measure(known), "domain int, sums array<double>"), "measured")
+    used = there[0] if halves[1] == "NOT first" else there.sum(axis=0)
+    slopes = fitting.softmax(seen, _read, prior / np.maximum(1, used) * used.sum(), 2 * k + 1, ridge=0.1)
+    shared.free([path])
+    model.slopes = slopes
     return model
 
 
-def _softmax(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, ridge: float = 0.1, steps: int = 400) -> np.ndarray:
-    """Softmax regression by accelerated gradient descent."""
-    b = last = np.zeros((x.shape[1], k))
-    hot = np.eye(k)[y]
-    rate = 1 / (0.5 * np.linalg.norm(x * np.sqrt(w)[:, None], 2) ** 2 + ridge)
-    for i in range(steps):
-        look = b + i / (i + 3) * (b - last)
-        z = x @ look
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        last, b = b, look - rate * (x.T @ (w[:, None] * (p - hot)) + ridge * look)
-    return b
-
-
 def _posterior_rows(known):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

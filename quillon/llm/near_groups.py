@@ -2,7 +2,7 @@
 
 Rows of equal sets are one vertex.  Two sets that are similar enough share one of
 the first ``prefix_length`` elements of each in any common order of all elements
-(the prefix filter); the order here puts elements that are frequent in a sample
+(the prefix filter); the order here puts elements that are frequent in all rows
 last, so that few sets meet.  Those that share such an element are a bucket, in
 which wide SimHash fingerprints are compared bit-sliced (``simhash.bucket_links``):
 what is within ``RADIUS`` is a candidate link, and its components are candidate
@@ -26,15 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared, simhash
+from . import fitting, shared, simhash
 from .components import components
 from .decontaminate import make_filter
 from .simhash import majority, shingle_hashes
 
 _U = np.uint64
-#: Documents whose elements are counted for the order, about; counters of elements' hashes.
-SAMPLE_DOCS, COUNTERS = 50_000, 1 << 21
-_SLICE = 1 << 16
+#: Counters of elements' hashes, for the order.
+COUNTERS = 1 << 21
 #: Words of a fingerprint, and differing bits of a candidate link: similar sets of four and five elements differ in 48 of 256 on average, larger ones in 39 or fewer.
 WIDE, RADIUS = 4, 72
 WORDS = [f"w{i}" for i in range(WIDE)]
@@ -52,54 +51,40 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - 1e-9)) + 1
 
 
+def _slots(s: np.ndarray) -> np.ndarray:
+    return (s & _U(COUNTERS - 1)).astype(np.int64)
+
+
+_DIGESTS = "own long, d0 long, d1 long, n int, " + ", ".join(f"{w} long" for w in WORDS)
+
+
 def _digests(size: int, seed: int):
-    """(own, text) to (own, d0, d1, n, words...): 128 bits of the set, its size and fingerprint."""
+    """(own, text) to (own, d0, d1, n, words...): 128 bits of the set, its size and fingerprint.
+
+    A task's last rows have no own: they are (at, counts), how often its rows have the elements' hashes.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.uint32)
+        names = [x.split(" ")[0] for x in _DIGESTS.split(", ")] + ["at", "counts"]
         for batch in batches:
             digests, sizes, prints = [], [], [np.empty((0, WIDE), np.uint64)]
             for s in _sets(batch.column(1), size, seed):
+                np.add.at(counts, _slots(s), 1)
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(len(s))
                 prints.append(majority(s, WIDE)[None])
             pair, wide = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), np.concatenate(prints).view(np.int64)
             columns = [pair[:, 0], pair[:, 1], np.array(sizes, np.int32), *wide.T]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(x)) for x in columns)], names=["own", "d0", "d1", "n", *WORDS])
+            rest = [pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(x)) for x in columns), *rest], names=names)
+        used, packed = fitting.slices(counts)
+        none = [pa.nulls(len(used), pa.int32() if n == "n" else pa.int64()) for n in names[:-2]]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int64()), pa.array(packed, pa.binary())], names=names)
 
     return scan
 
 
-def _slots(s: np.ndarray) -> np.ndarray:
-    return (s & _U(COUNTERS - 1)).astype(np.int64)
-
-
-def _counted(size: int, seed: int):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(COUNTERS, np.uint32)
-        for batch in batches:
-            for s in _sets(batch.column(1), size, seed):
-                np.add.at(found, _slots(s), 1)
-        used = [i for i in range(0, COUNTERS, _SLICE) if found[i : i + _SLICE].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([found[i : i + _SLICE].tobytes() for i in used], pa.binary())], names=["at", "counts"])
-
-    return scan
-
-
-def _added(t: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, np.uint32) for x in t.column("counts").to_pylist()], axis=0, dtype=np.uint32)
-    return pa.table({"at": t.column("at")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-
-def frequencies(rows: DataFrame, size: int, seed: int) -> np.ndarray:
-    """How often elements' hashes occur in a sample of rows (own, text); only the order of elements depends on it."""
-    share = max(1, rows.count() // SAMPLE_DOCS)
-    sample = rows.where(F.pmod(F.xxhash64("own"), F.lit(share)) == 0).repartition(8)
-    out, kind = np.zeros(COUNTERS, np.uint32), "at long, counts binary"
-    for r in sample.mapInArrow(_counted(size, seed), kind).groupBy("at").applyInArrow(_added, kind).toLocalIterator():  # COUNTERS numbers
-        out[r["at"] : r["at"] + _SLICE] = np.frombuffer(r["counts"], np.uint32)
-    return np.minimum(out, 65_535).astype(np.uint16)
-
-
 def _prefixes(known, copies: str, similarity: float, size: int, seed: int):
     """(own, text) to (element, vertex): the prefix of each set, of rows that aren't marked as copies."""
 
@@ -248,10 +233,10 @@ def _met_again(known):
     return scan
 
 
-def candidate_groups(rows: DataFrame, vertices: DataFrame, copies: str, shingle: int, similarity: float, seed: int) -> DataFrame:
+def candidate_groups(rows: DataFrame, vertices: DataFrame, frequencies: np.ndarray, copies: str, shingle: int, similarity: float, seed: int) -> DataFrame:
     """(vertex, label) of the vertices (vertex, words...) that have candidate links."""
     sc = rows.sparkSession.sparkContext
-    weights = sc.broadcast(frequencies(rows, shingle, seed))
+    weights = sc.broadcast(frequencies)
     kind = "element long, vertex long"
     prefixes = shared.write_and_read(rows.select("own", "text").mapInArrow(_prefixes(weights, copies, similarity, shingle, seed), kind), "prefixes")
     sizes = shared.write_and_read(prefixes.groupBy(F.col("element").alias("key")).count().where("count > 1"), "sizes")
@@ -292,14 +277,16 @@ def groups(rows: DataFrame, shingle: int, similarity: float, seed: int = 42) ->
     own must be unique, and the same whenever rows is read.  Texts without words are alike.
     """
     spark = rows.sparkSession
-    prints = shared.write_and_read(rows.mapInArrow(_digests(shingle, seed), "own long, d0 long, d1 long, n int, " + ", ".join(f"{w} long" for w in WORDS)), "digests")
+    written = shared.write_and_read(rows.mapInArrow(_digests(shingle, seed), f"{_DIGESTS}, {fitting.COUNTS}"), "digests")
+    prints = written.where("own IS NOT NULL").drop("at", "counts")
+    frequencies = np.minimum(fitting.counters(written.where("own IS NULL").select("at", "counts"), COUNTERS), 2**32 - 1).astype(np.uint32)  # of all rows
     alike = prints.groupBy("d0", "d1").agg(F.count(F.lit(1)).alias("copies"), F.min("own").alias("vertex")).where("copies > 1").drop("copies")
     alike = shared.write_and_read(alike, "alike")  # a plain table, so that a hot set's join can be split
     owned = shared.write_and_read(prints.join(alike, ["d0", "d1"], "left").select("own", F.coalesce("vertex", "own").alias("vertex"), "n", *WORDS), "vertices")
     copies = shared.mark_rows(spark, owned.where("own <> vertex").select("own"))
     vertices = owned.where("own = vertex").select("vertex", "n", *WORDS)
 
-    candidates = candidate_groups(rows, vertices.drop("n"), copies, shingle, similarity, seed)
+    candidates = candidate_groups(rows, vertices.drop("n"), frequencies, copies, shingle, similarity, seed)
     members = shared.write_and_read(vertices.join(candidates.withColumnRenamed("label", "key"), "vertex"), "members")
     wanted = shared.mark_rows(spark, members.select("vertex"))
     sets = shared.write_and_read(rows.select("own", "text").mapInArrow(_known_sets(wanted, shingle, seed), "vertex long, set binary"), "sets")

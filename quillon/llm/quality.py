@@ -6,6 +6,13 @@ text is judged against the dictionaries and not only its start.  The difference
 of the compressed sizes, normalised by the text's size, is calibrated to a
 probability by a logistic curve whose slope may depend on how far the text
 compresses at all (repetitive text shrinks with either dictionary).
+
+All labelled documents are fitted on, whole: one half gives the dictionaries, the other
+the calibration.  All pieces of a class's texts are dealt into groups that a task can
+train on (those of a long text to many, so that it isn't a group's only subject); each
+group's best segments are an equal share of the dictionary's content, as with the
+epochs of zstandard's own training.  The entropy tables before the content are those of
+a group too, of several the ones with which the half's texts are smallest in all.
 """
 
 from __future__ import annotations
@@ -15,21 +22,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import fitting, shared
 
-#: Bounds of what is fitted on: labelled documents per class for the dictionary
-#: (one piece of text each) and for the calibration.  The model is fitted on the
-#: driver from at most 2 * DICT_DOCS * PIECE bytes and 2 * FIT_DOCS numbers.
-DICT_DOCS = 2000
-FIT_DOCS = 3000
+#: Bytes of text that a group is to have, at least and about; bytes of a segment, entropy tables that are tried.
+LEAST_BYTES, GROUP_BYTES, SEGMENT, TRIED = 1 << 18, 8 << 20, 256, 8
 #: Bytes compressed at a time, bytes of a dictionary, compression level.
 PIECE = 4096
 DICT_BYTES = 112_640
 LEVEL = 3
+#: What ends a trained dictionary's entropy tables: the repeated offsets it begins with.
+OFFSETS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
 #: Bytes added to a text's size, so that tiny texts don't make extreme ratios.
 EXTRA = 32
 
@@ -64,21 +71,91 @@ def features(sizes: np.ndarray, low: np.ndarray | None = None, high: np.ndarray
     return np.concatenate([both, both[:, :1] * both[:, 1:]], axis=1)
 
 
-def build_dictionary(samples: list[bytes]) -> tuple[bytes, bool]:
-    """A trained dictionary, or the samples themselves where there are too few to train on."""
+def build_dictionary(samples: list[bytes]) -> tuple[bytes, bytes]:
+    """Entropy tables and content of a trained dictionary; no tables and the samples themselves where there are too few to train on."""
     try:
-        return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes(), False
+        trained = zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(samples)[-DICT_BYTES:], True
+        return b"", b"".join(samples)[-DICT_BYTES:]
+    at = trained.index(OFFSETS) + len(OFFSETS)
+    return trained[:at], trained[at:]
+
+
+def _compressor(raw: bool, content: bytes) -> zstandard.ZstdCompressor:
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_FULLDICT)
+    d.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+def _dealt(groups: dict[int, int]):
+    """(label, doc_id, text) to (label, at, key, piece): each piece of a text and its group; groups: how many, by label."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels, ats, keys, pieces = [], [], [], []
+            for label, doc, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                text = x.as_buffer().to_pybytes()
+                for i in range(0, len(text), PIECE):
+                    key = xxhash.xxh64_intdigest(f"{doc} {i}")
+                    labels.append(label)
+                    ats.append(key % groups[label])
+                    keys.append(key >> 1)
+                    pieces.append(text[i : i + PIECE])
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(ats, pa.int64()), pa.array(keys, pa.int64()), pa.array(pieces, pa.binary())], names=["label", "at", "key", "piece"])
+
+    return scan
+
+
+def _group(share: dict[int, int]):
+    """A group's pieces to (label, at, tables, content); share: bytes of content by label."""
+
+    def train(t: pa.Table) -> pa.Table:
+        label = t.column("label")[0].as_py()
+        tables, content = build_dictionary([x for _, x in sorted(zip(t.column("key").to_pylist(), t.column("piece").to_pylist(), strict=True))])
+        return pa.table({"label": t.column("label")[:1], "at": t.column("at")[:1], "tables": pa.array([tables], pa.binary()), "content": pa.array([content[-share[label] :]], pa.binary())})  # the best are last
+
+    return train
+
+
+def _tried(known):
+    """(label, text) to (label, at, size): bytes of the texts, compressed with each dictionary of their label."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = {label: [_compressor(False, d) for d in found] for label, found in known.value.items()}
+        for batch in batches:
+            total = {(label, i): 0 for label in by for i in range(len(by[label]))}
+            for label, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = memoryview(x.as_buffer())
+                for at in range(0, len(text), PIECE):
+                    for i, c in enumerate(by.get(label, ())):
+                        total[label, i] += len(c.compress(text[at : at + PIECE]))
+            keys = list(total)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k] for k in keys], pa.int64())], names=["label", "at", "size"])
+
+    return scan
+
+
+def build_dictionaries(texts: DataFrame, sizes: dict[int, int]) -> list[tuple[bytes, bool]]:
+    """Dictionary and whether it is raw content, of labels 0 and 1, from all texts (label, doc_id, text); sizes: bytes by label."""
+    most = max(1, min(-(-max(sizes.values()) // GROUP_BYTES), DICT_BYTES // SEGMENT))
+    groups = {label: max(1, min(most, size // LEAST_BYTES)) for label, size in sizes.items()}
+    share = {label: DICT_BYTES // n for label, n in groups.items()}
+    dealt = texts.select("label", "doc_id", "text").mapInArrow(_dealt(groups), "label int, at long, key long, piece binary")
+    found = sorted(tuple(r) for r in dealt.groupBy("label", "at").applyInArrow(_group(share), "label int, at long, tables binary, content binary").collect())  # DICT_BYTES of content
+    content = {label: b"".join(r[3] for r in found if r[0] == label) for label in (0, 1)}
+    choice = {label: [bytes(r[2]) + content[label] for r in found if r[0] == label and r[2]][:TRIED] for label in (0, 1)}
+    best = {0: 0, 1: 0}
+    several = {label: c for label, c in choice.items() if len(c) > 1}
+    if several:
+        known = texts.sparkSession.sparkContext.broadcast(several)
+        tried = texts.select("label", "text").mapInArrow(_tried(known), "label int, at int, size long").groupBy("label", "at").agg(F.sum("size").alias("size")).collect()
+        best |= {label: min((r["size"], r["at"]) for r in tried if r["label"] == label)[1] for label in several}
+    return [(choice[label][best[label]], False) if choice[label] else (content[label], True) for label in (0, 1)]
 
 
 class Sizer:
     def __init__(self, model: Model):
-        self.by = []
-        for raw, content in zip(model.raw, model.dictionaries, strict=True):
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_FULLDICT)
-            d.precompute_compress(level=LEVEL)
-            self.by.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+        self.by = [_compressor(raw, content) for raw, content in zip(model.raw, model.dictionaries, strict=True)]
 
     def __call__(self, text: memoryview) -> tuple[int, int, int]:
         bad = good = 0
@@ -100,7 +177,7 @@ def _measure(known):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = _sizes(known.value, batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s[:, i]) for i in range(3))], names=["doc_id", "bad", "good", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s[:, i]) for i in range(3))], names=["label", "bad", "good", "size"])
 
     return scan
 
@@ -119,25 +196,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.01) -> np.ndarray:
-    z = np.concatenate([np.ones((len(x), 1)), x], axis=1)
-    b = np.zeros(z.shape[1])
-    keep = np.eye(len(b)) * ridge
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + keep, z.T @ (w * (p - y)) + keep @ b)
-        b -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
-            break
-    return b
+def _line(batch: pa.RecordBatch) -> np.ndarray:
+    return features(np.stack([batch.column(i).to_numpy() for i in range(1, 4)], axis=1))
+
 
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            x = _line(batch)[:, :2]
+            yield pa.RecordBatch.from_arrays([pa.array(range(2), pa.int64()), pa.array(x.min(axis=0)), pa.array(x.max(axis=0))], names=["at", "low", "high"])
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", dict_docs: int = DICT_DOCS, fit_docs: int = FIT_DOCS) -> Model:
-    """Fit on labelled documents that aren't held out; the sample's bound is in the parameters.
 
-    The sample is the rows with the smallest hashes of the id in each class, half
-    of them (at most ``dict_docs``) for the dictionaries and the rest (at most
-    ``fit_docs``) for the calibration, weighted back to the classes' true shares.
+def calibrate(model: Model, seen: DataFrame) -> None:
+    """Set the model's calibration from all rows (label, bad, good, size)."""
+    n = seen.count()
+    ends = sorted(tuple(r) for r in seen.mapInArrow(_ranges, "at long, low double, high double").groupBy("at").agg(F.min("low"), F.max("high")).collect())
+    model.low, model.high = np.array([r[1] for r in ends]), np.array([r[2] for r in ends])
+    mean = fitting.sums(seen, _line) / n
+    model.mean, model.scale = mean, np.sqrt(fitting.sums(seen, lambda batch: (_line(batch) - mean) ** 2) / n) + 1e-9
+    scale = model.scale
+
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([np.ones((batch.num_rows, 1)), (_line(batch) - mean) / scale], axis=1), batch.column(0).to_numpy()
+
+    b = fitting.softmax(seen, read, np.ones(2), 4, ridge=0.02)  # of two classes: twice the ridge of their difference
+    model.weights = b[:, 1] - b[:, 0]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
+    """Fit on all labelled documents that aren't held out, on their whole texts.
+
+    One half of them, by a hash of the id, gives the dictionaries, the other the
+    calibration; both give both where a half lacks a class.
     Rows without id or label aren't used.  Without documents of both classes the
     score is the same for all texts: the smoothed share of the good class.
     """
@@ -146,34 +236,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", dict_docs: i
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("label"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
     totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    picked: list[tuple[int, int, bool]] = []
-    for value in (0, 1):
-        found = rows.where(F.col("label") == value).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(dict_docs + fit_docs).collect()
-        cut = min(dict_docs, len(found) // 2)
-        picked += [(r[0], value, i < cut) for i, r in enumerate(found)]
-    known = F.broadcast(spark.createDataFrame(picked, "doc_id long, label int, for_dict boolean"))  # at most 2 * (dict_docs + fit_docs) rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - PIECE)).cast("int") + 1
-    part = texts.join(known.where("for_dict"), "doc_id").select("doc_id", "label", F.substr("text", at, F.lit(PIECE)).alias("part"))
-    parts = part.dropDuplicates(["doc_id", "label"]).orderBy("doc_id", "label").collect()
     constant = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
-    samples = [[r["part"].encode() for r in parts if r["label"] == value and r["part"]] for value in (0, 1)]
-    if not all(samples):
+    path = shared.work_dir(spark, "labelled")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = fitting.labelled(texts, rows.distinct())
+    texts = shared.write_and_read(texts.select("label", "doc_id", "text", shared.halved("doc_id").alias("first")), "labelled", path)
+    there = {(r["first"], r["label"]): r["size"] for r in texts.groupBy("first", "label").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
+    both = {v: sum(there.get((half, v), 0) for half in (True, False)) for v in (0, 1)}
+    if not all(both.values()):
         return Model(None, constant=constant)
-    built = [build_dictionary(s) for s in samples]
+    whole = all(there.get((half, v)) for half in (True, False) for v in (0, 1))
+    sizes = {v: there[True, v] for v in (0, 1)} if whole else both
+    built = build_dictionaries(texts.where("first" if whole else "true"), sizes)
     model = Model((built[0][0], built[1][0]), (built[0][1], built[1][1]), constant=constant)
 
-    measured = texts.join(known.where("NOT for_dict"), "doc_id").select("doc_id", "text").mapInArrow(_measure(spark.sparkContext.broadcast(model)), "doc_id long, bad double, good double, size double")
-    value_of = {d: v for d, v, for_dict in picked if not for_dict}
-    found = sorted(tuple(r) for r in measured.dropDuplicates(["doc_id"]).collect())
-    y = np.array([value_of[r[0]] for r in found], float)
-    if len(set(y.tolist())) < 2:
-        return Model(None, constant=constant)
-    x = features(np.array([r[1:] for r in found]))
-    model.low, model.high = x[:, :2].min(axis=0), x[:, :2].max(axis=0)
-    model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    w = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum()) / max(1, sum(totals.values())) * len(y)
-    model.weights = _logistic((x - model.mean) / model.scale, y, w)
+    kind = "label int, bad double, good double, size double"
+    measured = texts.where("NOT first" if whole else "true").select("label", "text").mapInArrow(_measure(spark.sparkContext.broadcast(model)), kind)
+    calibrate(model, shared.write_and_read(measured, "measured"))
+    shared.free([path])
     return model
 
 

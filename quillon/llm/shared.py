@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -101,6 +101,11 @@ def _clean() -> None:
     free(made())
 
 
+def halved(doc_id: str) -> Column:
+    """Whether a row is in the first half of a table, by a hash of its id."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(2)) == 0
+
+
 def write_side(df: DataFrame, path: str) -> None:
     """Write rows with a column ``pid`` so that each scan task can read its own."""
     df.repartition("pid").write.partitionBy("pid").parquet(path)

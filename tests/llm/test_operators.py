@@ -3,11 +3,13 @@
 import base64
 import gzip
 import hashlib
+import inspect
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -16,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from quillon.llm import components, decontaminate, mixing, near_groups, quality, queries, sharding, shared, simhash, suffix_dedup, token_counts, topk, url_filter, warc
+from quillon.llm import components, decontaminate, fitting, mixing, near_groups, quality, queries, sharding, shared, simhash, suffix_dedup, token_counts, topk, url_filter, warc
 
 #: Columns that an operator might use for itself, with other types.
 CLASH = {"id": "x", "row": 1.5, "key": "k", "text_": "t", "pid": "p", "shard": "s", "slot": "t", "tile": "u", "w0": "v", "component_id": "c", "segments": "g", "label": "l", "__tie": "t", "__own": "o"}
@@ -528,6 +530,48 @@ def test_quality_ignores_held_out_labels(spark):
     assert a.dictionaries == b.dictionaries and np.array_equal(a.weights, b.weights)
 
 
+def test_quality_is_fitted_on_all_labelled_rows(spark, monkeypatch):
+    docs, labels = labelled(spark, 60)
+    dealt, calibrated = [], []
+    build, calibrate = quality.build_dictionaries, quality.calibrate
+    monkeypatch.setattr(quality, "build_dictionaries", lambda texts, sizes: dealt.extend((r["doc_id"], r["text"]) for r in texts.collect()) or build(texts, sizes))
+    monkeypatch.setattr(quality, "calibrate", lambda model, seen: calibrated.append(seen.count()) or calibrate(model, seen))
+    quality.fit(docs, labels)
+    used = {i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert {i for i, _ in dealt} <= used and len(dealt) + calibrated[0] == len(used) and all(t == texts[i] for i, t in dealt)
+    pieces = [b for b in quality._dealt({0: 3, 1: 3})(iter([pa.RecordBatch.from_pydict({"label": [1], "doc_id": [7], "text": [passage(1, 5000)]})]))][0]
+    assert sum(len(x) for x in pieces.column("piece").to_pylist()) == len(passage(1, 5000)) and len(set(pieces.column("at").to_pylist())) > 1
+
+
+def test_fits_and_counts_have_no_bound_on_rows():
+    assert not {"dict_docs", "fit_docs"} & (set(inspect.signature(quality.fit).parameters) | set(inspect.signature(mixing.fit_domains).parameters))
+    assert not any(hasattr(m, x) for m in (quality, mixing, near_groups) for x in ("DICT_DOCS", "FIT_DOCS", "SAMPLE_DOCS"))
+
+
+def test_regression_over_a_table_is_the_optimum(spark):
+    rng = np.random.default_rng(2)
+    x, w = rng.normal(size=(700, 3)), np.array([1.0, 2.0, 0.5])
+    y = (x @ rng.normal(size=(3, 3)) + rng.gumbel(size=(700, 3))).argmax(axis=1)
+    rows = spark.createDataFrame([(int(c), r.tolist()) for c, r in zip(y, x, strict=True)], "y int, x array<double>").repartition(3)
+    b = fitting.softmax(rows, lambda t: (np.stack(t.column(1).to_numpy(zero_copy_only=False)), t.column(0).to_numpy()), w, 3, ridge=0.1)
+    p = np.exp(x @ b)
+    p /= p.sum(axis=1, keepdims=True)
+    assert np.abs(x.T @ (w[y][:, None] * (p - np.eye(3)[y])) + 0.1 * b).max() < 1e-3
+
+
+def test_counters_are_those_of_all_rows(spark):
+    def scan(batches):
+        counts = np.zeros(3 * fitting.SLICE, np.uint32)
+        for batch in batches:
+            np.add.at(counts, batch.column(0).to_numpy(), 1)
+        at, packed = fitting.slices(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(packed, pa.binary())], names=["at", "counts"])
+
+    got = fitting.counters(spark.range(0, 150_000, 1, 5).selectExpr("id * id % 190000 AS id").mapInArrow(scan, fitting.COUNTS), 3 * fitting.SLICE)
+    assert np.array_equal(got, np.bincount(np.arange(150_000) ** 2 % 190_000, minlength=3 * fitting.SLICE))
+
+
 def test_quality_without_labels_or_one_class(spark):
     docs, labels = labelled(spark, 20)
     assert {r["score"] for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
